@@ -178,13 +178,13 @@ def running_total(
     return _clean(joined.withColumn(name, F.col("__local") + F.col("__carry")).drop("__local", "__carry"))
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join in which NULL keys meet, keeping the left columns once."""
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet, keeping the left columns once."""
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
     condition = F.lit(True)
     for c in on:
         condition = condition & left[c].eqNullSafe(renamed[f"__r_{c}"])
-    return left.join(renamed, condition, "inner").drop(*[f"__r_{c}" for c in on])
+    return left.join(renamed, condition, how).drop(*[f"__r_{c}" for c in on])
 
 
 def running_rank(df: DataFrame, keys: list[str], name: str = "rank", **options) -> DataFrame:
