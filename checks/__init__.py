@@ -1,0 +1,13 @@
+"""Registered queries over the driver tables, their DuckDB counterparts, and the comparison tool."""
+
+import importlib
+
+MODULES = ["traffic"]
+
+
+def load():
+    from checks.registry import REGISTERED
+
+    for name in MODULES:
+        importlib.import_module(f"checks.{name}")
+    return REGISTERED

@@ -6,6 +6,8 @@ Arithmetic is integer only, so both engines derive the same rows. Time is the ev
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -274,14 +276,12 @@ VIEWS = {
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables(spark, sf_dir)
-    return spark.sql(VIEWS[name](SPARK))
+    sql = VIEWS[name](SPARK)
+    for table in TABLES:
+        if re.search(rf"FROM {table}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(sql)
 
 
 def duck(name: str) -> str:

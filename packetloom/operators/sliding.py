@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from packetloom.functions.timecols import cell_of, micros, to_us
+from packetloom.functions.timecols import SECOND, cell_of, micros, to_us
 
 _INTERNAL = ["__us", "__slice", "__own", "__add", "__at", "__mark", "__delta", "__prev", "__next"]
 
@@ -31,14 +31,25 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in _INTERNAL if c in df.columns])
 
 
+def _window_us(window_seconds: float | Column) -> Column:
+    if isinstance(window_seconds, Column):
+        return (window_seconds * SECOND).cast("long")
+    return F.lit(to_us(window_seconds)).cast("long")
+
+
 def slice_with_lookback(
-    df: DataFrame, window_seconds: float, ts: str, slice_seconds: float | None, adds: Column | None = None
+    df: DataFrame,
+    window_seconds: float | Column,
+    ts: str,
+    slice_seconds: float | None,
+    adds: Column | None = None,
 ) -> DataFrame:
     """One row per (row, slice that can see it); ``__own`` marks the row's home slice.
 
-    Rows for which ``adds`` is false never count for others, so they are not copied.
+    Rows for which ``adds`` is false never count for others, so they are not copied. The window may
+    be a column that is constant within a key; ``slice_seconds`` is then required.
     """
-    window_us, width = to_us(window_seconds), to_us(slice_seconds or default_slice(window_seconds))
+    window_us, width = _window_us(window_seconds), to_us(slice_seconds or default_slice(window_seconds))
     adds = F.lit(True) if adds is None else F.coalesce(adds, F.lit(False))
     out = df.withColumn("__us", micros(df, ts)).withColumn("__add", adds)
     home = cell_of("__us", width)
@@ -50,7 +61,7 @@ def cell_of_expr(us: Column, width: int) -> Column:
     return ((us - F.pmod(us, F.lit(width))) / width).cast("long")
 
 
-def _marks(df: DataFrame, window_us: int, enters: Column, exits: Column) -> DataFrame:
+def _marks(df: DataFrame, window_us: Column, enters: Column, exits: Column) -> DataFrame:
     """Each row enters at its own time and, where ``exits``, leaves right after its window."""
     enter = F.struct(
         F.col("__us").alias("at"), F.lit(0).alias("mark"), F.when(enters, 1).otherwise(0).alias("delta")
@@ -76,7 +87,7 @@ def _sum_of_marks(marks: DataFrame, keys: list[str], tie: str, name: str) -> Dat
 def sliding_count(
     df: DataFrame,
     keys: list[str],
-    window_seconds: float,
+    window_seconds: float | Column,
     name: str = "n",
     *,
     where: Column | None = None,
@@ -86,7 +97,7 @@ def sliding_count(
 ) -> DataFrame:
     """Add the number of rows of the key in ``[t - window, t]``; only rows meeting ``where`` count."""
     sliced = slice_with_lookback(df, window_seconds, ts, slice_seconds, where)
-    marks = _marks(sliced, to_us(window_seconds), F.col("__add"), F.col("__add"))
+    marks = _marks(sliced, _window_us(window_seconds), F.col("__add"), F.col("__add"))
     return _sum_of_marks(marks, keys, tie, name)
 
 
@@ -131,7 +142,7 @@ def sliding_distinct(
     A value is present from an occurrence until ``window`` after it. Occurrences that extend a
     present value add nothing, so the running sum over enters and exits is the distinct count.
     """
-    window_us = to_us(window_seconds)
+    window_us = _window_us(window_seconds)
     sliced = slice_with_lookback(df, window_seconds, ts, slice_seconds, where)
     # One exchange on (keys, slice) serves both the per-value and the per-key pass.
     placed = sliced.repartition(*keys, "__slice")
