@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["traffic"]
+MODULES = ["traffic", "payloads"]
 
 
 def load():
