@@ -13,7 +13,7 @@ REPLACEMENT = "�"
 
 def utf8_text(payload: Column) -> Column:
     """Decode bytes as UTF-8, dropping what does not decode."""
-    return F.regexp_replace(F.make_valid_utf8(payload.cast("string")), REPLACEMENT, "")
+    return F.replace(F.make_valid_utf8(payload.cast("string")), F.lit(REPLACEMENT), F.lit(""))
 
 
 def ascii_text(payload: Column) -> Column:

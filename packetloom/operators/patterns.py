@@ -6,6 +6,7 @@ projection; only hits leave it. Suppression is a separate step.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -455,16 +456,6 @@ NEEDS = {
     RCE_PATTERNS[1000069][1][1]: [["io.popen", "open3.", "kernel."]],
 }
 
-# Letters beyond ASCII that a case-blind match takes for an ASCII one, and that one.
-FOLDED_LETTERS = ("ſıİK", "siik")
-
-
-@dataclass(frozen=True)
-class Family:
-    sid: int
-    info: str
-    test: Column
-
 
 def java_pattern(pattern: str, *, ignore_case: bool = True, unicode: bool = True) -> str:
     """Java spelling of a pattern: dot stops at line feed only, classes and case folding are Unicode."""
@@ -473,85 +464,91 @@ def java_pattern(pattern: str, *, ignore_case: bool = True, unicode: bool = True
     return f"(?{flags})" + pattern.removeprefix("(?s)")
 
 
-@dataclass(frozen=True)
-class Subject:
-    """A text and its case-folded form."""
-
-    text: Column
-    folded: Column
+def _quoted(value: str) -> str:
+    """SQL string literal; dollar signs are spelled out because the parser substitutes ${...}."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024").replace("\x00", "\\u0000")
+    return f"'{escaped}'"
 
 
 def fold(subject: Column) -> Column:
     """Lower case, with every letter a case-blind match takes for an ASCII letter made that letter."""
-    return F.lower(F.translate(subject, *FOLDED_LETTERS))
+    out = F.lower(F.replace(subject, F.lit("İ"), F.lit("i")))
+    for letter, plain in (("ı", "i"), ("ſ", "s")):
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
 
 
-def may_match(folded: Column, pattern: str) -> Column:
-    """Necessary condition for the pattern, by substring tests."""
-    out = F.lit(True)
-    for group in NEEDS.get(pattern, []):
-        some = F.lit(False)
-        for word in group:
-            some = some | F.contains(folded, F.lit(word))
-        out = out & some
-    return out
+@dataclass(frozen=True)
+class Subject:
+    """SQL names of a text, of its folded form, and of the flags for the words tested up front."""
 
+    text: str
+    folded: str
+    flags: dict[str, str]
 
-def finds(subject: Subject, pattern: str) -> Column:
-    exact = subject.text.rlike(java_pattern(pattern, ignore_case=pattern not in CASE_SENSITIVE))
-    return may_match(subject.folded, pattern) & exact
+    def holds(self, word: str) -> str:
+        return self.flags.get(word) or f"contains({self.folded}, {_quoted(word)})"
 
+    def may_match(self, pattern: str) -> str:
+        """Necessary condition for the pattern; groups of words with ready flags come first."""
+        groups = sorted(NEEDS.get(pattern, []), key=lambda g: not all(w in self.flags for w in g))
+        return " AND ".join("(" + " OR ".join(self.holds(w) for w in group) + ")" for group in groups)
 
-def any_of(subject: Subject, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for pattern in patterns:
-        out = out | finds(subject, pattern)
-    return out
+    def finds(self, pattern: str) -> str:
+        exact = f"{self.text} RLIKE {_quoted(java_pattern(pattern, ignore_case=pattern not in CASE_SENSITIVE))}"
+        needed = self.may_match(pattern)
+        return f"({needed} AND {exact})" if needed else f"({exact})"
 
+    def finds_any(self, patterns: list[str]) -> str:
+        return "(" + " OR ".join(self.finds(p) for p in patterns) + ")"
 
-def _byte_finds(raw: Subject, patterns: list[str]) -> Column:
-    """Search among the characters that are single bytes; only ASCII letters fold.
 
-    Leaving out wider characters can bring a word together, so the words are sought after that.
-    """
-    narrow = F.regexp_replace(raw.text, "[^\\x00-\\xff]", "")
-    out = F.lit(False)
+def shared_words(patterns: list[str]) -> list[str]:
+    """Words that several patterns need: tested once per text and kept as flags."""
+    seen: dict[str, int] = {}
     for pattern in patterns:
-        out = out | F.contains(narrow, F.lit("<?")) & narrow.rlike(java_pattern(pattern, unicode=False))
-    return out
+        for word in {w for group in NEEDS.get(pattern, []) for w in group}:
+            seen[word] = seen.get(word, 0) + 1
+    return sorted(w for w, n in seen.items() if n > 1)
+
 
+def _byte_finds(raw: Subject, patterns: list[str]) -> str:
+    """Search among the characters that are single bytes; only ASCII letters fold."""
+    narrow = f"regexp_replace({raw.text}, {_quoted('[^\\x00-\\xff]')}, '')"
+    tests = [f"{narrow} RLIKE {_quoted(java_pattern(p, unicode=False))}" for p in patterns]
+    # Dropping wide characters can join the words, so only single characters may be sought before it.
+    return f"(contains({raw.text}, '<') AND contains({raw.text}, '?') AND ({' OR '.join(tests)}))"
 
-def comment_bypass(decoded: Subject) -> Column:
+
+def comment_bypass(decoded: Subject) -> str:
     """A SQL keyword together with at least two kinds of comment."""
-    kinds = F.lit(0)
-    for pattern in SQL_COMMENTS:
-        kinds = kinds + finds(decoded, pattern).cast("int")
-    return (kinds >= 2) & finds(decoded, SQL_KEYWORDS)
+    kinds = " + ".join(f"CAST({decoded.finds(p)} AS INT)" for p in SQL_COMMENTS)
+    return f"({kinds} >= 2 AND {decoded.finds(SQL_KEYWORDS)})"
 
 
-def encoding_bypass(raw: Subject, decoded: Subject) -> Column:
+def encoding_bypass(raw: Subject, decoded: Subject) -> str:
     """Decoding reveals a classic injection, or more SQL keywords and at least two."""
-    revealed = F.lit(False)
-    for pattern in SQLI_PATTERNS[1000040][1]:
-        revealed = revealed | (finds(decoded, pattern) & ~finds(raw, pattern))
-    keywords = F.lit(java_pattern(SQL_KEYWORDS))
-    before, after = F.regexp_count(raw.text, keywords), F.regexp_count(decoded.text, keywords)
-    return (raw.text != decoded.text) & (revealed | ((after > before) & (after >= 2)))
-
-
-def families(detector: str, raw: Subject, decoded: Subject) -> list[Family]:
-    table = {"SQLiDetector": SQLI_PATTERNS, "XSSDetector": XSS_PATTERNS, "RCEDetector": RCE_PATTERNS}[detector]
-    out = []
-    for sid, (info, patterns) in table.items():
+    classic = SQLI_PATTERNS[1000040][1]
+    revealed = " OR ".join(f"({decoded.finds(p)} AND NOT {raw.finds(p)})" for p in classic)
+    keywords = _quoted(java_pattern(SQL_KEYWORDS))
+    before, after = (f"regexp_count({s.text}, {keywords})" for s in (raw, decoded))
+    return f"({raw.text} <> {decoded.text} AND ({revealed} OR ({after} > {before} AND {after} >= 2)))"
+
+
+TABLES = {"SQLiDetector": SQLI_PATTERNS, "XSSDetector": XSS_PATTERNS, "RCEDetector": RCE_PATTERNS}
+PAYLOAD_DETECTORS = list(TABLES)
+
+
+def families(detector: str, raw: Subject, decoded: Subject) -> Iterator[tuple[int, str, str]]:
+    """(sid, message, SQL test) of every family of a detector."""
+    for sid, (info, patterns) in TABLES[detector].items():
         if sid in BYTE_FAMILIES:
-            test = _byte_finds(raw, patterns)
+            yield sid, info, _byte_finds(raw, patterns)
         else:
-            test = any_of(raw if sid in RAW_FAMILIES else decoded, patterns)
-        out.append(Family(sid, info, test))
+            yield sid, info, (raw if sid in RAW_FAMILIES else decoded).finds_any(patterns)
     if detector == "SQLiDetector":
-        out.append(Family(*COMMENT_BYPASS, comment_bypass(decoded)))
-        out.append(Family(*ENCODING_BYPASS, encoding_bypass(raw, decoded)))
-    return out
+        yield *COMMENT_BYPASS, comment_bypass(decoded)
+        yield *ENCODING_BYPASS, encoding_bypass(raw, decoded)
 
 
 def on_ports(ports: list[int]) -> Column:
@@ -567,9 +564,6 @@ def applies(detector: str, raw: Column) -> Column:
     return on_ports(WEB_PORTS) & (raw.startswith("POST") | F.contains(raw, F.lit("Content-Type")))
 
 
-PAYLOAD_DETECTORS = ["SQLiDetector", "XSSDetector", "RCEDetector"]
-
-
 def pattern_hits(packets: DataFrame, detectors: list[str] | None = None) -> DataFrame:
     """One row per (packet, family found), before suppression."""
     chosen = detectors or PAYLOAD_DETECTORS
@@ -585,23 +579,31 @@ def pattern_hits(packets: DataFrame, detectors: list[str] | None = None) -> Data
         text.utf8_text(F.col("payload")).alias("raw"),
     )
     raw = F.col("raw")
-    gates = carried.withColumn("gates", F.array(*[F.coalesce(applies(d, raw), F.lit(False)) for d in chosen]))
+    gates = {f"gate_{i}": F.coalesce(applies(d, raw), F.lit(False)) for i, d in enumerate(chosen)}
+    looked_at = F.lit(False)
+    for name in gates:
+        looked_at = looked_at | F.col(name)
     encoded = F.contains(raw, F.lit("%")) | F.contains(raw, F.lit("+"))
-    decoded = F.when(encoded & F.array_contains("gates", True), text.deep_url_decode(raw)).otherwise(raw)
+    decoded = F.when(encoded & looked_at, text.deep_url_decode(raw)).otherwise(raw)
     ready = (
-        gates.withColumn("decoded", decoded)
-        .withColumn("raw_folded", fold(raw))
-        .withColumn("decoded_folded", F.when(F.col("decoded") == raw, F.col("raw_folded")).otherwise(fold(F.col("decoded"))))
+        carried.withColumns(gates)
+        .withColumn("decoded", decoded)
+        .withColumn("raw_folded", F.when(looked_at, fold(raw)))
+        .withColumn(
+            "decoded_folded", F.when(F.col("decoded") == raw, F.col("raw_folded")).otherwise(fold(F.col("decoded")))
+        )
     )
-    as_sent, as_read = Subject(raw, F.col("raw_folded")), Subject(F.col("decoded"), F.col("decoded_folded"))
-    found = []
-    for i, detector in enumerate(chosen):
-        gate = F.get("gates", F.lit(i))
-        for family in families(detector, as_sent, as_read):
-            hit = F.struct(F.lit(detector).alias("detector"), F.lit(family.sid).alias("sid"), F.lit(family.info).alias("info"))
-            found.append(F.when(gate & family.test, hit))
+    words = shared_words([p for d in chosen for _, ps in TABLES[d].values() for p in ps] + SQL_COMMENTS)
+    flags = {word: f"w{i}" for i, word in enumerate(words)}
+    as_sent, as_read = Subject("raw", "raw_folded", {}), Subject("decoded", "decoded_folded", flags)
+    ready = ready.selectExpr("*", *[f"contains(decoded_folded, {_quoted(w)}) AS {name}" for w, name in flags.items()])
+    found = [
+        f"CASE WHEN gate_{i} AND {test} THEN named_struct('detector', '{detector}', 'sid', {sid}, 'info', {_quoted(info)}) END"
+        for i, detector in enumerate(chosen)
+        for sid, info, test in families(detector, as_sent, as_read)
+    ]
     # An outer explode: an inner one would add a filter that evaluates every pattern twice.
-    hits = ready.select("packet_id", "ts", "src", "dst", F.explode_outer(F.array_compact(F.array(*found))).alias("hit"))
+    hits = ready.selectExpr("packet_id", "ts", "src", "dst", f"explode_outer(array_compact(array({', '.join(found)}))) AS hit")
     return hits.where("hit is not null").select("packet_id", "ts", "src", "dst", "hit.detector", "hit.sid", "hit.info")
 
 
