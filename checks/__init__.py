@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["traffic", "payloads"]
+MODULES = ["traffic", "payloads", "detectors", "rulesets"]
 
 
 def load():

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packetloom.sources.capture import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -276,11 +278,17 @@ VIEWS = {
 }
 
 
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A driver table; the text tables are single row groups, so their one split is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in ("documents", "pages") else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name](SPARK)
     for table in TABLES:
         if re.search(rf"FROM {table}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            load(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(sql)
 
 

@@ -56,6 +56,9 @@ def greedy_chain(
 
     The candidates are read three times (sizes, short keys, long keys), so they are persisted.
     """
+    if not keys:
+        whole = df.withColumn("__all", F.lit(0))
+        return greedy_chain(whole, ["__all"], gap, gap2=gap2, tie=tie, fold_limit=fold_limit).drop("__all")
     two_axes = "__pos2" in df.columns
     rows = df if two_axes else df.withColumn("__pos2", F.lit(0).cast("long"))
     gap2 = gap2 if two_axes else 0

@@ -231,6 +231,28 @@ def content_match(r: Access) -> Column:
     return (given == "") | _true((F.length("__bytes") > 0) & found)
 
 
+def header_contains(payload: Column, wanted: str) -> Column:
+    """Text in a header name or value of an HTTP message, or anywhere in it as written."""
+    raw = text.byte_text(payload)
+    looks_http = F.lit(False)
+    for word in ("HTTP/", "GET ", "POST ", "PUT ", "DELETE ", "HEAD "):
+        looks_http = looks_http | F.contains(raw, F.lit(word))
+    folded = wanted.lower()
+    in_headers = F.exists(
+        text.http_headers(payload),
+        lambda h: F.contains(F.lower(h["v"]), F.lit(folded)) | F.contains(h["k"], F.lit(folded)),
+    )
+    return _true(looks_http & (in_headers | F.contains(raw, _byte_form(F.lit(wanted)))))
+
+
+def uri_contains(payload: Column, wanted: str, *, nocase: bool = False) -> Column:
+    """Text in the URI of an HTTP request; an empty text only asks for a request."""
+    uri = text.http_uri(payload)
+    if nocase:
+        return _true(F.contains(F.lower(uri), F.lit(wanted.lower())))
+    return _true(F.contains(uri, F.lit(wanted)))
+
+
 def service_match(r: Access) -> Column:
     wrong = (_col(r("service")) == "http") & net.is_tcp() & ~_true(F.col("dst_port").isin(HTTP_SERVICE_PORTS))
     return ~wrong
