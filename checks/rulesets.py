@@ -21,8 +21,15 @@ SIMPLE = f"""(SELECT line, text, w, CASE WHEN len(w) = 6 THEN split_part(w[1], '
     FROM (SELECT line, text, string_split(text, ' ') AS w FROM {TEXT} t WHERE NOT ({OPTIONED})) s WHERE len(w) IN (5, 6))"""
 
 
+PARSED = {}
+
+
 def rule_table(spark, d):
-    return rl.parse_rules(view(spark, d, "rules_ev"))
+    """The parsed rules; the plan is built once per session, as a job would."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in PARSED:
+        PARSED[key] = rl.parse_rules(view(spark, d, "rules_ev"))
+    return PARSED[key]
 
 
 def simple_rules(spark, d):

@@ -59,12 +59,13 @@ def prepared(packets: DataFrame) -> DataFrame:
         .withColumn("__dst", ipv4_to_long(F.col("dst_ip")))
         .withColumn("__bytes", text.byte_text(whole))
         .withColumn("__raw", text.byte_text(F.when(F.length("payload") > 0, F.col("payload"))))
+        .withColumn("__folded", F.translate("__bytes", _UPPER, _LOWER))
         .withColumn("__transport", transport)
     )
 
 
 def _dropped(df: DataFrame) -> DataFrame:
-    return df.drop("__src", "__dst", "__bytes", "__raw", "__transport")
+    return df.drop("__src", "__dst", "__bytes", "__folded", "__raw", "__transport")
 
 
 # ---------------------------------------------------------------- positional rules
@@ -213,7 +214,7 @@ def content_match(r: Access) -> Column:
     """The rule's content inside the frame, honouring offset, depth, nocase and the service hints."""
     nocase, service, given = _col(r("nocase")), _col(r("service")), _col(r("content"))
     offset, depth = F.greatest(_col(r("offset")), F.lit(0)), _col(r("depth"))
-    hay = F.when(nocase, F.translate("__bytes", _UPPER, _LOWER)).otherwise(F.col("__bytes"))
+    hay = F.when(nocase, F.col("__folded")).otherwise(F.col("__bytes"))
     part = F.substring(hay, offset + 1, F.when(depth > 0, depth).otherwise(F.length(hay)))
     hay = F.when(_col(r("fast_pattern")), hay).otherwise(part)
     needle = F.when(nocase, F.lower(given)).otherwise(given)
@@ -269,7 +270,7 @@ def pcre_match(r: Access, mode: str = "reference") -> Column:
     for letter in "ims":
         flags = F.concat(flags, F.when(F.contains(letters, F.lit(letter)), letter).otherwise(""))
     pattern = F.concat(F.lit("(?"), flags, F.lit(")"), body)
-    return (given == "") | _true(given.rlike('"/(.*?)/(.*?)"') & F.col("__bytes").rlike(pattern))
+    return (given == "") | _true(given.rlike('"/(.*?)/(.*?)"') & F.regexp_like(F.col("__bytes"), pattern))
 
 
 def byte_test_match(r: Access) -> Column:
@@ -355,7 +356,12 @@ def first_match_compiled(packets: DataFrame, rules: list[Row], **options) -> Dat
     none = F.lit(None).cast("struct<pos:bigint,label:string>")
     ordered = sorted(rules, key=lambda r: r["rule_pos"])
     chain = F.coalesce(*[hit(r) for r in ordered], none) if ordered else none
-    return _finish_first(prepared(packets).withColumn("__hit", chain))
+    return _finish_first(_once(prepared(packets), chain))
+
+
+def _once(packets: DataFrame, hit: Column) -> DataFrame:
+    """Add ``__hit`` through a generator, so that later filters on it do not match every rule again."""
+    return packets.select("*", F.explode(F.array(hit)).alias("__hit"))
 
 
 def _keyed(rules: DataFrame) -> DataFrame:
@@ -421,8 +427,9 @@ def first_match_indexed(
             table = table.withColumnRenamed("__rules", side)
             matched = (F.col("__transport") == F.col("__key_transport")) & condition
             out = out.join(F.broadcast(table), matched, "left").drop("__key_transport", "__key_port")
-        out = out.withColumn("__hit", _least_hit(F.col("__hit"), _first_in("__same", options), _first_in("__open", options)))
-        out = out.drop("__same", "__open")
+        best = _least_hit(_first_in("__same", options), _first_in("__open", options))
+        out = _once(out.withColumnRenamed("__hit", "__before"), F.array_min(F.array(F.col("__before"), best)))
+        out = out.drop("__same", "__open", "__before")
     return _finish_first(out.drop("__port"))
 
 

@@ -35,6 +35,14 @@ TOP_PORT = 65535
 TERMS = "array<struct<neg:boolean,lo:bigint,hi:bigint>>"
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """Same rows, computed once: the optimiser does not copy expressions across a generator.
+
+    The grammars are long expressions that use each intermediate result many times.
+    """
+    return rows.select(F.explode(F.array(F.struct(*[F.col(c) for c in rows.columns]))).alias("__row")).select("__row.*")
+
+
 # ---------------------------------------------------------------- network variables
 
 
@@ -86,18 +94,23 @@ def _port_value(text: str) -> tuple[int, int]:
         return 1, 0
 
 
-def _terms_literal(terms: list[tuple[bool, int, int]]) -> Column:
-    return F.array(
-        *[F.struct(F.lit(n).alias("neg"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in terms]
-    ).cast(TERMS)
+def _terms_sql(terms: list[tuple[bool, int, int]]) -> str:
+    items = ", ".join(f"named_struct('neg', {str(n).lower()}, 'lo', {lo}L, 'hi', {hi}L)" for n, lo, hi in terms)
+    return f"cast(array({items}) as {TERMS})"
+
+
+def _no_terms() -> Column:
+    return F.expr(_terms_sql([]))
 
 
 def _variable_lookup(core: Column, variables: dict, one_value, top: int) -> Column:
     """Terms of the variable named in ``core``; an empty list when it resolves to nothing."""
-    out = F.when(F.lit(False), _terms_literal([]))
-    for name in variables:
-        out = out.when(F.ltrim(core, F.lit("$")) == name, _terms_literal(_variable_terms(name, variables, one_value, top)))
-    return out.otherwise(_terms_literal([]))
+    if not variables:
+        return _no_terms()
+    entries = ", ".join(
+        f"'{name}', {_terms_sql(_variable_terms(name, variables, one_value, top))}" for name in variables
+    )
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), F.ltrim(core, F.lit("$"))), _no_terms())
 
 
 # ---------------------------------------------------------------- address and port terms
@@ -136,7 +149,7 @@ def address_terms(raw: Column, variables: dict) -> Column:
     is_mask = hosts.bitwiseAND(hosts + 1) == 0
     low = F.when(is_mask, base.bitwiseAND(mask))
     terms = (
-        F.when(F.lower(core).isin("any", "*"), _terms_literal([]))
+        F.when(F.lower(core).isin("any", "*"), _no_terms())
         .when(core.startswith("$"), _variable_lookup(core, variables, _address_value, TOP_ADDRESS))
         .when(F.contains(core, F.lit("/")), _single_term(low, low + hosts))
         .otherwise(_single_term(base, base))
@@ -158,7 +171,7 @@ def port_terms(raw: Column, variables: dict) -> Column:
         F.exists(listed, lambda p: p.isNull()), _single_term(F.lit(None).cast("long"), F.lit(0).cast("long"))
     ).otherwise(F.transform(listed, lambda p: F.struct(F.lit(False).alias("neg"), p.alias("lo"), p.alias("hi"))).cast(TERMS))
     terms = (
-        F.when(F.lower(core).isin("any", "*"), _terms_literal([]))
+        F.when(F.lower(core).isin("any", "*"), _no_terms())
         .when(core.startswith("$"), _variable_lookup(core, variables, _port_value, TOP_PORT))
         .when(F.contains(inner, F.lit(":")), _single_term(low, high))
         .otherwise(list_terms)
@@ -278,29 +291,32 @@ def parse_rules(lines: DataFrame, variables: dict | None = None) -> DataFrame:
         & F.contains(text, F.lit(")"))
     )
     rows = rows.withColumn("kind", F.when(optioned, "snort").otherwise("simple"))
-    rows = _header_columns(rows)
-    rows = _option_columns(rows)
+    rows = settled(_header_columns(rows))
+    rows = settled(_option_columns(rows))
     snort = F.col("kind") == "snort"
     error = (
         F.when(snort & (F.size("__body") < 1), F.concat(F.lit("no protocol: "), text))
         .when(~snort & ~F.size("__tokens").isin(5, 6), F.concat(F.lit("unrecognised rule format: "), text))
         .when(~snort & (F.col("src_port").isNull() | F.col("dst_port").isNull()), F.lit("address without a port"))
     )
-    parsed = rows.withColumn("error", error)
+    parsed = settled(rows.withColumn("error", error))
     src, dst = address_terms(F.col("src_ip"), variables), address_terms(F.col("dst_ip"), variables)
     sport, dport = port_terms(F.col("src_port"), variables), port_terms(F.col("dst_port"), variables)
-    return (
-        parsed.withColumn("src_nets", src)
-        .withColumn("dst_nets", dst)
-        .withColumn("src_ports", sport)
-        .withColumn("dst_ports", dport)
-        .withColumn("src_spec", plain_port_spec(F.col("src_port")))
-        .withColumn("dst_spec", plain_port_spec(F.col("dst_port")))
-        .withColumn("flags_mask", required_bits(F.coalesce("flags", F.lit(""))))
-        .withColumn("rule_text", rule_text())
-        .withColumn("label", F.when((F.col("kind") == "snort") & (F.col("msg") != ""), F.col("msg")).otherwise(rule_text()))
-        .withColumn("rule_pos", F.col("line"))
-        .drop("__tokens", "__body", "__header", "__options", "__contents")
+    return settled(
+        parsed.withColumns(
+            {
+            "src_nets": src,
+            "dst_nets": dst,
+            "src_ports": sport,
+            "dst_ports": dport,
+            "src_spec": plain_port_spec(F.col("src_port")),
+            "dst_spec": plain_port_spec(F.col("dst_port")),
+            "flags_mask": required_bits(F.coalesce("flags", F.lit(""))),
+            "rule_text": rule_text(),
+            "label": F.when((F.col("kind") == "snort") & (F.col("msg") != ""), F.col("msg")).otherwise(rule_text()),
+            "rule_pos": F.col("line"),
+            }
+        ).drop("__tokens", "__body", "__header", "__options", "__contents")
     )
 
 
@@ -308,9 +324,10 @@ def _header_columns(rows: DataFrame) -> DataFrame:
     text, snort = F.col("text"), F.col("kind") == "snort"
     tokens = F.split(text, " ")
     shift = F.when(F.size(tokens) == 6, 1).otherwise(0)
-    rows = rows.withColumn("__tokens", tokens).withColumn("__header", F.trim(F.substring_index(text, "(", 1)))
+    rows = settled(rows.withColumn("__tokens", tokens).withColumn("__header", F.trim(F.substring_index(text, "(", 1))))
     words = F.split(F.col("__header"), r"\s+")
     rows = rows.withColumn("__body", F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))
+    rows = settled(rows)
     full = F.size("__body") >= 6
 
     def body(i: int) -> Column:
@@ -326,21 +343,20 @@ def _header_columns(rows: DataFrame) -> DataFrame:
 
     word = F.lower(body(0))
     transport = word.isin(TRANSPORTS)
-    return (
-        rows.withColumn("action", F.when(snort, F.lower(F.substring_index("__header", " ", 1))))
-        .withColumn("src_ip", side(body(1), token(1), 0))
-        .withColumn("src_port", side(body(2), token(1), 1))
-        .withColumn("direction", F.when(snort, F.when(full, body(3)).otherwise("->")).otherwise(token(2)))
-        .withColumn("dst_ip", side(body(4), token(3), 0))
-        .withColumn("dst_port", side(body(5), token(3), 1))
-        .withColumn("payload", F.when(snort, "*").otherwise(token(4)))
-        .withColumn("proto", F.when(snort, F.when(transport, F.upper(word)).otherwise("IP")).otherwise(token(0)))
-        .withColumn("protocol", F.when(snort, F.when(transport, word).otherwise("ip")).otherwise(F.lower(token(0))))
-        .withColumn("service", F.when(snort & ~transport, word).otherwise(""))
-        .withColumn(
-            "sid",
-            F.when(snort, "").when(F.size("__tokens") == 6, F.substring_index(F.get("__tokens", F.lit(0)), ":", 1)).otherwise(""),
-        )
+    return rows.withColumns(
+        {
+            "action": F.when(snort, F.lower(F.substring_index("__header", " ", 1))),
+            "src_ip": side(body(1), token(1), 0),
+            "src_port": side(body(2), token(1), 1),
+            "direction": F.when(snort, F.when(full, body(3)).otherwise("->")).otherwise(token(2)),
+            "dst_ip": side(body(4), token(3), 0),
+            "dst_port": side(body(5), token(3), 1),
+            "payload": F.when(snort, "*").otherwise(token(4)),
+            "proto": F.when(snort, F.when(transport, F.upper(word)).otherwise("IP")).otherwise(token(0)),
+            "protocol": F.when(snort, F.when(transport, word).otherwise("ip")).otherwise(F.lower(token(0))),
+            "service": F.when(snort & ~transport, word).otherwise(""),
+            "sid": F.when(snort, "").when(F.size("__tokens") == 6, F.substring_index(F.get("__tokens", F.lit(0)), ":", 1)).otherwise(""),
+        }
     )
 
 
@@ -349,19 +365,20 @@ def _option_columns(rows: DataFrame) -> DataFrame:
     open_at = F.instr(text, "(")
     close_at = F.length(text) - F.instr(F.reverse(text), ")") + 1
     block = F.when(snort, F.substring(text, open_at + 1, F.greatest(close_at - open_at - 1, F.lit(0)))).otherwise("")
-    rows = rows.withColumn("__options", _option_list(block))
+    rows = settled(rows.withColumn("__options", _option_list(block)))
     options = F.col("__options")
     marked = F.transform(
         options,
         lambda o, i: F.struct(o["k"].alias("k"), o["v"].alias("v"), i.alias("i"), F.when(o["k"] == "content", _content(o["v"])).alias("c")),
     )
-    rows = rows.withColumn("__contents", marked)
+    rows = settled(rows.withColumn("__contents", marked))
     # The first positive, non-empty content is the pattern that is matched.
     positive = F.filter(
         "__contents", lambda o: o["c"].isNotNull() & ~o["c"]["neg"] & (o["c"]["text"] != "")
     )
     primary = F.get(F.transform(positive, lambda o: o["i"]), F.lit(0))
-    rows = rows.withColumn("__primary", primary).withColumn(
+    rows = settled(rows.withColumn("__primary", primary))
+    rows = rows.withColumn(
         "__contents",
         F.transform(
             "__contents",
@@ -373,32 +390,34 @@ def _option_columns(rows: DataFrame) -> DataFrame:
             ),
         ),
     )
-    chosen = F.get(F.filter("__contents", lambda o: o["primary"]), F.lit(0))["c"]
+    rows = settled(rows.withColumn("__chosen", F.get(F.filter("__contents", lambda o: o["primary"]), F.lit(0))["c"]))
+    chosen = F.col("__chosen")
     mods = F.coalesce(chosen["mods"], F.array().cast("array<string>"))
     flow = F.coalesce(_unquote(_last(options, "flow")), F.lit(""))
-    return (
-        rows.withColumn("msg", F.coalesce(_unquote(_last(options, "msg")), F.lit("")))
-        .withColumn("sid", F.coalesce(_last(options, "sid"), F.col("sid")))
-        .withColumn("rev", F.coalesce(_last(options, "rev"), F.lit("")))
-        .withColumn("classtype", F.coalesce(_last(options, "classtype"), F.lit("")))
-        .withColumn("service", F.coalesce(F.trim(F.substring_index(_last(options, "service"), ",", 1)), F.col("service")))
-        .withColumn("flow", flow)
-        .withColumn("flow_options", F.transform(F.split(flow, ","), lambda p: F.trim(p)))
-        .withColumn("flags", F.coalesce(_unquote(F.trim(F.substring_index(_last(options, "flags"), ",", 1))), F.lit("")))
-        .withColumn("content", F.coalesce(chosen["text"], F.lit("")))
-        .withColumn("contents", F.transform(F.filter("__contents", lambda o: o["c"].isNotNull()), lambda o: o["c"]["text"]))
-        .withColumn("nocase", (F.size(_values(options, "nocase")) > 0) | F.array_contains(mods, "nocase"))
-        .withColumn("fast_pattern", (F.size(_values(options, "fast_pattern")) > 0) | F.array_contains(mods, "fast_pattern"))
-        .withColumn("depth", _sized_setting(F.col("__contents"), "depth"))
-        .withColumn("offset", _sized_setting(F.col("__contents"), "offset"))
-        .withColumn("pcre", F.coalesce(F.get(_values(options, "pcre"), F.lit(0)), F.lit("")))
-        .withColumn("itype", _last_int(options, "itype"))
-        .withColumn("icode", _last_int(options, "icode"))
-        .withColumn("icmp_id", _last_int(options, "icmp_id", "id"))
-        .withColumn("byte_test", F.coalesce(_last(options, "byte_test"), F.lit("")))
-        .withColumn("detection_filter", _detection_filter(F.coalesce(_last(options, "detection_filter"), F.lit(""))))
-        .drop("__primary")
-    )
+    return rows.withColumns(
+        {
+            "msg": F.coalesce(_unquote(_last(options, "msg")), F.lit("")),
+            "sid": F.coalesce(_last(options, "sid"), F.col("sid")),
+            "rev": F.coalesce(_last(options, "rev"), F.lit("")),
+            "classtype": F.coalesce(_last(options, "classtype"), F.lit("")),
+            "service": F.coalesce(F.trim(F.substring_index(_last(options, "service"), ",", 1)), F.col("service")),
+            "flow": flow,
+            "flow_options": F.transform(F.split(flow, ","), lambda p: F.trim(p)),
+            "flags": F.coalesce(_unquote(F.trim(F.substring_index(_last(options, "flags"), ",", 1))), F.lit("")),
+            "content": F.coalesce(chosen["text"], F.lit("")),
+            "contents": F.transform(F.filter("__contents", lambda o: o["c"].isNotNull()), lambda o: o["c"]["text"]),
+            "nocase": (F.size(_values(options, "nocase")) > 0) | F.array_contains(mods, "nocase"),
+            "fast_pattern": (F.size(_values(options, "fast_pattern")) > 0) | F.array_contains(mods, "fast_pattern"),
+            "depth": _sized_setting(F.col("__contents"), "depth"),
+            "offset": _sized_setting(F.col("__contents"), "offset"),
+            "pcre": F.coalesce(F.get(_values(options, "pcre"), F.lit(0)), F.lit("")),
+            "itype": _last_int(options, "itype"),
+            "icode": _last_int(options, "icode"),
+            "icmp_id": _last_int(options, "icmp_id", "id"),
+            "byte_test": F.coalesce(_last(options, "byte_test"), F.lit("")),
+            "detection_filter": _detection_filter(F.coalesce(_last(options, "detection_filter"), F.lit(""))),
+        }
+    ).drop("__primary", "__chosen")
 
 
 def rule_text() -> Column:
