@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["traffic", "payloads", "detectors", "rulesets"]
+MODULES = ["traffic", "payloads", "detectors", "rulesets", "flows", "feeds"]
 
 
 def load():

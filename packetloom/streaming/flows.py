@@ -7,7 +7,7 @@ query's progress. A stopped query resumes from its checkpoint; a new checkpoint
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -115,22 +115,24 @@ def stream_scan(
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, *, once: bool = False, seconds: int = 5) -> StreamingQuery:
-    """Append every micro-batch to a parquet folder; a replayed batch overwrites its own part."""
+    """Append to a parquet folder through the exactly-once file sink."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    if once:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=f"{seconds} seconds").start()
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+def to_sinks(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *, seconds: int = 5) -> StreamingQuery:
+    """Hand every micro-batch to ``write``, for example to feed the alert table and the log at once."""
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    if stream.isStreaming and once:
-        return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{seconds} seconds").start()
 
 
 def run_to_end(stream: DataFrame, folder: str, timeout: int = 300) -> DataFrame:
     """Process all input that is there now and return what was written."""
+    schema = stream.schema
     query = to_parquet(stream, f"{folder}/out", f"{folder}/checkpoint", once=True)
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout} s")
-    schema = stream.schema.add("batch", "int")
-    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out").drop("batch")
+    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out")
