@@ -139,7 +139,6 @@ def _(spark, d):
 
 def event_packets(spark, d):
     """``packets_ev`` over a stream of the events file."""
-    st.use_state_store(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").createOrReplaceTempView("events")
     return spark.sql(VIEWS["packets_ev"](SPARK))
@@ -184,4 +183,4 @@ def _(spark, d):
 
 @query("stream_hopping_counts")
 def _(spark, d):
-    return st.run_to_end(st.hopping_counts(event_packets(spark, d), ["src_ip"], "60 seconds", "20 seconds", 10, "dst_ip"), folder(spark))
+    return st.run_to_end(st.hopping_counts(event_packets(spark, d), ["src_ip"], "60 seconds", "20 seconds", 4, "dst_ip"), folder(spark))

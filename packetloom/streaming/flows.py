@@ -11,21 +11,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.operators.scan import dump_state
 from packetloom.schema import PACKETS
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATERMARK = "1 minute"
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """Stateful processors need the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-
-
 def packet_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(PACKETS)
     if files_per_trigger:
@@ -65,31 +59,6 @@ def first_within_watermark(alerts: DataFrame, keys: list[str], delay: str) -> Da
 # ---------------------------------------------------------------- state machines
 
 
-class ProgramProcessor(StatefulProcessor):
-    """Runs one of ``packetloom.operators.programs`` per key, with its state as JSON."""
-
-    def __init__(self, program, keys: list[str], fields: list[str], ttl_seconds: float | None):
-        self.program, self.keys, self.fields, self.ttl = program, keys, fields, ttl_seconds
-
-    def init(self, handle) -> None:
-        ttl = round(self.ttl * 1000) if self.ttl else None
-        self.state = handle.getValueState("state", "state string", ttl)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "packet_id"], kind="stable")
-        held = self.state.get()
-        state = json.loads(held[0]) if held is not None else self.program.initial()
-        out = []
-        for row in batch[self.program.columns].itertuples(index=False, name=None):
-            row = tuple(v.item() if hasattr(v, "item") else v for v in row)
-            out += [tuple(key) + tuple(o) for o in self.program.step(state, row)]
-        self.state.update((dump_state(state),))
-        yield pd.DataFrame(out, columns=[*self.keys, *self.fields])
-
-    def close(self) -> None:
-        pass
-
-
 def stream_scan(
     packets: DataFrame,
     keys: list[str],
@@ -99,16 +68,34 @@ def stream_scan(
     delay: str = WATERMARK,
     ttl_seconds: float | None = None,
 ) -> DataFrame:
-    """The streaming form of ``keyed_scan``. Rows of a micro-batch are taken in event order."""
-    use_state_store(packets.sparkSession)
+    """The streaming form of ``keyed_scan``: the same program, its state kept as JSON per key.
+
+    Rows of a micro-batch are taken in event order. A key whose last row lies ``ttl_seconds`` behind
+    the watermark loses its state.
+    """
     timed = with_event_time(packets, delay).withColumn("us", F.unix_micros("ts"))
-    read = [c for c in dict.fromkeys([*keys, "us", "packet_id", *program.columns])]
-    rows = timed.select(*read, "ts")
+    rows = timed.select(*dict.fromkeys([*keys, "us", "packet_id", *program.columns]), "ts")
     schema = T.StructType([rows.schema[k] for k in keys] + list(out_schema.fields))
-    processor = ProgramProcessor(program, keys, out_schema.fieldNames(), ttl_seconds)
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime"
-    )
+    names, read = schema.fieldNames(), list(program.columns)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        batch = pd.concat(list(batches), ignore_index=True).sort_values(["us", "packet_id"], kind="stable")
+        state = json.loads(held.get[0]) if held.exists else program.initial()
+        out = []
+        # Plain Python values: the state must survive a round trip through JSON.
+        for row in zip(*[batch[c].tolist() for c in read], strict=True):
+            out += [tuple(key) + tuple(o) for o in program.step(state, row)]
+        held.update((dump_state(state),))
+        if ttl_seconds:
+            expiry = int(batch["us"].max()) // 1000 + round(ttl_seconds * 1000)
+            held.setTimeoutTimestamp(max(expiry, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    timeout = GroupStateTimeout.EventTimeTimeout if ttl_seconds else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", timeout)
 
 
 # ---------------------------------------------------------------- running
