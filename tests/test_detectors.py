@@ -10,12 +10,13 @@ from packetloom.operators.programs import Cooldown, Reassembly, SynScan
 from packetloom.sources import capture, rules
 
 S = 1_000_000
+START = 1_700_000_000 * S
 
 
 def probes(spark, n=600, seed=5, sources=2, hosts=4, ports=9, span=120):
     rng = random.Random(seed)
     rows = [
-        (i, rng.randrange(span * 4) * S // 4, f"10.0.0.{rng.randrange(sources)}", f"10.1.0.{rng.randrange(hosts)}", 6, 2, rng.randrange(ports))
+        (i, START + rng.randrange(span * 4) * S // 4, f"10.0.0.{rng.randrange(sources)}", f"10.1.0.{rng.randrange(hosts)}", 6, 2, rng.randrange(ports))
         for i in range(n)
     ]
     df = spark.createDataFrame(rows, "packet_id long, us long, src_ip string, dst_ip string, ip_proto int, tcp_flags int, dst_port int")
