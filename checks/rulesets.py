@@ -10,6 +10,7 @@ from checks.views import duck, view
 from packetloom.operators import matching
 from packetloom.operators.rollups import labelled
 from packetloom.sources import rules as rl
+from packetloom.sources.capture import spread
 
 LINES = duck("rules_ev")
 TEXT = f"(SELECT line, trim(text) AS text FROM {LINES} l WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#'))"
@@ -142,7 +143,8 @@ OUT = ["packet_id", "rule_pos", "matched_rule", "is_alert", "threat"]
 
 
 def traffic(spark, d):
-    return labelled(view(spark, d, "packets_ev"))
+    """Labelled packets; testing every rule costs far more than spreading the single split."""
+    return labelled(spread(view(spark, d, "packets_ev")))
 
 
 @query("rule_first_match", f"SELECT {SHOW} FROM {FIRST} f")
