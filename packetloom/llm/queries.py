@@ -61,3 +61,52 @@ def op10_best_fit_packing(spark, d):
     from packetloom.llm.packing import pack_documents
 
     return pack_documents(table(spark, d, "documents"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark, d):
+    from packetloom.llm.langid import in_training, predicted, train
+
+    docs = table(spark, d, "documents")
+    tagger = train(docs)
+    out = predicted(docs.select("doc_id", "text"), tagger)
+    held_out = F.coalesce(~in_training(F.col("doc_id")), F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op4_vector_near_dedup")
+def op4_vector_near_dedup(spark, d):
+    from packetloom.llm.vector_dedup import near_vectors
+
+    return near_vectors(table(spark, d, "embeddings"))
+
+
+@query("op6_exact_top_k", sql.TOP_K)
+def op6_exact_top_k(spark, d):
+    from packetloom.llm.topk import top_k
+
+    return top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op2_license_scan", sql.license_scan())
+def op2_license_scan(spark, d):
+    from packetloom.llm.licenses import scan
+
+    return scan(table(spark, d, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark, d):
+    from packetloom.llm.secrets import scan, written
+
+    found = scan(table(spark, d, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("pipeline")
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)

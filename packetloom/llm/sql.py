@@ -29,3 +29,57 @@ WITH {line_dedup()}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+TOP_K = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
+def license_scan() -> str:
+    from packetloom.llm.licenses import TEMPLATES
+
+    templates = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+    words = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+    return f"""
+WITH templates(k, name, body) AS (VALUES {templates}),
+t_terms AS (SELECT k, unnest({words.format('body')}) AS term FROM templates),
+texts AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents),
+total AS (SELECT count(*) AS n FROM texts),
+doc_terms AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({words.format('text')}) AS term FROM texts) x
+              WHERE term IN (SELECT term FROM t_terms)),
+idf AS (SELECT v.term, ln((1.0 + n) / (1.0 + count(d.doc_id))) + 1 AS idf
+        FROM (SELECT DISTINCT term FROM t_terms) v CROSS JOIN total LEFT JOIN doc_terms d ON d.term = v.term GROUP BY v.term, n),
+t_raw AS (SELECT k, t.term, count(*) * any_value(idf) AS w FROM t_terms t JOIN idf ON idf.term = t.term GROUP BY k, t.term),
+t_norm AS (SELECT k, sqrt(sum(w * w)) AS norm FROM t_raw GROUP BY k),
+t_vec AS (SELECT r.k, r.term, r.w / t.norm AS w FROM t_raw r JOIN t_norm t ON t.k = r.k),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                 unnest(range(len(string_split(text, chr(10))))) AS pos FROM texts),
+line_terms AS (SELECT doc_id, pos, term, count(*) AS tf
+               FROM (SELECT doc_id, pos, unnest({words.format('line')}) AS term FROM lines) x GROUP BY ALL),
+weighed AS (SELECT l.doc_id, l.pos, l.term, l.tf, l.tf * coalesce(idf.idf, ln((1.0 + total.n) / 2) + 1) AS w
+            FROM line_terms l CROSS JOIN total LEFT JOIN idf ON idf.term = l.term),
+line_norm AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS n FROM weighed GROUP BY ALL),
+cosines AS (SELECT w.doc_id, w.pos, v.k, any_value(l.n) AS n, round(sum(w.w * v.w) / any_value(l.norm), 6) AS score
+            FROM weighed w JOIN t_vec v ON v.term = w.term JOIN line_norm l ON l.doc_id = w.doc_id AND l.pos = w.pos
+            GROUP BY w.doc_id, w.pos, v.k),
+best AS (SELECT * FROM cosines WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, k) = 1),
+sizes AS (SELECT doc_id, sum(n) AS size FROM line_norm GROUP BY doc_id),
+own AS (SELECT b.doc_id, arg_min(b.k, (-b.score, b.k)) AS k, max(b.score) AS score, sum(b.n) AS n FROM best b GROUP BY b.doc_id),
+named AS (SELECT o.doc_id, t.name AS licence, o.score, CASE WHEN o.n >= 0.5 * s.size THEN 'file' ELSE 'header' END AS how
+          FROM own o JOIN templates t ON t.k = o.k JOIN sizes s ON s.doc_id = o.doc_id),
+placed AS (SELECT x.doc_id, x.path, regexp_replace(x.path, '/?[^/]*$', '') AS dir, n.licence, n.score, n.how
+           FROM texts x LEFT JOIN named n ON n.doc_id = x.doc_id),
+files AS (SELECT dir, arg_min(licence, (-score, licence)) AS licence, max(score) AS score FROM placed WHERE how = 'file' GROUP BY dir),
+near AS (SELECT d.dir, arg_max(f.licence, length(f.dir)) AS licence, arg_max(f.score, length(f.dir)) AS score
+         FROM (SELECT DISTINCT dir FROM placed) d JOIN files f ON d.dir = f.dir OR f.dir = '' OR starts_with(d.dir, f.dir || '/') GROUP BY d.dir)
+SELECT p.doc_id, p.path, coalesce(p.licence, near.licence) AS licence, coalesce(p.score, near.score) AS score,
+       coalesce(p.how, CASE WHEN near.licence IS NOT NULL THEN 'inherited' END) AS how
+FROM placed p LEFT JOIN near ON near.dir = p.dir"""
