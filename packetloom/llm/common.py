@@ -30,6 +30,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that a join's own names can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def both_sides(df: DataFrame) -> DataFrame:
     """A small aggregated side, dealt anew so that a join deals out both of its sides and Spark can split a hot key."""
     return df.repartition(shuffle_partitions(df.sparkSession))

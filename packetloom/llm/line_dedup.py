@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import SPACES, both_sides, lower_ascii
+from packetloom.llm.common import SPACES, both_sides, lower_ascii, whole_row
 
 
 def _lines(text):
@@ -47,13 +47,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set("__pos").alias("__drop"))
         .select(F.col("__id").alias("__did"), F.col("__row").alias("__drow"), "__drop")
     )
+    rows = docs.select(whole_row(docs).alias("doc"), own.alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    joined = rows.join(dropped, F.col("id").eqNullSafe(F.col("__did")) & (F.col("row") == F.col("__drow")), "left")
+    parts = joined.withColumn("parts", _lines(F.col("text"))).withColumn("drop", F.coalesce("__drop", F.array().cast("array<int>")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drop"))
+    rebuilt = F.when(F.size("drop") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    same = own.eqNullSafe(F.col("__did")) & (F.xxhash64(text) == F.col("__drow"))
-    joined = docs.select(*kept).join(dropped, same, "left")
-    parts = joined.withColumn("__parts", _lines(text)).withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__drop"))
-    rebuilt = F.when(F.size("__drop") == 0, F.coalesce(text, F.lit(""))).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get("__parts", i)), "\n")
-    )
-    counts = [F.size("__parts").cast("long").alias("n_lines"), F.size("__drop").cast("long").alias("n_dropped")]
-    return parts.select(*[rebuilt.alias(c) if c == text_col else F.col(c) for c in kept], *counts)
+    counts = [F.size("parts").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped")]
+    return parts.select(*[rebuilt.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in kept], *counts)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import both_sides
+from packetloom.llm.common import both_sides, whole_row
 from packetloom.llm.components import components
 from packetloom.operators.durable import checkpointed
 
@@ -227,5 +227,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` less the near duplicates, columns unchanged: of each component the document with the smallest id stays, as do rows without an id."""
     found = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(both_sides(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = found.select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(whole_row(docs).alias("doc"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(both_sides(gone), F.col("id") == F.col("gone"), "left_anti").select("doc.*")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.llm.common import both_sides, numbered_within
+from packetloom.llm.common import both_sides, numbered_within, whole_row
 from packetloom.operators.durable import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,14 +134,14 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with each row as often as the mix takes it, columns unchanged."""
     spread = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
     # exact repeats share one line here: their copies are added up and shared out again below
-    plan = spread.groupBy("doc_id", "source", "row").agg(F.sort_array(F.collect_list("copies"), False).alias("__copies"))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("row").alias("__row"), "__copies")
-    text = F.xxhash64(F.col(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__src")) & (text == F.col("__row"))
-    repeats = docs.join(plan, same)
-    one = repeats.where(F.size("__copies") == 1).withColumn("__k", F.element_at("__copies", 1))
-    order = Window.partitionBy("__id", "__src", "__row").orderBy(F.lit(0))
-    many = repeats.where(F.size("__copies") > 1).withColumn("__r", F.row_number().over(order))
-    many = many.withColumn("__k", F.coalesce(F.get("__copies", F.col("__r") - 1), F.lit(0))).drop("__r")
-    both = one.unionByName(many).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__k", F.lit(1))))).where("__k > 0")
-    return both.select(*docs.columns)
+    plan = spread.groupBy("doc_id", "source", "row").agg(F.sort_array(F.collect_list("copies"), False).alias("copies"))
+    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("row").alias("p_row"), "copies")
+    rows = docs.select(whole_row(docs).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("row") == F.col("p_row"))
+    repeats = rows.join(plan, same)
+    one = repeats.where(F.size("copies") == 1).withColumn("k", F.element_at("copies", 1))
+    order = Window.partitionBy("id", "source", "row").orderBy(F.lit(0))
+    many = repeats.where(F.size("copies") > 1).withColumn("nth", F.row_number().over(order))
+    many = many.withColumn("k", F.coalesce(F.get("copies", F.col("nth") - 1), F.lit(0))).drop("nth")
+    both = one.unionByName(many).where("k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "k")))
+    return both.select("doc.*")

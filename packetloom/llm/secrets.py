@@ -58,9 +58,6 @@ def guess_cost(value: str) -> float:
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + _letter(c))
     best = [0.0] + [math.inf] * n
     choice = math.log10(2)
     for i in range(n):
@@ -82,10 +79,10 @@ def guess_cost(value: str) -> float:
                 best[j] = min(best[j], here + choice + math.log10(47 * 2 * (j - i)))
         for unit in range(1, min(16, (n - i) // 2) + 1):
             if value[i + unit : i + 2 * unit] == value[i : i + unit]:
-                end, times = i + 2 * unit, 2
+                end, times, once = i + 2 * unit, 2, guess_cost(value[i : i + unit])
                 while True:
                     if unit > 1 or times > 2:
-                        best[end] = min(best[end], here + choice + brute[i + unit] - brute[i] + math.log10(times))
+                        best[end] = min(best[end], here + choice + once + math.log10(times))
                     if end + unit > n or value[end : end + unit] != value[i : i + unit]:
                         break
                     end, times = end + unit, times + 1
@@ -105,7 +102,8 @@ def spans_of(text: str, least: float = 8.0) -> list[tuple[str, int, int]]:
         values = {}
         for context in CONTEXTS:
             for m in context.finditer(text):
-                value = m.group(1).rstrip(".:!?)]}")
+                quoted = text[m.end(1) : m.end(1) + 1] in ('"', "'")
+                value = m.group(1) if quoted else m.group(1).rstrip(".:!?)]}")
                 if len(value) >= 6:
                     values[m.start(1)] = max(values.get(m.start(1), ""), value, key=len)
         found += [("guess", at, at + len(v)) for at, v in values.items() if guess_cost(v) >= least]
