@@ -134,6 +134,45 @@ def _(spark, d):
     )
 
 
+@query(
+    "dns_decode",
+    """SELECT page_id, CASE page_id % 4 WHEN 1 THEN rtrim(repeat('abcdefgh' || page_id % 10 || '.', 40), '.') WHEN 3 THEN 'www.example.' || page_id
+              ELSE 'q' || page_id || '.example' END AS qname, CAST(page_id % 90 AS BIGINT) AS answers, CAST(page_id % 90 * (page_id % 150) AS BIGINT) AS bytes
+        FROM pages""",
+)
+def _(spark, d):
+    """Replies with up to 89 TXT answers under plain and compressed owner names; questions plain, over 255 bytes, or behind a pointer."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id")
+    page = F.col("page_id")
+
+    def word(value, width=4):
+        return F.lpad(F.hex(value.cast("long")), width, "0")
+
+    def label(text):
+        return F.concat(word(F.length(text), 2), F.hex(F.encode(text, "utf-8")))
+
+    number = page.cast("string")
+    long_name = F.concat(F.repeat(label(F.concat(F.lit("abcdefgh"), (page % 10).cast("string"))), 40), F.lit("00"))
+    plain = F.concat(label(F.concat(F.lit("q"), number)), label(F.lit("example")), F.lit("00"))
+    # www, then a pointer to the labels that lie after the answers' owner, i.e. at the very end of the message
+    owner = F.when(page % 2 == 0, F.concat(label(F.lit("own")), label(F.lit("er")), F.lit("00"))).otherwise(F.lit("c00c"))
+    answer = F.concat(owner, F.lit("0010" "0001" "00000000"), word(page % 150), F.repeat(F.lit("41"), (page % 150).cast("int")))
+    answers = F.repeat(answer, (page % 90).cast("int"))
+    tail = F.concat(label(F.lit("example")), label(number), F.lit("00"))
+    pointer = word(0xC000 + 12 + 4 + 2 + 4 + F.length(answers) / 2)
+    question = F.when(page % 4 == 1, long_name).when(page % 4 == 3, F.concat(label(F.lit("www")), pointer)).otherwise(plain)
+    header = F.concat(F.lit("abcd" "8180" "0001"), word(page % 90), F.lit("0000" "0000"))
+    dns = F.concat(header, question, F.lit("0010" "0001"), answers, F.when(page % 4 == 3, tail).otherwise(""))
+    size = (F.length(dns) / 2).cast("int")
+    packet = F.concat(
+        F.lit("001122334455" "66778899aabb" "0800" "4500"), word(size + 28), F.lit("0000" "0000" "40" "11" "0000" "0a000001" "c0a80005" "0035" "1234"), word(size + 8), F.lit("0000"), dns,
+    )
+    frames = pages.select(F.lit("pages").alias("path"), page.alias("frame_no"), F.lit(0).cast("timestamp").alias("ts"), F.lit(60).alias("length"), F.unhex(packet).alias("frame"))
+    rows = capture.decode_frames(frames)
+    total = F.aggregate("dns_txt_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select(F.col("packet_id").alias("page_id"), F.col("dns_qname").alias("qname"), F.size("dns_txt_sizes").cast("long").alias("answers"), total.alias("bytes"))
+
+
 # ---------------------------------------------------------------- streams
 
 

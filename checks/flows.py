@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import duck, view
 from packetloom.functions import labels, net
 from packetloom.operators import classify as cl
+from packetloom.operators.durable import fresh
+from packetloom.sources.flows import read_flows
 
 FLOWS = duck("flows_ev")
 FEATURES = ["flow_duration", "tot_fwd_pkts", "flow_byts_s", "protocol", "dst_port"]
@@ -43,6 +46,35 @@ def _(spark, d):
     return rows.select("flow_key", "part", "prediction", *[F.expr(f"CAST(floor({c} * 1000) AS DOUBLE)").alias(c) for c in [*FEATURES, "fwd_header_len"]])
 
 
+@query(
+    "flow_csv_rows",
+    """SELECT how, count(*) AS n, count(d) AS filled, CAST(sum(a) AS BIGINT) AS total FROM (
+         SELECT l_orderkey * 10 + l_linenumber AS a, CASE WHEN l_linenumber % 4 <> 1 THEN 'x' END AS d FROM lineitem WHERE l_linenumber % 4 <> 2) r,
+         (VALUES ('all'), ('first'), ('counted')) v(how) GROUP BY how""",
+)
+def _(spark, d):
+    """Lines with too few fields (filled), too many (dropped), quoted commas; the rows don't depend on what is selected."""
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+    kind = F.col("l_linenumber") % 4
+    line = F.when(kind == 1, F.concat(key, F.lit(",2"))).when(kind == 2, F.concat(key, F.lit(",2,3,4,5"))).when(kind == 3, F.concat(key, F.lit(',"p,q",3,x')))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.coalesce(line, F.concat(key, F.lit(",2,3,x"))).alias("value"))
+    folder = fresh(spark, "flow-csv")
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": ["a,b,c,d"]})
+        yield from batches
+
+    lines.mapInPandas(with_header, "value string").write.text(folder)
+    rows = read_flows(spark, folder, ["a", "b", "c", "d"])
+    everything = rows.agg(F.lit("all").alias("how"), F.count("*").alias("n"), F.count("d").alias("filled"), F.sum(F.col("a").cast("long")).alias("total"))
+    first = rows.select("a").agg(F.lit("first").alias("how"), F.count("*").alias("n"), F.sum(F.col("a").cast("long")).alias("total"))
+    filled = rows.select("d").agg(F.count("d").alias("filled"))
+    counted = rows.agg(F.lit("counted").alias("how"), F.count("*").alias("n"))
+    return everything.unionByName(first.crossJoin(filled).select(*everything.columns)).unionByName(
+        counted.crossJoin(everything.select("filled", "total")).select(*everything.columns)
+    )  # one row on either side
+
+
 @query("flow_feature_means", "SELECT " + ", ".join(f"round({c}, 4) AS {c}" for c in FEATURES) + f" FROM {MEANS} m")
 def _(spark, d):
     return cl.feature_means(view(spark, d, "flows_ev"), FEATURES).select(*[F.round(c, 4).alias(c) for c in FEATURES])

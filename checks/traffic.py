@@ -339,23 +339,28 @@ dos_query(
     dos_sql(EV, "hscan", ["src_ip"], value="dst_ip", adds="(b.tcp_flags & 18) = 2 OR (b.tcp_flags IS NULL AND b.ip_proto = 17)"),
 )
 
-# Flow state in plain windows over whole connections.
-CONN = f"""(WITH p AS (
+
+
+def conn_sql(rel):
+    """Handshakes replayed packet by packet, then the entries they and other packets set, over whole connections."""
+    return f"""(WITH RECURSIVE p AS (
     SELECT *, src_ip || '|' || src_port AS e1, dst_ip || '|' || dst_port AS e2, epoch_us(ts) AS us,
         (tcp_flags & 18) = 2 AS syn, (tcp_flags & 18) = 18 AS synack, (tcp_flags & 18) = 16 AS ack,
-        (tcp_flags & 8) <> 0 OR coalesce(octet_length(payload), 0) > 0 AS data, (tcp_flags & 5) <> 0 AS closing FROM {duck('conn_ev')} c0),
+        (tcp_flags & 8) <> 0 OR coalesce(octet_length(payload), 0) > 0 AS data, (tcp_flags & 5) <> 0 AS closing FROM {rel} c0),
   q AS (SELECT *, least(e1, e2) AS a, greatest(e1, e2) AS b, e1 <= e2 AS fwd, CASE WHEN synack THEN e2 <= e1 ELSE e1 <= e2 END AS hs FROM p),
-  t AS (SELECT *, max(CASE WHEN syn OR synack THEN us END) OVER w AS touch FROM q
-        WINDOW w AS (PARTITION BY a, b, hs ORDER BY us, packet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  s AS (SELECT *, sum(CASE WHEN (syn OR synack) AND (touch IS NULL OR us - touch > 180000000) THEN 1 ELSE 0 END)
-        OVER (PARTITION BY a, b, hs ORDER BY us, packet_id ROWS UNBOUNDED PRECEDING) AS sess FROM t),
-  v AS (SELECT *, synack AND coalesce(max(CAST(syn AS INT)) OVER (PARTITION BY a, b, hs, sess ORDER BY us, packet_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS valid FROM s),
-  k AS (SELECT *, last_value(CASE WHEN valid THEN 'A' WHEN ack THEN 'K' END IGNORE NULLS) OVER (PARTITION BY a, b, hs, sess
-        ORDER BY us, packet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM v),
-  e AS (SELECT *, coalesce(ack AND prior = 'A' AND us - touch <= 180000000, false) AS eligible FROM k),
-  h AS (SELECT *, eligible AND coalesce(us - max(CASE WHEN eligible THEN us END) OVER (PARTITION BY a, b, hs ORDER BY us, packet_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 600000000, true) AS done FROM e),
+  n AS (SELECT a, b, hs, packet_id, us, syn, synack, ack, row_number() OVER (PARTITION BY a, b, hs ORDER BY us, packet_id) AS rn
+        FROM q WHERE syn OR synack OR ack),
+  r AS (SELECT a, b, hs, rn, packet_id, CASE WHEN syn THEN us END AS last, false AS answered, false AS done, false AS now FROM n WHERE rn = 1
+        UNION ALL
+        SELECT x.a, x.b, x.hs, x.rn, x.packet_id,
+               CASE WHEN x.syn THEN x.us WHEN NOT alive THEN NULL WHEN x.synack OR completes THEN x.us ELSE o.last END,
+               CASE WHEN x.synack AND alive THEN true ELSE alive AND o.answered END,
+               alive AND (o.done OR completes), completes
+        FROM (SELECT r.*, x AS x, coalesce(x.us - r.last <= CASE WHEN r.done THEN 600000000 ELSE 180000000 END, false) AS alive,
+                     x.ack AND r.answered AND NOT r.done
+                     AND coalesce(x.us - r.last <= 180000000, false) AS completes
+              FROM r JOIN n x ON x.a = r.a AND x.b = r.b AND x.hs = r.hs AND x.rn = r.rn + 1) o),
+  h AS (SELECT q.*, coalesce(r.now, false) AS done FROM q LEFT JOIN r ON r.packet_id = q.packet_id),
   m AS (SELECT *, CASE WHEN closing THEN -us WHEN done OR (synack AND NOT fwd) OR (ack AND data AND fwd) THEN us END AS mf,
                CASE WHEN closing THEN -us WHEN done OR (synack AND fwd) OR (ack AND data AND NOT fwd) THEN us END AS mr FROM h),
   z AS (SELECT *, CASE WHEN fwd THEN last_value(mf IGNORE NULLS) OVER before_row ELSE last_value(mr IGNORE NULLS) OVER before_row END AS mb,
@@ -367,12 +372,25 @@ CONN = f"""(WITH p AS (
          coalesce(ma > 0 AND us - ma <= 120000000, false) AS established_after FROM z)"""
 
 
+CONN = conn_sql(duck("conn_ev"))
+
+
 @query("flow_state", f"SELECT packet_id, handshake_done, established_before, established_after FROM {CONN} c")
 def _(spark, d):
     state = flowstate.with_flow_state(view(spark, d, "conn_ev"), slice_seconds=600)
     return state.select("packet_id", "handshake_done", "established_before", "established_after")
 
 
+# Sessions that stay open for hours: SYN, then SYN/ACKs at most 175 s apart, and an ACK now and then.
+@query("handshake_long_session", f"SELECT slices, packet_id FROM {conn_sql(duck('long_ev'))} c, (VALUES (600), (3600), (100000)) v(slices) WHERE handshake_done")
+def _(spark, d):
+    packets, found = view(spark, d, "long_ev"), None
+    for slices in (600, 3600, 100_000):
+        rows = flowstate.completed_handshakes(packets, slice_seconds=float(slices)).select(F.lit(slices).alias("slices"), "packet_id")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("handshake_completed", f"SELECT packet_id, ts, src_ip, dst_ip FROM {CONN} c WHERE handshake_done")
 def _(spark, d):
     return flowstate.completed_handshakes(view(spark, d, "conn_ev")).select("packet_id", "ts", "src_ip", "dst_ip")

@@ -110,6 +110,18 @@ def conn_ev(d) -> str:
           FROM (SELECT event_id, user_id, event_type, {d.k('props')} AS k, {d.micros('ts')} AS us FROM events) e) c"""
 
 
+def long_ev(d) -> str:
+    """Handshakes that are kept open by SYN/ACKs 170 s apart, longer than any slice; every 31st packet is an ACK, every 97th a SYN."""
+    return f"""
+    SELECT event_id AS packet_id, {d.at('(event_id ' + d.div + ' 4) * 170000000')} AS ts,
+           concat('10.0.0.', CAST((CASE WHEN back THEN 50 ELSE 1 END) + event_id % 4 AS {d.text})) AS src_ip,
+           concat('10.0.0.', CAST((CASE WHEN back THEN 1 ELSE 50 END) + event_id % 4 AS {d.text})) AS dst_ip,
+           CAST(CASE WHEN back THEN 80 ELSE 4000 END AS INT) AS src_port, CAST(CASE WHEN back THEN 4000 ELSE 80 END AS INT) AS dst_port,
+           6 AS ip_proto, CAST(CASE WHEN back THEN 18 WHEN event_id % 31 = 0 THEN 16 ELSE 2 END AS INT) AS tcp_flags,
+           CAST(NULL AS INT) AS icmp_type, CAST(NULL AS INT) AS arp_op, {d.blob("''")} AS payload
+    FROM (SELECT event_id, NOT (event_id % 31 = 0 OR event_id % 97 = 0 OR event_id < 4) AS back FROM events) e"""
+
+
 def arp_ev(d) -> str:
     return f"""
     SELECT event_id AS packet_id, {d.at(f'us {d.div} 1000')} AS ts,
@@ -274,7 +286,7 @@ def rules_ev(d) -> str:
 
 VIEWS = {
     f.__name__: f
-    for f in (packets_ev, conn_ev, arp_ev, frag_ev, dns_ev, http_ev, post_ev, auth_ev, flows_ev, rules_ev)
+    for f in (packets_ev, conn_ev, long_ev, arp_ev, frag_ev, dns_ev, http_ev, post_ev, auth_ev, flows_ev, rules_ev)
 }
 
 

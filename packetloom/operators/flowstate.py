@@ -2,16 +2,22 @@
 
 A directed flow is established by a SYN/ACK of its peer, by the ACK completing a handshake (both
 directions) or by its own ACK carrying data or PSH, and stays so for ``ttl`` seconds. RST and FIN
-clear both directions. Both directions of a connection share one partition; a connection that
-carries a large share of the traffic is split into time slices with enough context copied over.
+clear both directions.
+
+A connection that carries a large share of the traffic is split into time slices. What an entry may
+be remembered for, ``ttl`` seconds, is copied over between slices. A handshake has no such bound, since
+repeated SYN and SYN/ACK packets keep it open; it is followed by a state machine over the few packets
+that can change it, which hands its state on from one stretch of time to the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from packetloom.functions.net import ACK, FIN, PSH, RST, SYN, has_flag
 from packetloom.functions.timecols import to_us
+from packetloom.operators.programs import Handshake
+from packetloom.operators.scan import keyed_scan
 from packetloom.operators.sliding import _clean, slice_with_lookback
 
 # Fixed values, in seconds: lifetimes of a pending handshake, of a completed one, of an entry.
@@ -19,8 +25,23 @@ HANDSHAKE_TTL = 180.0
 COMPLETED_TTL = 600.0
 ENTRY_TTL = 120.0
 
-_STEPS = ["__a", "__b", "__fwd", "__syn", "__synack", "__ack", "__hs", "__touch", "__session", "__valid",
-          "__pair", "__last", "__eligible", "__mark_fwd", "__mark_rev", "__before", "__after"]
+_STEPS = ["__a", "__b", "__fwd", "__syn", "__synack", "__ack", "__hs", "__done", "__mark_fwd", "__mark_rev", "__before", "__after"]
+
+_DONE = T.StructType([T.StructField("done_us", T.LongType()), T.StructField("done_id", T.LongType())])
+
+
+def _handshake_steps(rows: DataFrame, tie: str) -> DataFrame:
+    """The packets that can change a handshake: SYN, SYN/ACK, and ACKs that may be the first after a SYN/ACK.
+
+    Within a slice these are the ACKs right after a SYN/ACK; the first ACK of a slice may be one as well. An
+    ACK after another one changes nothing, so the others are not needed.
+    """
+    of_slice = Window.partitionBy("__a", "__b", "__slice", "__hs").orderBy("__us", tie).rowsBetween(Window.unboundedPreceding, -1)
+    prior = F.last(F.when(F.col("__synack"), "A").when(F.col("__ack"), "K"), ignorenulls=True).over(of_slice)
+    kept = F.col("__syn") | F.col("__synack") | (F.coalesce(prior, F.lit("A")) == "A")
+    kind = F.when(F.col("__synack"), "A").when(F.col("__syn"), "S").otherwise("K")
+    steps = rows.where(F.col("__own") & (F.col("__syn") | F.col("__synack") | F.col("__ack"))).withColumn("__prior", kept)
+    return steps.where("__prior").select("__a", "__b", "__hs", F.col("__us").alias("us"), F.col(tie).alias("packet_id"), kind.alias("kind"))
 
 
 def with_flow_state(
@@ -34,13 +55,13 @@ def with_flow_state(
     """Add ``handshake_done``, ``established_before`` and ``established_after`` to TCP packets.
 
     ``before`` is the state the packet meets, ``after`` includes its own effect. A handshake is a
-    SYN, a SYN/ACK and the first ACK after it with no pause above 180 s, and counts once per 600 s.
+    SYN, a SYN/ACK and the first ACK after it with no pause above 180 s. It counts once: after that, SYN and SYN/ACK
+    packets at most 600 s apart belong to it. The result does not depend on ``slice_seconds``.
     """
     flags = F.col("tcp_flags")
     here, there = F.concat_ws("|", "src_ip", "src_port"), F.concat_ws("|", "dst_ip", "dst_port")
     has_syn, has_ack = has_flag(flags, SYN), has_flag(flags, ACK)
-    lookback = ttl + COMPLETED_TTL + 2 * HANDSHAKE_TTL
-    df = slice_with_lookback(tcp_packets, lookback, ts, slice_seconds)
+    df = slice_with_lookback(tcp_packets, ttl, ts, slice_seconds)
     df = (
         df.withColumn("__a", F.least(here, there))
         .withColumn("__b", F.greatest(here, there))
@@ -53,25 +74,16 @@ def with_flow_state(
     # Handshakes are followed per client direction; the server's SYN/ACK belongs to the reverse one.
     df = df.withColumn("__hs", F.when(F.col("__synack") & (F.col("__a") != F.col("__b")), ~F.col("__fwd")).otherwise(F.col("__fwd")))
     conn = ["__a", "__b", "__slice"]
-    pending, us = to_us(HANDSHAKE_TTL), F.col("__us")
-
-    by_client = Window.partitionBy(*conn, "__hs").orderBy("__us", tie)
-    past = by_client.rowsBetween(Window.unboundedPreceding, -1)
-    opens = F.col("__syn") | F.col("__synack")
-    df = df.withColumn("__touch", F.max(F.when(opens, us)).over(past))
-    starts = opens & (F.col("__touch").isNull() | (us - F.col("__touch") > pending))
-    df = df.withColumn("__session", F.sum(F.when(starts, 1).otherwise(0)).over(by_client.rowsBetween(Window.unboundedPreceding, 0)))
-
-    in_session = Window.partitionBy(*conn, "__hs", "__session").orderBy("__us", tie).rowsBetween(Window.unboundedPreceding, -1)
-    syn_seen = F.coalesce(F.max(F.col("__syn")).over(in_session), F.lit(False))
-    df = df.withColumn("__valid", F.col("__synack") & syn_seen)
-    counted = F.when(F.col("__valid"), F.lit("A")).when(F.col("__ack"), F.lit("K"))
-    df = df.withColumn("__pair", counted).withColumn("__last", F.last("__pair", ignorenulls=True).over(in_session))
-    eligible = F.col("__ack") & (F.col("__last") == "A") & (us - F.col("__touch") <= pending)
-    df = df.withColumn("__eligible", F.coalesce(eligible, F.lit(False)))
-    previous = F.max(F.when(F.col("__eligible"), us)).over(past)
-    fresh = previous.isNull() | (us - previous > to_us(COMPLETED_TTL))
-    df = df.withColumn("handshake_done", F.col("__eligible") & fresh)
+    us = F.col("__us")
+    program = Handshake(HANDSHAKE_TTL, COMPLETED_TTL)
+    done = keyed_scan(_handshake_steps(df, tie), ["__a", "__b", "__hs"], ["us", "packet_id"], program, _DONE)
+    # A marker right before the packet that completes a handshake, in every slice that sees the packet.
+    marks = slice_with_lookback(done.withColumn("__at", F.timestamp_micros("done_us")), ttl, "__at", slice_seconds)
+    marks = marks.select("__a", "__b", "__slice", "__us", F.col("done_id").alias(tie), F.lit(True).alias("__done"))
+    df = df.withColumn("__done", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    at_packet = Window.partitionBy(*conn).orderBy("__us", tie, F.desc("__done"))
+    same = F.lag("__done").over(at_packet) & (F.lag("__us").over(at_packet) == us) & (F.lag(tie).over(at_packet) == F.col(tie))
+    df = df.withColumn("handshake_done", F.coalesce(same, F.lit(False))).where(~F.col("__done"))
 
     size = F.coalesce(F.octet_length("payload"), F.lit(0)) if "payload" in df.columns else F.lit(0)
     data = F.col("__ack") & (has_flag(flags, PSH) | (size > 0))

@@ -164,6 +164,39 @@ class Reassembly:
         return self._expire(state) if state["first"] is not None else []
 
 
+class Handshake:
+    """Three-way handshakes of one (client, server): SYN, SYN/ACK, then the first ACK completes it, once.
+
+    An entry is forgotten ``pending`` seconds after its last SYN or SYN/ACK, or ``completed`` seconds once it is complete.
+    """
+
+    columns = ["us", "packet_id", "kind"]
+
+    def __init__(self, pending, completed):
+        self.pending, self.completed = round(pending * SECOND), round(completed * SECOND)
+
+    def initial(self):
+        return {"last": None, "synack": False, "done": False}
+
+    def step(self, state, row):
+        us, packet_id, kind = row
+        if state["last"] is not None and us - state["last"] > (self.completed if state["done"] else self.pending):
+            state.update(self.initial())
+        if kind == "S":
+            state["last"] = us
+        elif state["last"] is None:
+            return []
+        elif kind == "A":
+            state["last"], state["synack"] = us, True
+        elif state["synack"] and not state["done"]:
+            state["last"], state["done"] = us, True
+            return [(us, packet_id)]
+        return []
+
+    def finish(self, state):
+        return []
+
+
 class SlidingCount:
     """Rows of the key in ``[t - window, t]``, at every row."""
 

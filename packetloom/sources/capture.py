@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packetloom.functions import net
-from packetloom.functions.text import byte_text, utf8_text
+from packetloom.functions.text import utf8_text
 from packetloom.schema import FRAMES, PACKETS
 
 FRAMES_PER_BATCH = 4096
@@ -101,36 +101,37 @@ def _address6(frame: Column, at: Column) -> Column:
     return F.concat_ws(":", *groups)
 
 
-def dns_name(message: Column) -> Column:
-    """Name of the first question, labels joined by dots; NULL for a compressed or cut-off name."""
-    labels = F.substring(message, F.lit(13), F.greatest(F.length(message) - 12, F.lit(0)))
-    chars = byte_text(labels)
-    size = F.length(labels)
+def _steps(message: Column) -> Column:
+    """Enough steps for anything in a message: a label takes two bytes at least, an answer's fixed part ten."""
+    return F.sequence(F.lit(1), (F.coalesce(F.length(message), F.lit(0)) / 2 + 3).cast("int"))
+
+
+def walk_name(message: Column, begin: Column) -> Column:
+    """struct(name, after) of the domain name at a zero-based offset: labels joined by dots, pointers followed,
+    and the offset behind the name. The walk ends with the message; a cut-off or circular name is NULL."""
     start = F.struct(
-        F.lit(0).alias("left"), F.lit(False).alias("done"), F.lit(False).alias("bad"), F.lit("").alias("name")
+        begin.cast("int").alias("at"), F.lit(None).cast("int").alias("after"), F.lit(False).alias("done"), F.lit(False).alias("bad"), F.lit("").cast("binary").alias("name")
     )
 
-    def step(state: Column, i: Column) -> Column:
-        code = F.ascii(F.substring(chars, i, F.lit(1)))
-        at_label = state["left"] == 0
-        active = ~state["done"] & ~state["bad"]
-        bad = active & at_label & (code > 63)
-        done = active & at_label & (code == 0)
-        grows = active & ~at_label
-        dot = active & at_label & (code > 0) & (code <= 63) & (F.length(state["name"]) > 0)
+    def step(state: Column, _i: Column) -> Column:
+        at, code = state["at"], _number(message, state["at"], 1).cast("int")
+        going = ~state["done"] & ~state["bad"]
+        target = (_number(message, at, 2).cast("int")).bitwiseAND(0x3FFF)
+        piece = F.substring(message, at + 2, code)
+        is_label, is_pointer = code.between(1, 63), code >= 192
+        wrong = code.isNull() | code.between(64, 191) | (is_label & (F.length(piece) < code)) | (is_pointer & target.isNull())
+        longer = F.when(F.length(state["name"]) > 0, F.concat(state["name"], F.lit(".").cast("binary"), piece)).otherwise(piece)
         return F.struct(
-            F.when(active & at_label, code).when(grows, state["left"] - 1).otherwise(state["left"]).alias("left"),
-            (state["done"] | done).alias("done"),
-            (state["bad"] | bad).alias("bad"),
-            F.when(grows, F.concat(state["name"], F.substring(chars, i, F.lit(1))))
-            .when(dot, F.concat(state["name"], F.lit(".")))
-            .otherwise(state["name"])
-            .alias("name"),
+            F.when(going & is_pointer, target).when(going & is_label, at + 1 + code).otherwise(at).alias("at"),
+            F.coalesce(state["after"], F.when(going & is_pointer, at + 2).when(going & (code == 0), at + 1)).alias("after"),
+            (state["done"] | (going & F.coalesce(code == 0, F.lit(False)))).alias("done"),
+            (state["bad"] | (going & wrong)).alias("bad"),
+            F.when(going & is_label & ~wrong, longer).otherwise(state["name"]).alias("name"),
         )
 
-    reach = F.least(size, F.lit(255))
-    walked = F.aggregate(F.when(reach > 0, F.sequence(F.lit(1), reach)).otherwise(F.array().cast("array<int>")), start, step)
-    return F.when(walked["done"] & ~walked["bad"], utf8_text(F.encode(walked["name"], "ISO-8859-1")))
+    walked = F.aggregate(_steps(message), start, step)
+    good = walked["done"] & ~walked["bad"]
+    return F.struct(F.when(good, utf8_text(walked["name"])).alias("name"), F.when(good, walked["after"]).alias("after"))
 
 
 def decode_frames(frames: DataFrame, id_column: str = "frame_no") -> DataFrame:
@@ -216,34 +217,36 @@ def decode_frames(frames: DataFrame, id_column: str = "frame_no") -> DataFrame:
     )
     df = df.withColumn("__dns", message)
     df = df.withColumn("dns_qr", F.shiftright(_number(F.col("__dns"), F.lit(2), 1), 7).cast("int"))
-    df = df.withColumn("dns_qname", F.when(F.col("__dns").isNotNull(), dns_name(F.col("__dns"))))
-    df = df.withColumn("dns_txt_sizes", F.when(F.col("__dns").isNotNull(), txt_sizes(F.col("__dns"), F.col("dns_qname"))))
+    df = df.withColumn("__question", F.when(F.col("__dns").isNotNull(), walk_name(F.col("__dns"), F.lit(12))))
+    df = df.withColumn("dns_qname", F.col("__question.name"))
+    answers = F.when(F.col("dns_qr") == 1, F.col("__question.after") + 4)  # type and class of the question lie between
+    df = df.withColumn("dns_txt_sizes", F.when(F.col("__dns").isNotNull(), txt_sizes(F.col("__dns"), answers)))
     label = net.protocol_label(is_arp, tcp, udp, icmp, F.col("src_port"), F.col("dst_port"))
     df = df.withColumn("proto", label).withColumn("packet_id", F.col(id_column).cast("long"))
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PACKETS])
 
 
-def txt_sizes(message: Column, question: Column) -> Column:
-    """Data sizes of the TXT answers whose owner name is a pointer, as in ordinary replies."""
-    count = F.least(_number(message, F.lit(6), 2), F.lit(64))
-    begin = F.when(question.isNotNull(), F.octet_length(question) + F.when(question == "", 1).otherwise(2) + 16)
+def txt_sizes(message: Column, begin: Column) -> Column:
+    """Data sizes of all TXT answers; ``begin`` is the offset of the first answer. Owner names may be plain or compressed."""
     state = F.struct(
-        begin.cast("long").alias("at"), F.array().cast("array<int>").alias("sizes")
+        begin.cast("int").alias("at"), _number(message, F.lit(6), 2).cast("int").alias("left"), F.lit(True).alias("in_name"), F.array().cast("array<int>").alias("sizes")
     )
 
     def step(acc: Column, _i: Column) -> Column:
-        at = acc["at"].cast("int")
-        pointer = F.shiftright(_number(message, at, 1), 6) == 3
-        kind, size = _number(message, at + 2, 2), _number(message, at + 10, 2)
+        at, code = acc["at"], _number(message, acc["at"], 1).cast("int")
+        going = acc["left"] > 0
+        naming, data = going & acc["in_name"], going & ~acc["in_name"]
+        kind, size = _number(message, at, 2), _number(message, at + 8, 2).cast("int")
+        stuck = (naming & (code.isNull() | code.between(64, 191))) | (data & size.isNull())
+        named = naming & ((code == 0) | (code >= 192))
         return F.struct(
-            F.when(pointer, at + 12 + size).cast("long").alias("at"),
-            F.when(pointer & (kind == 16), F.concat(acc["sizes"], F.array(size.cast("int"))))
-            .otherwise(acc["sizes"])
-            .alias("sizes"),
+            F.when(naming & (code >= 192), at + 2).when(naming, at + 1 + code).when(data, at + 10 + size).otherwise(at).alias("at"),
+            F.when(stuck, 0).when(data, acc["left"] - 1).otherwise(acc["left"]).alias("left"),
+            F.when(naming, ~named).when(data, F.lit(True)).otherwise(acc["in_name"]).alias("in_name"),
+            F.when(data & (kind == 16) & size.isNotNull(), F.concat(acc["sizes"], F.array(size))).otherwise(acc["sizes"]).alias("sizes"),
         )
 
-    answers = F.when(count > 0, F.sequence(F.lit(1), count.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(answers, state, step)["sizes"]
+    return F.when(begin.isNotNull(), F.aggregate(_steps(message), state, step)["sizes"]).otherwise(F.array().cast("array<int>"))
 
 
 # ---------------------------------------------------------------- the packet table
