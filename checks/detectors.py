@@ -136,7 +136,34 @@ def _(spark, d):
 # ---------------------------------------------------------------- SYN scans
 
 
-@query("syn_scan")
+PROBES = f"""(SELECT packet_id, ts, epoch_us(ts) AS us, src_ip AS src, dst_ip AS dst, dst_port FROM {duck('packets_ev')} p0
+    WHERE (tcp_flags & 18) = 2 AND dst_port IS NOT NULL)"""
+# Row by row: what the source has probed in the window since its last alert, and when each target was last reported.
+SYN_SCANS = f"""(WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts, packet_id) AS rn FROM {PROBES} p1),
+    st AS (
+      SELECT src, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS since, CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS told, CAST(NULL AS VARCHAR) AS kind,
+             CAST(0 AS BIGINT) AS count, CAST(NULL AS VARCHAR) AS dst FROM p WHERE rn = 1
+      UNION ALL
+      SELECT src, rn, CASE WHEN kind IS NULL THEN since ELSE rn END,
+             CASE WHEN kind IS NULL THEN told ELSE list_append(told, {{'k': CASE kind WHEN 'syn_scan_per_target' THEN 'to ' || target ELSE 'distributed' END, 't': us}}) END,
+             kind, CASE kind WHEN 'syn_scan_per_target' THEN here ELSE pairs END, CASE kind WHEN 'syn_scan_per_target' THEN target ELSE 'multiple_targets' END
+      FROM (SELECT *, CASE WHEN here >= 3 AND len(list_filter(told, lambda x: x.k = 'to ' || target AND us - x.t <= 30000000)) = 0 THEN 'syn_scan_per_target'
+                           WHEN pairs >= 6 AND len(list_filter(told, lambda x: x.k = 'distributed' AND us - x.t <= 30000000)) = 0 THEN 'syn_scan_distributed' END AS kind
+            FROM (SELECT n.src, n.rn, s.since, s.told, n.us, n.dst AS target, count(DISTINCT CASE WHEN o.dst = n.dst THEN o.dst_port END) AS here,
+                         count(DISTINCT o.dst || '|' || o.dst_port) AS pairs
+                  FROM st s JOIN p n ON n.src = s.src AND n.rn = s.rn + 1
+                       JOIN p o ON o.src = n.src AND o.rn > s.since AND o.rn <= n.rn AND o.us >= n.us - 60000000
+                  GROUP BY ALL) c) q)
+    SELECT st.src, p.packet_id, p.ts, st.dst, st.kind, st.count FROM st JOIN p ON p.src = st.src AND p.rn = st.rn WHERE st.kind IS NOT NULL)"""
+
+
+@query(
+    "syn_scan",
+    alert_sql(
+        SYN_SCANS, "SynScanDetector", "HIGH", "CASE kind WHEN 'syn_scan_per_target' THEN 1000013 ELSE 1000014 END",
+        "printf('[ALERT] SYN-SCAN Detected (custom detector) src=%s -> %s ports=%d window=60s priority=HIGH type=%s', src, dst, count, kind)", "src", "dst",
+    ),
+)
 def _(spark, d):
     return synscan.detect_syn_scan(view(spark, d, "packets_ev"), window=60, ports=3, pairs=6)
 
@@ -210,6 +237,9 @@ FAIL = f"""(SELECT packet_id, ts, dst_ip AS client, src_ip AS server, CASE src_p
       WHEN 80 THEN reply <> 'HTTP/1.1 200 ok' WHEN 25 THEN NOT starts_with(reply, '250') ELSE substring(reply, 7, 1) IN ('(', '*') END)"""
 
 
+NAMED = f"(SELECT * FROM {FAIL} n0 WHERE username IS NOT NULL AND username <> 'unknown')"
+
+
 def failures(spark, d):
     return bruteforce.login_failures(view(spark, d, "auth_ev"))
 

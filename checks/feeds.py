@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F, types as T
 
 from checks.registry import query
 from checks.traffic import LABELLED, SMALL, dos_sql, window_join
+from checks.detectors import ARP, ENUM, FLOOD, FOLD, FRAG, FRAG_LIMITS, NAMED, PROBES, SYN_SCANS, failures
 from checks.registry import cooldown_sql
 from checks.views import SPARK, VIEWS, duck, view
 from packetloom.functions import text
 from packetloom.operators import dos
-from packetloom.operators.durable import ensure_checkpoint_dir
-from packetloom.operators.programs import Cooldown, SlidingCount
+from packetloom.functions.timecols import micros
+from packetloom.operators import bruteforce, fragments, synscan
+from packetloom.operators.durable import fresh
+from packetloom.operators.programs import Cooldown, CountThenReset, Reassembly, SlidingCount, SynScan, UsernameEnumeration
 from packetloom.plans.registry import Registry, numbered_feed
 from packetloom.sources import alertlog, capture
 from packetloom.streaming import flows as st
@@ -184,9 +185,23 @@ def event_packets(spark, d):
 
 
 def folder(spark):
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return tempfile.mkdtemp(prefix="stream-", dir=base.removeprefix("file:")) if base.startswith(("file:", "/")) else f"{base}/stream"
+    return fresh(spark, "stream")
+
+
+def landed(spark, rows, files=5, jitter=30):
+    """``rows`` as a stream over several files that land one after the other, with rows up to ``jitter`` seconds out of order."""
+    path, us = fresh(spark, "landed"), micros(rows, "ts")
+    late = us + F.pmod(F.xxhash64("packet_id"), F.lit(jitter * 1_000_000))
+    lo, hi = rows.agg(F.min(late), F.max(late)).first()
+    turn = F.floor((late - lo) * files / (hi - lo + 1))
+    for k in range(files):
+        rows.where(turn == k).repartition(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def passed(rel, ts="ts"):
+    """The last watermark over ``rel``: a minute behind its last row, in whole milliseconds."""
+    return f"(SELECT make_timestamp((epoch_us(max(ts)) // 1000 - 60000) * 1000) FROM {rel} m)"
 
 
 def naive(df):
@@ -208,18 +223,53 @@ COUNT_OUT = T.StructType([T.StructField("at", T.LongType()), T.StructField("pack
 KEPT_OUT = T.StructType([T.StructField("at", T.LongType()), T.StructField("packet_id", T.LongType())])
 
 
-@query("stream_sliding_count", window_join(EV, PAIR, 20, "a.src_ip, a.dst_ip, a.packet_id, count(b.packet_id) AS n"))
+@query("stream_sliding_count", f"""SELECT q.* FROM ({window_join(EV, PAIR, 20, "a.src_ip, a.dst_ip, a.packet_id, count(b.packet_id) AS n")}) q
+    JOIN {EV} t ON t.packet_id = q.packet_id WHERE t.ts <= {passed(EV)}""")
 def _(spark, d):
-    stream = st.stream_scan(event_packets(spark, d), PAIR, SlidingCount(20), COUNT_OUT, ttl_seconds=3600)
+    stream = st.stream_scan(landed(spark, view(spark, d, "packets_ev")), PAIR, SlidingCount(20), COUNT_OUT)
     return st.run_to_end(stream, folder(spark)).drop("at")
 
 
-@query("stream_cooldown", f"SELECT src_ip, dst_ip, packet_id FROM {cooldown_sql(EV, PAIR, 30, True)} c")
+@query("stream_cooldown", f"SELECT src_ip, dst_ip, packet_id FROM {cooldown_sql(EV, PAIR, 30, True)} c WHERE ts <= {passed(EV)}")
 def _(spark, d):
     stream = st.stream_scan(event_packets(spark, d), PAIR, Cooldown(30, True), KEPT_OUT)
     return st.run_to_end(stream, folder(spark)).drop("at")
 
 
+@query("stream_syn_scan", f"SELECT src, packet_id, dst, kind, count FROM {SYN_SCANS} s WHERE ts <= {passed(PROBES)}")
+def _(spark, d):
+    probes = landed(spark, synscan.syn_probes(view(spark, d, "packets_ev")))
+    stream = st.stream_scan(probes, ["src"], SynScan(60, 3, 6), synscan.SCAN_OUT)
+    return st.run_to_end(stream, folder(spark)).select("src", "packet_id", "dst", "kind", "count")
+
+
+@query("stream_arp_flood", f"SELECT packet_id, 25 AS n FROM {FLOOD} f WHERE ts <= {passed(ARP)}")
+def _(spark, d):
+    """One count over all ARP packets, as the detector keeps it."""
+    packets = landed(spark, view(spark, d, "arp_ev").select("packet_id", "ts")).withColumn("network", F.lit("local"))
+    stream = st.stream_scan(packets, ["network"], CountThenReset(10, 25), COUNT_OUT)
+    return st.run_to_end(stream, folder(spark)).select("packet_id", "n")
+
+
+@query("stream_name_enumeration", f"SELECT client, service, packet_id, server, 10 AS found FROM {ENUM} e WHERE ts <= {passed(NAMED)}")
+def _(spark, d):
+    named = failures(spark, d).where(F.col("username").isNotNull() & (F.col("username") != "unknown"))
+    rows = landed(spark, named.select("packet_id", "ts", "client", "service", "server", "username"))
+    stream = st.stream_scan(rows, ["client", "service"], UsernameEnumeration(10), bruteforce.ENUM_OUT)
+    return st.run_to_end(stream, folder(spark)).select("client", "service", "packet_id", "server", "found")
+
+
+@query(
+    "stream_reassembly",
+    f"""SELECT src, dst, ip_id, packet_id, kind, CAST(value AS BIGINT) AS value FROM {FOLD} f
+        WHERE ts < {passed(FRAG)} OR (ts = {passed(FRAG)} AND kind <> 'timeout')""",
+)
+def _(spark, d):
+    rows = landed(spark, fragments.ip_fragments(view(spark, d, "frag_ev")))
+    stream = st.stream_scan(rows, ["src", "dst", "ip_id"], Reassembly(FRAG_LIMITS.timeout, FRAG_LIMITS.per_packet), fragments.FRAGMENT_OUT)
+    return st.run_to_end(stream, folder(spark)).select("src", "dst", "ip_id", "packet_id", "kind", "value")
+
+
 @query("stream_hopping_counts")
 def _(spark, d):
     return st.run_to_end(st.hopping_counts(event_packets(spark, d), ["src_ip"], "60 seconds", "20 seconds", 4, "dst_ip"), folder(spark))

@@ -1,6 +1,8 @@
 """State machines shared by the batch scan and the streaming operators.
 
-States are JSON-able. Every program lists the columns it reads, event time in microseconds first.
+States are JSON-able. Every program lists the columns it reads, event time in microseconds first. ``memory`` is
+the time in microseconds after which a state without new rows equals the initial one; ``due(state)`` the time after
+which ``finish`` has something to say.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ class SynScan:
     def __init__(self, window=10.0, ports=5, pairs=12, cooldown=30.0):
         self.window, self.ports, self.pairs = round(window * SECOND), ports, pairs
         self.cooldown = round(cooldown * SECOND)
+        self.memory = max(self.window, self.cooldown)
 
     def initial(self):
         return {"events": [], "counts": {}, "pairs": 0, "alerted": {}}
@@ -103,6 +106,10 @@ class Reassembly:
 
     def __init__(self, timeout=30.0, most=50, largest=65535):
         self.timeout, self.most, self.largest = round(timeout * SECOND), most, largest
+        self.memory = self.timeout
+
+    def due(self, state):
+        return None if state["first"] is None else state["first"] + self.timeout
 
     def initial(self):
         return {"first": None, "first_id": None, "ranges": [], "points": [], "offsets": [], "count": 0, "total": 0}
@@ -174,6 +181,7 @@ class Handshake:
 
     def __init__(self, pending, completed):
         self.pending, self.completed = round(pending * SECOND), round(completed * SECOND)
+        self.memory = max(self.pending, self.completed)
 
     def initial(self):
         return {"last": None, "synack": False, "done": False}
@@ -203,7 +211,7 @@ class SlidingCount:
     columns = ["us", "packet_id"]
 
     def __init__(self, window):
-        self.window = round(window * SECOND)
+        self.window = self.memory = round(window * SECOND)
 
     def initial(self):
         return []
@@ -224,7 +232,7 @@ class Cooldown:
     columns = ["us", "packet_id"]
 
     def __init__(self, seconds, strict):
-        self.gap = round(seconds * SECOND) + (1 if strict else 0)
+        self.gap = self.memory = round(seconds * SECOND) + (1 if strict else 0)
 
     def initial(self):
         return {"last": None}
@@ -247,6 +255,7 @@ class CountThenReset:
 
     def __init__(self, window, threshold):
         self.window, self.threshold = round(window * SECOND), threshold
+        self.memory = self.window
 
     def initial(self):
         return []

@@ -2,6 +2,7 @@
 
 Event time drives everything. Rows later than the watermark are dropped by Spark and counted in the
 query's progress. A stopped query resumes from its checkpoint; a new checkpoint starts from nothing.
+State machines see rows in event order, as in batch: rows wait until the watermark has passed them.
 """
 
 from __future__ import annotations
@@ -68,34 +69,50 @@ def stream_scan(
     delay: str = WATERMARK,
     ttl_seconds: float | None = None,
 ) -> DataFrame:
-    """The streaming form of ``keyed_scan``: the same program, its state kept as JSON per key.
+    """The streaming form of ``keyed_scan``: the same program over the same order, so the same rows come out.
 
-    Rows of a micro-batch are taken in event order. A key whose last row lies ``ttl_seconds`` behind
-    the watermark loses its state.
+    A row waits in its key's state until the watermark has passed it; then rows are stepped by (time, packet id).
+    Programs with a time limit (``due``) are called when the watermark passes it, without waiting for a packet. State
+    goes once the watermark is ``ttl_seconds`` behind the key's last row (default: the time after which the program
+    has forgotten all, its ``memory``; a program without one keeps its state), and what it still has to say is emitted.
+    The state is the program's own plus the rows of the watermark's delay.
     """
     timed = with_event_time(packets, delay).withColumn("us", F.unix_micros("ts"))
     rows = timed.select(*dict.fromkeys([*keys, "us", "packet_id", *program.columns]), "ts")
     schema = T.StructType([rows.schema[k] for k in keys] + list(out_schema.fields))
-    names, read = schema.fieldNames(), list(program.columns)
+    names, read = schema.fieldNames(), ["us", "packet_id", *program.columns]
+    memory = round(ttl_seconds * 1_000_000) if ttl_seconds else getattr(program, "memory", None)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        batch = pd.concat(list(batches), ignore_index=True).sort_values(["us", "packet_id"], kind="stable")
-        state = json.loads(held.get[0]) if held.exists else program.initial()
-        out = []
         # Plain Python values: the state must survive a round trip through JSON.
-        for row in zip(*[batch[c].tolist() for c in read], strict=True):
-            out += [tuple(key) + tuple(o) for o in program.step(state, row)]
-        held.update((dump_state(state),))
-        if ttl_seconds:
-            expiry = int(batch["us"].max()) // 1000 + round(ttl_seconds * 1000)
-            held.setTimeoutTimestamp(max(expiry, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+        whole = json.loads(held.get[0]) if held.exists else {"of": program.initial(), "wait": [], "last": None}
+        state, waiting = whole["of"], whole["wait"]
+        for batch in batches:
+            waiting += [list(row) for row in zip(*[batch[c].tolist() for c in read], strict=True)]
+        waiting.sort(key=lambda r: (r[0], r[1]))
+        mark, out, at = max(held.getCurrentWatermarkMs(), 0) * 1000, [], 0
+        while at < len(waiting) and waiting[at][0] <= mark:
+            out += program.step(state, tuple(waiting[at][2:]))
+            whole["last"] = waiting[at][0]
+            at += 1
+        whole["wait"] = waiting = waiting[at:]
+        due = program.due(state) if hasattr(program, "due") else None
+        if due is not None and due < mark and not (waiting and waiting[0][0] <= due):
+            out += program.finish(state)
+            whole["of"], due = program.initial(), None
+        ends = whole["last"] + memory if memory is not None and whole["last"] is not None else None
+        if not waiting and due is None and ends is not None and ends < mark:
+            out += program.finish(state)
+            held.remove()
+        else:
+            held.update((dump_state(whole),))
+            times = [t for t in (waiting[0][0] - 1 if waiting else None, due, ends if not waiting else None) if t is not None]
+            if times:
+                held.setTimeoutTimestamp(max(min(times) // 1000, held.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame([tuple(key) + tuple(o) for o in out], columns=names)
 
-    timeout = GroupStateTimeout.EventTimeTimeout if ttl_seconds else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", timeout)
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- running
@@ -115,11 +132,11 @@ def to_sinks(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpo
     return writer.trigger(processingTime=f"{seconds} seconds").start()
 
 
-def run_to_end(stream: DataFrame, folder: str, timeout: int = 300) -> DataFrame:
-    """Process all input that is there now and return what was written."""
+def run_to_end(stream: DataFrame, folder: str, timeout: int | None = None) -> DataFrame:
+    """Process all input that is there now and return what was written. ``timeout`` (seconds) stops a stream that takes longer."""
     schema = stream.schema
     query = to_parquet(stream, f"{folder}/out", f"{folder}/checkpoint", once=True)
-    if not query.awaitTermination(timeout):
+    if not (query.awaitTermination(timeout) if timeout else query.awaitTermination() or True):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout} s")
     return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out")
