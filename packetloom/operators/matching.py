@@ -4,10 +4,10 @@ One set of conditions serves three access paths, which give the same result:
 
 * *compiled*: every rule becomes a column expression with its values folded in. No join, no shuffle.
   For rule sets up to a few hundred rules.
-* *indexed*: rules are grouped by transport and, where they name a single destination port, by that
-  port. Packets look their two groups up with map-side hash joins and test only those rules. The
-  rules are sent in chunks of bounded size, so the broadcast never grows with the rule file.
-* *all matches*: the same two keys as an equi-join that yields one row per (packet, rule).
+* *indexed*: rules are rows under their transport and, where they name a single destination port, that
+  port. Packets meet them in map-side hash joins that test the rule, and the least position per packet
+  is kept. The rules are sent in chunks of bounded size, so the broadcast never grows with the rule file.
+* *all matches*: the same join, every row of it.
 """
 
 from __future__ import annotations
@@ -408,48 +408,53 @@ RULE_FIELDS = [
 ]
 
 
-def first_match_indexed(
-    packets: DataFrame, rules: DataFrame, *, rule_count: int | None = None, chunk_rules: int = CHUNK_RULES, **options
-) -> DataFrame:
-    """Same result as the compiled path for rule sets of any size; no shuffle of the packets."""
-    total = rules.count() if rule_count is None else rule_count
-    keyed = _keyed(rules)
+def _candidates(packets: DataFrame, keyed: DataFrame, rule_columns: list[str], total: int, chunk_rules: int, condition) -> DataFrame:
+    """One row per (packet, rule that meets ``condition``), the rule as ``__rule``.
+
+    Packets probe the rules of their transport under their destination port and under no single port. Rules are
+    broadcast in chunks of at most ``chunk_rules``, each with a pass over the packets.
+    """
     chunks = max(1, -(-total // chunk_rules))
-    out = prepared(packets).withColumn("__hit", F.lit(None).cast("struct<pos:bigint,label:string>"))
-    out = out.withColumn("__port", F.coalesce(F.col("dst_port"), F.lit(ANY_PORT - 1)))
+    probes = F.array_distinct(F.array(F.coalesce("dst_port", F.lit(ANY_PORT)), F.lit(ANY_PORT)))
+    left = prepared(packets).withColumn("__probe", F.explode(probes))
+    table = keyed.select("__key_transport", "__key_port", F.struct(*rule_columns).alias("__rule"))
+    on = (F.col("__transport") == F.col("__key_transport")) & (F.col("__probe") == F.col("__key_port"))
+    on = on & condition(lambda name: F.col("__rule")[name])
+    found = None
     for i in range(chunks):
-        part = keyed if chunks == 1 else keyed.where(F.pmod(F.col("rule_pos"), F.lit(chunks)) == i)
-        grouped = part.groupBy("__key_transport", "__key_port").agg(
-            F.sort_array(F.collect_list(F.struct(*RULE_FIELDS))).alias("__rules")
-        )
-        for side, condition in (("__same", F.col("__key_port") == F.col("__port")), ("__open", F.col("__key_port") == ANY_PORT)):
-            table = grouped if side == "__same" else grouped.where(F.col("__key_port") == ANY_PORT)
-            table = table.withColumnRenamed("__rules", side)
-            matched = (F.col("__transport") == F.col("__key_transport")) & condition
-            out = out.join(F.broadcast(table), matched, "left").drop("__key_transport", "__key_port")
-        best = _least_hit(_first_in("__same", options), _first_in("__open", options))
-        out = _once(out.withColumnRenamed("__hit", "__before"), F.array_min(F.array(F.col("__before"), best)))
-        out = out.drop("__same", "__open", "__before")
-    return _finish_first(out.drop("__port"))
+        part = table if chunks == 1 else table.where(F.pmod(F.col("__rule.rule_pos"), F.lit(chunks)) == i)
+        joined = left.join(F.broadcast(part), on).drop("__probe", "__key_transport", "__key_port")
+        found = joined if found is None else found.unionByName(joined)
+    return found
+
 
+def first_hits(packets: DataFrame, rules: DataFrame, *, rule_count: int | None = None, chunk_rules: int = CHUNK_RULES, **options) -> DataFrame:
+    """``packet_id`` and ``__hit`` (position, label) of the packets that a rule matches.
 
-def _first_in(rules: str, options: dict) -> Column:
-    hits = F.filter(F.coalesce(F.col(rules), F.array()), lambda x: rule_match(lambda name: x[name], **options))
-    best = F.get(hits, F.lit(0))
-    return F.when(best.isNotNull(), F.struct(best["rule_pos"].cast("long").alias("pos"), best["label"].alias("label")))
+    Rules are rows, joined by (transport, destination port) and tested in the join; the least position per packet is
+    taken where the rows arise before anything is shuffled, so only hits travel.
+    """
+    total = rules.count() if rule_count is None else rule_count
+    found = _candidates(packets, _keyed(rules), RULE_FIELDS, total, chunk_rules, lambda access: rule_match(access, **options))
+    hit = F.struct(F.col("__rule.rule_pos").cast("long").alias("pos"), F.col("__rule.label").alias("label"))
+    return found.groupBy("packet_id").agg(F.min(hit).alias("__hit"))
 
 
-def _least_hit(*hits: Column) -> Column:
-    return F.array_min(F.array(*hits))
+def first_match_indexed(packets: DataFrame, rules: DataFrame, *, rule_count: int | None = None, chunk_rules: int = CHUNK_RULES, **options) -> DataFrame:
+    """Same result as the compiled path for rule sets of any size. ``packet_id`` identifies a packet."""
+    hits = first_hits(packets, rules, rule_count=rule_count, chunk_rules=chunk_rules, **options)
+    return _finish_first(prepared(packets).join(hits, "packet_id", "left"))
 
 
-def first_match(packets: DataFrame, rules: DataFrame, *, compile_limit: int = COMPILE_LIMIT, **options) -> DataFrame:
-    """First matching rule per packet; the access path follows the size of the rule set."""
+def first_match(
+    packets: DataFrame, rules: DataFrame, *, compile_limit: int = COMPILE_LIMIT, rule_count: int | None = None, chunk_rules: int = CHUNK_RULES, **options
+) -> DataFrame:
+    """First matching rule per packet; the access path follows the size of the rule set, the result does not."""
     good = rules.where(F.col("error").isNull())
     few = good.limit(compile_limit + 1).collect()
     if len(few) <= compile_limit:
         return first_match_compiled(packets, few, **options)
-    return first_match_indexed(packets, good, **options)
+    return first_match_indexed(packets, good, rule_count=rule_count, chunk_rules=chunk_rules, **options)
 
 
 # ---------------------------------------------------------------- all matches
@@ -465,32 +470,20 @@ def all_matches(
     """
     good = rules.where(F.col("error").isNull())
     total = good.count()
-    chunks = max(1, -(-total // chunk_rules))
     staged = condition is staged_match
     keyed = _keyed(good.withColumn("kind", F.lit("snort")) if staged else good)
     keyed = keyed if staged else keyed.withColumn("__key_port", F.lit(ANY_PORT)).withColumn(
         "__key_transport", F.explode(F.array(*[F.lit(t) for t in ("tcp", "udp", "icmp", "other")]))
     ).distinct()
-    rule = F.struct(*[F.col(c) for c in dict.fromkeys([*RULE_FIELDS, "sid", "msg", "payload", "detection_filter"])])
-    table = keyed.select("__key_transport", "__key_port", rule.alias("__rule"))
-    probes = F.array_distinct(F.array(F.coalesce("dst_port", F.lit(ANY_PORT)), F.lit(ANY_PORT)))
-    left = prepared(packets).withColumn("__probe", F.explode(probes))
-    on = (F.col("__transport") == F.col("__key_transport")) & (F.col("__probe") == F.col("__key_port"))
-    parts = []
-    for i in range(chunks):
-        part = table if chunks == 1 else table.where(F.pmod(F.col("__rule.rule_pos"), F.lit(chunks)) == i)
-        joined = left.join(F.broadcast(part), on & condition(lambda name: F.col("__rule")[name]), "inner")
-        parts.append(joined)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+    columns = list(dict.fromkeys([*RULE_FIELDS, "sid", "msg", "payload", "detection_filter"]))
+    out = _candidates(packets, keyed, columns, total, chunk_rules, condition)
     return (
         _dropped(out)
         .withColumn("rule_pos", F.col("__rule.rule_pos"))
         .withColumn("sid", F.col("__rule.sid"))
         .withColumn("rule", F.col("__rule.label"))
         .withColumn("detection_filter", F.col("__rule.detection_filter"))
-        .drop("__rule", "__probe", "__key_transport", "__key_port")
+        .drop("__rule")
     )
 
 
