@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from packetloom.functions.timecols import from_micros, is_ntz, micros
+from packetloom.functions.timecols import from_micros, is_ntz, micros, to_us
 from packetloom.operators.alerts import as_alerts, union_all
 from packetloom.operators.chains import cooldown
 from packetloom.operators.programs import Reassembly
@@ -56,22 +56,41 @@ def ip_fragments(packets: DataFrame) -> DataFrame:
     )
 
 
+def suspicious(timed: DataFrame, keys: list[str], limits: FragmentLimits, largest: int = 65535) -> DataFrame:
+    """Fragments of the datagrams that may have something to report.
+
+    A datagram is in order if its fragments are not empty and don't meet or overlap one another, are no more and no larger than
+    allowed, arrive within the time limit, and only the one that arrives last is marked as the last. All others are kept.
+    """
+    whole, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("start")
+    clash = (F.col("size") <= 0) | (F.lag(F.col("start") + F.col("size")).over(along) > F.col("start"))
+    marked = timed.withColumn("__clash", F.coalesce(clash, F.lit(False))).withColumn("__when", F.struct("us", "packet_id"))
+    ends = F.max(F.when(~F.col("more"), F.col("__when"))).over(whole) == F.max("__when").over(whole)
+    ordered = (
+        ~F.max("__clash").over(whole)
+        & (F.count("*").over(whole) <= limits.per_packet)
+        & (F.sum("size").over(whole) <= largest)
+        & (F.max("us").over(whole) - F.min("us").over(whole) <= to_us(limits.timeout))
+        & (F.sum(F.when(~F.col("more"), 1).otherwise(0)).over(whole) == 1)
+        & F.coalesce(ends, F.lit(False))
+    )
+    return marked.withColumn("__ordered", ordered).where(~F.col("__ordered")).drop("__clash", "__when", "__ordered")
+
+
 def reassembly_events(packets: DataFrame, limits: FragmentLimits, **options) -> DataFrame:
     """Overlaps, repeats, counts, sizes and incomplete datagrams. A datagram that is still open counts
-    as incomplete only when the capture goes on past its time limit."""
+    as incomplete only when the capture goes on past its time limit. Datagrams in order never reach the state machine."""
     fragments = ip_fragments(packets)
     timed = fragments.withColumn("us", micros(fragments, "ts"))
-    program = Reassembly(limits.timeout, limits.per_packet)
-    events = keyed_scan(timed, ["src", "dst", "ip_id"], ["us", "packet_id"], program, FRAGMENT_OUT, **options)
+    program, keys = Reassembly(limits.timeout, limits.per_packet), ["src", "dst", "ip_id"]
+    events = keyed_scan(suspicious(timed, keys, limits), keys, ["us", "packet_id"], program, FRAGMENT_OUT, **options)
     end = packets.where("ip_proto is not null").agg(F.max(micros(packets, "ts")).alias("end_us"))
     events = events.crossJoin(F.broadcast(end)).where((F.col("kind") != "timeout") | (F.col("us") < F.col("end_us")))
     return events.drop("end_us").withColumn("ts", from_micros("us", is_ntz(packets, "ts"))).drop("us")
 
 
-def fragment_hits(
-    packets: DataFrame, limits: FragmentLimits, *, reference_cap: int | None = None, **options
-) -> DataFrame:
-    """All detections before suppression. ``reference_cap`` limits the per-second count to a capped history."""
+def fragment_hits(packets: DataFrame, limits: FragmentLimits, **options) -> DataFrame:
+    """All detections before suppression."""
     fragments = ip_fragments(packets)
 
     def entry(sid: int, test, info):
@@ -91,8 +110,6 @@ def fragment_hits(
     singles = singles.select(*_KEPT, "hit.sid", "hit.info")
 
     paced = sliding_count(fragments.select("packet_id", "ts", "src"), ["src"], 1.0)
-    if reference_cap is not None:
-        paced = paced.withColumn("n", F.least("n", F.lit(reference_cap)))
     flood = paced.where(F.col("n") > limits.per_second).select(
         "packet_id",
         "ts",
