@@ -92,18 +92,23 @@ FLOOD = f"""(WITH RECURSIVE r AS (SELECT packet_id, ts, row_number() OVER (ORDER
     SELECT * FROM chain)"""
 
 
-@query("arp_flood", arp_alert(FLOOD, "'[ALERT] ARP-FLOOD Detected count=25 window=10s priority=HIGH'"))
+ARP_FLOODS = arp_alert(FLOOD, "'[ALERT] ARP-FLOOD Detected count=25 window=10s priority=HIGH'")
+ARP_TAKEOVERS = arp_alert(
+    f"(SELECT * FROM (SELECT *, lag(arp_hwsrc) OVER (PARTITION BY arp_psrc ORDER BY ts, packet_id) AS old FROM {ARP} a) b WHERE old <> arp_hwsrc)",
+    "printf('[ALERT] ARP-SPOOFING / POISONING Detected IP=%s old_mac=%s new_mac=%s conflicts=2 priority=HIGH', arp_psrc, old, arp_hwsrc)",
+)
+ARP_GRATUITOUS = arp_alert(
+    f"(SELECT * FROM {ARP} a WHERE arp_op = 2 AND arp_psrc = arp_pdst)",
+    "printf('[ALERT] Suspicious Gratuitous ARP Detected IP=%s MAC=%s priority=MEDIUM', arp_psrc, arp_hwsrc)",
+)
+
+
+@query("arp_flood", ARP_FLOODS)
 def _(spark, d):
     return arp.arp_flood(view(spark, d, "arp_ev"))
 
 
-@query(
-    "arp_takeover",
-    arp_alert(
-        f"(SELECT * FROM (SELECT *, lag(arp_hwsrc) OVER (PARTITION BY arp_psrc ORDER BY ts, packet_id) AS old FROM {ARP} a) b WHERE old <> arp_hwsrc)",
-        "printf('[ALERT] ARP-SPOOFING / POISONING Detected IP=%s old_mac=%s new_mac=%s conflicts=2 priority=HIGH', arp_psrc, old, arp_hwsrc)",
-    ),
-)
+@query("arp_takeover", ARP_TAKEOVERS)
 def _(spark, d):
     return arp.arp_takeover(view(spark, d, "arp_ev"))
 
@@ -117,18 +122,12 @@ def _(spark, d):
     return sliding.previous_value(rows, ["arp_psrc"], "arp_hwsrc", slice_seconds=300).select("packet_id", "arp_hwsrc", "previous")
 
 
-@query(
-    "arp_gratuitous",
-    arp_alert(
-        f"(SELECT * FROM {ARP} a WHERE arp_op = 2 AND arp_psrc = arp_pdst)",
-        "printf('[ALERT] Suspicious Gratuitous ARP Detected IP=%s MAC=%s priority=MEDIUM', arp_psrc, arp_hwsrc)",
-    ),
-)
+@query("arp_gratuitous", ARP_GRATUITOUS)
 def _(spark, d):
     return arp.arp_gratuitous(view(spark, d, "arp_ev"))
 
 
-@query("arp_all")
+@query("arp_all", f"{ARP_FLOODS} UNION ALL {ARP_TAKEOVERS} UNION ALL {ARP_GRATUITOUS}")
 def _(spark, d):
     return arp.detect_arp(view(spark, d, "arp_ev"))
 
@@ -265,17 +264,22 @@ def _(spark, d):
     return bruteforce.failure_rates(failures(spark, d))
 
 
-STUFF = f"""(WITH f AS (SELECT * FROM {FAIL} f0), o AS (SELECT client, service, min({{'t': ts, 'p': packet_id}}) AS born FROM f GROUP BY ALL),
+def stuff_sql(seconds):
+    return f"""(WITH f AS (SELECT * FROM {FAIL} f0), o AS (SELECT client, service, min({{'t': ts, 'p': packet_id}}) AS born FROM f GROUP BY ALL),
     near AS (SELECT DISTINCT a.packet_id, a.ts, a.client, a.server, b.service FROM f a JOIN f b ON a.client = b.client
-      AND b.ts BETWEEN a.ts - INTERVAL '20 seconds' AND a.ts AND (b.ts < a.ts OR b.packet_id <= a.packet_id))
+      AND b.ts BETWEEN a.ts - INTERVAL '{seconds} seconds' AND a.ts AND (b.ts < a.ts OR b.packet_id <= a.packet_id))
     SELECT n.packet_id, n.ts, n.client, n.server, string_agg(n.service, ', ' ORDER BY o.born) AS active FROM near n JOIN o USING (client, service)
     GROUP BY ALL HAVING count(*) >= 3)"""
 
 
+def stuffing(seconds):
+    info = "'BRUTEFORCE - Multi-service credential stuffing detected (targeting ' || active || ')'"
+    return alert_sql(stuff_sql(seconds), "BruteForceDetector", "HIGH", "1000025", info, "client", "server")
+
+
 @query(
     "credential_stuffing",
-    alert_sql(STUFF, "BruteForceDetector", "HIGH", "1000025",
-              "'BRUTEFORCE - Multi-service credential stuffing detected (targeting ' || active || ')'", "client", "server"),
+    stuffing(20),
 )
 def _(spark, d):
     return bruteforce.credential_stuffing(failures(spark, d), window=20)
@@ -291,33 +295,41 @@ ENUM = f"""(WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY clien
 SID_SQL = "CASE service WHEN 'ssh' THEN 1000020 WHEN 'rdp' THEN 1000021 WHEN 'ftp' THEN 1000022 WHEN 'http' THEN 1000023 ELSE 1000024 END"
 
 
-@query(
-    "username_enumeration",
-    alert_sql(ENUM, "BruteForceDetector", "HIGH", f"{SID_SQL} + 100",
-              "'BRUTEFORCE - Username enumeration detected on ' || upper(service) || ' (10 usernames attempted)'", "client", "server"),
+ENUMERATIONS = alert_sql(
+    ENUM, "BruteForceDetector", "HIGH", f"{SID_SQL} + 100",
+    "'BRUTEFORCE - Username enumeration detected on ' || upper(service) || ' (10 usernames attempted)'", "client", "server",
 )
+
+
+@query("username_enumeration", ENUMERATIONS)
 def _(spark, d):
     return bruteforce.username_enumeration(failures(spark, d))
 
 
-SLOW = f"""(WITH RECURSIVE f AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, packet_id) AS pos,
+def slow_sql(seconds):
+    us = seconds * 1_000_000
+    return f"""(WITH RECURSIVE f AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, packet_id) AS pos,
         epoch_us(min(ts) OVER (PARTITION BY client)) AS begin_us FROM {FAIL} f0),
-    st AS (SELECT f.*, pos AS total, us - begin_us AS len_us FROM f WHERE pos >= 30 AND us - begin_us >= 300000000
+    st AS (SELECT f.*, pos AS total, us - begin_us AS len_us FROM f WHERE pos >= 30 AND us - begin_us >= {us}
              QUALIFY row_number() OVER (PARTITION BY client ORDER BY pos) = 1
       UNION ALL SELECT n.*, n.pos - c.pos, n.us - c.us FROM st c, LATERAL (SELECT * FROM f WHERE f.client = c.client AND f.pos >= c.pos + 30
-             AND f.us >= c.us + 300000000 ORDER BY pos LIMIT 1) n)
+             AND f.us >= c.us + {us} ORDER BY pos LIMIT 1) n)
     SELECT * FROM st)"""
 
 
+def slow(seconds):
+    info = "printf('BRUTEFORCE - Slow brute-force attack detected (%d attempts over %.1f minutes)', total, len_us / 60000000.0)"
+    return alert_sql(slow_sql(seconds), "BruteForceDetector", "HIGH", f"{SID_SQL} + 200", info, "client", "server")
+
+
 @query(
     "slow_attempts",
-    alert_sql(SLOW, "BruteForceDetector", "HIGH", f"{SID_SQL} + 200",
-              "printf('BRUTEFORCE - Slow brute-force attack detected (%d attempts over %.1f minutes)', total, len_us / 60000000.0)", "client", "server"),
+    slow(300),
 )
 def _(spark, d):
     return bruteforce.slow_attempts(failures(spark, d), span=300.0)
 
 
-@query("brute_force_all")
+@query("brute_force_all", f"{RATES} UNION ALL {stuffing(300)} UNION ALL {ENUMERATIONS} UNION ALL {slow(3600)}")
 def _(spark, d):
     return bruteforce.detect_brute_force(view(spark, d, "auth_ev"))

@@ -43,21 +43,31 @@ def _(spark, d):
     return alerts.orderBy(F.desc("packet_id"), F.desc("sid")).limit(100).select("packet_id", "ts", "sid")
 
 
-def plugged(spark, d):
+def plugged():
     registry = Registry()
     registry.register("RateDetector", two_detections)
     registry.register("BrokenDetector", lambda packets: packets.select("no_such_column"))
-    return registry.run(view(spark, d, "packets_ev"))
+    return registry
 
 
 @query("plugin_alerts", f"SELECT packet_id, sid, src, dst FROM {BOTH} b")
 def _(spark, d):
-    return plugged(spark, d)[0].select("packet_id", "sid", "src", "dst")
+    return plugged().run(view(spark, d, "packets_ev"))[0].select("packet_id", "sid", "src", "dst")
 
 
-@query("plugin_errors", "SELECT 'BrokenDetector' AS detector, 'AnalysisException' AS error FROM events LIMIT 1")
+@query(
+    "plugin_errors",
+    f"""SELECT 'RateDetector' AS detector, count(*) AS alerts, CAST(NULL AS VARCHAR) AS error FROM {BOTH} b
+        UNION ALL SELECT 'BrokenDetector', 0, 'AnalysisException'""",
+)
+def _(spark, d):
+    return plugged().report(view(spark, d, "packets_ev"))
+
+
+@query("plugin_disabled", f"SELECT sid, packet_id, ts FROM {BOTH} b WHERE false")
 def _(spark, d):
-    return plugged(spark, d)[1].select("detector", "error")
+    """All built-in detectors start disabled: an empty table with the alerts' types."""
+    return Registry().run(view(spark, d, "packets_ev"))[0].select("sid", "packet_id", "ts")
 
 
 @query("alert_log_round_trip", f"SELECT info, sid, src, dst FROM {BOTH} b")

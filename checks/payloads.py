@@ -103,7 +103,10 @@ for _name, _detector, _run in (
         )(_alerts)
 
 
-@query("payload_hits_all_detectors")
+@query(
+    "payload_hits_all_detectors",
+    " UNION ALL ".join(f"SELECT packet_id, ts, src, dst, '{name}' AS detector, sid, info FROM {hits_sql(duck('post_ev'), name)} h_{name}" for name in pt.PAYLOAD_DETECTORS),
+)
 def _(spark, d):
     return pt.pattern_hits(view(spark, d, "post_ev"))
 

@@ -40,12 +40,10 @@ def _(spark, d):
 
 @query(
     "packet_sorted",
-    f"""SELECT rank, packet_id, proto, length FROM (SELECT packet_id, proto, length,
-        row_number() OVER (ORDER BY length DESC, packet_id) AS rank FROM {LABELLED} p) r WHERE rank <= 100""",
+    f"""SELECT packet_id, proto, length, row_number() OVER (ORDER BY length DESC, packet_id) AS rank FROM {LABELLED} p""",
 )
 def _(spark, d):
-    top = rollups.sort_packets(packets(spark, d), "length", ascending=False).limit(100)
-    return rollups.numbered(top, "length", ascending=False).select("rank", "packet_id", "proto", "length")
+    return rollups.numbered(packets(spark, d), "length", ascending=False).select("rank", "packet_id", "proto", "length")
 
 
 def display_sql(typed, more=""):
@@ -422,7 +420,26 @@ def _(spark, d):
     return dos.detect_dos(probes.unionByName(conns, allowMissingColumns=True), ["flags"], **SMALL)
 
 
-@query("dos_all")
+STATES = f"(SELECT * FROM {conn_sql('(SELECT *, CAST(NULL AS BLOB) AS payload FROM ' + EV + ' v WHERE tcp_flags IS NOT NULL)')} c)"
+LOOSE = f"""(SELECT packet_id, ts, src_ip, dst_ip FROM {EV} p WHERE tcp_flags IS NULL
+    UNION ALL SELECT packet_id, ts, src_ip, dst_ip FROM {STATES} s WHERE NOT established_before)"""
+ALL_FLAGS = f"""(SELECT packet_id, ts, src_ip, dst_ip, CASE tcp_flags WHEN 0 THEN 'NULL' WHEN 1 THEN 'FIN' ELSE 'XMAS' END AS flagname FROM {EV} p
+    WHERE tcp_flags IN (0, 1, 41) UNION ALL SELECT packet_id, ts, src_ip, dst_ip, 'ACK' FROM {STATES} s WHERE tcp_flags = 16 AND NOT established_after)"""
+ALL_DOS = " UNION ALL ".join(
+    [
+        dos_sql(LOOSE, "any", PAIR), dos_sql(BARE_SYN, "syn", PAIR), dos_sql(SYN, "syn_port_scan", PAIR, value="dst_port"),
+        dos_sql(UDP, "udp", [*PAIR, "dst_port"]), dos_sql(UDP, "udp_port_scan", PAIR, value="dst_port"), dos_sql(ICMP, "icmp", PAIR),
+        dos_sql(PORTED, "port_scan", PAIR, value="dst_port"),
+        dos_sql(EV, "hscan", ["src_ip"], value="dst_ip", adds="(b.tcp_flags & 18) = 2 OR (b.tcp_flags IS NULL AND b.ip_proto = 17)"),
+        alert_sql(
+            "(" + window_join(ALL_FLAGS, ["flagname", "src_ip"], 60, "a.ts, a.packet_id, a.src_ip, a.dst_ip, a.flagname", "HAVING count(b.packet_id) >= 3") + ")",
+            "DosDetector", "HIGH", "1000011", "'SCAN - ' || flagname || ' flag scan detected'", "src_ip", "dst_ip",
+        ),
+    ]
+)
+
+
+@query("dos_all", ALL_DOS)
 def _(spark, d):
     return dos.detect_dos(view(spark, d, "packets_ev"), **SMALL)
 

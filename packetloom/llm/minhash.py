@@ -154,7 +154,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("__x") + F.size("__y") - shared)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, count: int = 24, size: int = 4, rounds: int = 2) -> DataFrame:
+def _closest(pairs: DataFrame, keys_of: DataFrame, most: int) -> DataFrame:
+    """Of the pairs (a, b) of each b the ``most`` whose collections agree most often."""
+    left = pairs.join(keys_of.select(F.col("rep").alias("a"), F.col("keys").alias("x")), "a")
+    both = left.join(keys_of.select(F.col("rep").alias("b"), F.col("keys").alias("y")), "b")
+    agree = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
+    ranked = both.select("a", "b", agree.alias("s")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("s", "a")), False).alias("best"))
+    return ranked.select(F.explode(F.slice("best", 1, most)).alias("t"), "b").select("t.a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, count: int = 24, size: int = 4, rounds: int = 4, tries: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Documents are linked when their sets of distinct ``words``-word shingles (A-Z lower-cased, ASCII white space between
@@ -168,8 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most one collection agrees, with a probability below 0.0001; every pair that meets is then decided on the full
     sets. Equal sets are one node from the start. Only collection keys that two nodes share are combined to tables.
 
-    Nothing is paired all with all: a round checks the members of a bucket against one pivot, and buckets whose members
-    are in one component are done. What differs after ``rounds`` rounds is paired across components only, which is exact.
+    Nothing is paired all with all: a round checks the members of a bucket against a pivot, each member against the
+    ``tries`` pivots of its buckets that it is likeliest to be linked with, and buckets whose members are in one component are
+    done. What still differs after ``rounds`` rounds is paired across components, every pair, which is exact.
     """
     signed = checkpointed(signatures(docs, id_col, text_col, words, count, size))
     classes = checkpointed(
@@ -192,30 +202,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = checkpointed(_sets(chosen, words).join(of_class, ["doc_id", "set1", "set2"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"]))
 
     near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    keys_of = classes.select("rep", "keys")
     links, named, tried = None, None, None
     for turn in range(rounds + 1):
-        rows = tables if named is None else tables.join(named, F.col("rep") == F.col("node"), "left").drop("node")
-        rows = rows.withColumn("c", F.col("rep") if named is None else F.coalesce("component", "rep"))
+        if named is None:
+            rows = tables.withColumn("c", F.col("rep")).withColumn("held", F.lit(1).cast("long"))
+        else:
+            sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+            labels = named.join(both_sides(sizes), "component").select(F.col("node").alias("rep"), F.col("component").alias("c"), "held")
+            rows = tables.join(both_sides(labels), "rep", "left")
+            rows = rows.select("table", "rep", "n", F.coalesce("c", "rep").alias("c"), F.coalesce("held", F.lit(1)).alias("held"))
+        # buckets within one component are done, now and in all later rounds
+        mixed = rows.groupBy("table").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("table")
+        rows = checkpointed(rows.join(both_sides(mixed), "table"))
+        if rows.isEmpty():
+            break
+        tables = rows.select("table", "rep", "n")
         if turn == rounds:
-            mixed = rows.groupBy("table").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("table")
-            rows = checkpointed(rows.join(both_sides(mixed), "table").select("table", "rep", "n", "c"))
             other = rows.select("table", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
             pairs = rows.join(other, "table").where("c < d").where(near).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
         else:
-            turned = F.struct((F.xxhash64(F.lit(turn), "rep") if turn else F.col("rep")).alias("o"), "rep", "n", "c")
-            pivots = rows.groupBy("table").agg(F.min(turned).alias("p"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
+            # the smallest member at first, then a random one of the bucket's largest component
+            first = F.struct((-F.col("rep")).alias("o"), "rep", "n", "c") if not turn else F.struct("held", F.xxhash64(F.lit(turn), "table", "rep").alias("o"), "rep", "n", "c")
+            pivots = rows.groupBy("table").agg(F.max(first).alias("p"))
             pivots = pivots.select("table", F.col("p.rep").alias("a"), F.col("p.n").alias("m"), F.col("p.c").alias("d"))
-            pairs = rows.join(both_sides(pivots), "table").where("c <> d").where(near)
-            if not turn:  # one pivot for each, the smallest
-                pairs = pairs.groupBy("rep").agg(F.min("a").alias("a")).select("a", F.col("rep").alias("b"))
+            pairs = rows.join(both_sides(pivots), "table").where("c <> d").where(near).select("a", F.col("rep").alias("b")).distinct()
+            if not turn:
+                pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
             else:
-                pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-        pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
+                pairs = _closest(pairs, keys_of, tries)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = checkpointed(_verified(pairs, sets, percent))
         links = found if links is None else links.unionByName(found)
         named = components(links)
+    if named is None:
+        named = components(signed.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
 
     classed = signed.join(classes.select("set1", "set2", "rep"), ["set1", "set2"], "left")
     out = classed.join(both_sides(named), F.col("rep") == F.col("node"), "left")

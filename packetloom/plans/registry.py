@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from packetloom.functions.timecols import cell_of, micros, to_us
 from packetloom.operators import arp, bruteforce, dns, dos, fragments, patterns, synscan
 from packetloom.operators.alerts import DETECTORS, union_all
-from packetloom.schema import ALERT_COLUMNS
+from packetloom.schema import ALERT_COLUMNS, ALERTS
 
 Detect = Callable[[DataFrame], DataFrame]
 
@@ -38,6 +38,11 @@ _RUN: dict[str, Detect] = {
 }
 
 
+def _alert_schema(packets: DataFrame) -> T.StructType:
+    """The alert table with the packets' kind of time."""
+    return T.StructType([T.StructField(f.name, packets.schema["ts"].dataType if f.name == "ts" else f.dataType) for f in ALERTS])
+
+
 class Registry:
     """Known detectors; all built-in ones start disabled."""
 
@@ -69,7 +74,7 @@ class Registry:
         """(alerts, errors) of the chosen detectors, enabled ones by default.
 
         Every detector is planned on its own: one that cannot be planned against these packets
-        becomes an error row and the others go on.
+        becomes an error row and the others go on. One that fails while running fails the union; run it alone (``only``).
         """
         spark = packets.sparkSession
         alerts, errors = [], []
@@ -81,8 +86,17 @@ class Registry:
         failed = spark.createDataFrame(errors, "detector string, error string, message string")
         if alerts:
             return union_all(alerts), failed
-        empty = ", ".join(f"{c} string" for c in ALERT_COLUMNS)
-        return spark.createDataFrame([], empty), failed
+        return spark.createDataFrame([], _alert_schema(packets)), failed
+
+    def report(self, packets: DataFrame, only: list[str] | None = None) -> DataFrame:
+        """(detector, alerts, error): how many alerts each chosen detector raises, or why it could not be planned."""
+        parts = []
+        for id in only if only is not None else self.enabled():
+            alerts, failed = self.run(packets, [id])
+            counted = alerts.agg(F.count("*").alias("alerts"))
+            errors = failed.agg(F.first("error").alias("error"))
+            parts.append(counted.crossJoin(F.broadcast(errors)).select(F.lit(id).alias("detector"), "alerts", "error"))  # one row each
+        return union_all(parts)
 
 
 def numbered_feed(alerts: DataFrame, *, slice_seconds: float = 3600.0) -> DataFrame:

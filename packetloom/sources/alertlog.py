@@ -44,27 +44,39 @@ def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
 def evidence(alerts: DataFrame, packets: DataFrame, *, per_alert: int = 8, within_seconds: int = 10) -> DataFrame:
     """The first packets of the alert's source in the seconds up to the alert.
 
-    Packets and alerts meet on (source, second), so a busy source spreads over its seconds; each
-    second is cut to ``per_alert`` rows before the seconds of an alert come together.
+    Packets are numbered within (source, second). An alert asks for the first ``per_alert`` numbers of each of its
+    seconds; in the second in which its window starts, for the first ones after those before the start, whose
+    count comes from ordering starts and packets together. So alerts and packets meet on (source, second, number) and
+    never as pairs of a flood's alerts with its packets.
     """
-    keyed = alerts.select(
-        F.col("packet_id").alias("alert_id"),
-        F.col("sid"),
-        F.col("ts").alias("alert_ts"),
-        F.col("src").alias("alert_src"),
-        F.explode(F.sequence(F.lit(0), F.lit(within_seconds))).alias("back"),
-    ).withColumn("second", F.date_trunc("second", F.col("alert_ts")) - F.make_interval(secs=F.col("back")))
-    seen = packets.withColumn("second", F.date_trunc("second", "ts"))
-    early = Window.partitionBy("src_ip", "second").orderBy("ts", "packet_id")
-    # Rows of a second beyond the quota can never be among the first rows of an alert's window,
-    # except in the window's first second, where rows before its start must not use up the quota.
-    ranked = seen.withColumn("__r", F.row_number().over(early))
-    joined = ranked.join(keyed, (F.col("src_ip") == F.col("alert_src")) & (ranked["second"] == keyed["second"]))
-    start = F.col("alert_ts") - F.make_interval(secs=F.lit(within_seconds))
-    inside = joined.where(
-        F.col("ts").between(start, F.col("alert_ts"))
-        & ((F.col("__r") <= per_alert) | (F.col("back") == within_seconds))
-    )
+    seen = packets.select("packet_id", "ts", "src_ip", "dst_ip", F.date_trunc("second", "ts").alias("second"))
+    asked = alerts.select(
+        F.col("packet_id").alias("alert_id"), "sid", F.col("ts").alias("alert_ts"), F.col("src").alias("alert_src"),
+        (F.col("ts") - F.make_interval(secs=F.lit(within_seconds))).alias("start"),
+    )
+    number = Window.partitionBy("src_ip", "second").orderBy("ts", "packet_id")
+    ranked = seen.withColumn("__r", F.row_number().over(number))
+
+    starts = asked.select("*", F.col("alert_src").alias("src_ip"), F.col("start").alias("ts"), F.date_trunc("second", "start").alias("second"), F.lit(0).alias("__packet"))
+    both = starts.unionByName(seen.select("src_ip", "ts", "second", F.lit(1).alias("__packet")), allowMissingColumns=True)
+    earlier = Window.partitionBy("src_ip", "second").orderBy("ts", "__packet").rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("__before", F.coalesce(F.sum("__packet").over(earlier), F.lit(0))).where("__packet = 0")
+    first = placed.select("alert_id", "sid", "alert_ts", "alert_src", "start", F.col("second").alias("__second"), "__before")
+
+    seconds = F.sequence(F.lit(1), F.lit(within_seconds))
+    later = asked.withColumn("back", F.explode(seconds)).select(
+        "alert_id", "sid", "alert_ts", "alert_src", "start",
+        (F.date_trunc("second", "start") + F.make_interval(secs=F.col("back"))).alias("__second"), F.lit(0).cast("long").alias("__before"),
+    )
+    slots = first.unionByName(later).withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(per_alert)))).withColumn("__slot", F.col("__before") + F.col("__k"))
+    met = (F.col("src_ip") == F.col("alert_src")) & (F.col("second") == F.col("__second")) & (F.col("__r") == F.col("__slot"))
+    inside = ranked.join(slots, met).where(F.col("ts").between(F.col("start"), F.col("alert_ts")))
     order = Window.partitionBy("alert_id", "sid").orderBy("ts", "packet_id")
     kept = inside.withColumn("position", F.row_number().over(order)).where(F.col("position") <= per_alert)
     return kept.select("alert_id", "sid", "position", "packet_id", "ts", "src_ip", "dst_ip")
+
+
+def write_evidence(alerts: DataFrame, packets: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """Evidence as a table in one folder per alert's signature and day."""
+    rows = evidence(alerts, packets, **options).withColumn("date", F.to_date("ts"))
+    rows.write.mode(mode).partitionBy("sid", "date").parquet(path)
