@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["traffic", "payloads", "detectors", "rulesets", "flows", "feeds"]
+MODULES = ["traffic", "payloads", "detectors", "rulesets", "flows", "feeds", "files"]
 
 
 def load():

@@ -155,14 +155,8 @@ def _(spark, d):
     return cl.report(aligned(spark, d)).where("section = 'attack types'")
 
 
-MODELS = {}
-
-
 def model(spark, d, scaled=True):
-    key = (spark.sparkContext.applicationId, d, scaled)
-    if key not in MODELS:
-        MODELS[key] = cl.fit_forest(view(spark, d, "flows_ev"), FEATURES, "label", scaled=scaled, trees=8, depth=6)
-    return MODELS[key]
+    return cl.fit_forest(view(spark, d, "flows_ev"), FEATURES, "label", scaled=scaled, trees=8, depth=6)
 
 
 @query("forest_predictions")
