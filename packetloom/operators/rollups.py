@@ -125,7 +125,10 @@ def traffic_rate(packets: DataFrame, ts: str = "ts") -> DataFrame:
         .agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
     )
     span = per_second.agg(F.min("sec").alias("lo"), F.max("sec").alias("hi")).where("lo is not null")
-    grid = span.select(F.explode(F.sequence("lo", "hi")).alias("sec"))
+    # seconds by hours: a stray time stamp stretches the result, but no row holds more than an hour
+    first, last = F.floor(F.col("lo") / 3600), F.floor(F.col("hi") / 3600)
+    grid = span.select("lo", "hi", F.explode(F.sequence(first, last)).alias("h")).repartition("h")
+    grid = grid.select(F.explode(F.sequence(F.greatest("lo", F.col("h") * 3600), F.least("hi", F.col("h") * 3600 + 3599))).alias("sec"))
     filled = grid.join(per_second, "sec", "left").select(
         "sec",
         F.floor(F.col("sec") / 3600).alias("hour"),
@@ -159,6 +162,18 @@ def mean_rate(rates: DataFrame, points: int = 5) -> DataFrame:
     return rates.join(means, "second")
 
 
+# ---------------------------------------------------------------- positions
+
+
+def _carry(ids: DataFrame, group: int = 10_000) -> DataFrame:
+    """(``__b``, ``__carry``): rows in earlier blocks. Sums go over groups of blocks first, so the ordered part is a group."""
+    blocks = ids.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__g", F.floor(F.col("__b") / group))
+    earlier = Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    tops = blocks.groupBy("__g").agg(F.sum("__n").alias("__t")).select("__g", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.join(tops, "__g").select("__b", (F.col("__base") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias("__carry"))
+
+
 # ---------------------------------------------------------------- dominant source
 
 
@@ -181,10 +196,7 @@ def dominant_source_running(
     last ``window - 1`` packets of the block before it, so blocks are independent.
     """
     ids = packets.select("packet_id", "ts", "src_ip").withColumn("__b", F.floor(F.col("packet_id") / block))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ids.groupBy("__b").agg(F.count("*").alias("__n")).select(
-        "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry")
-    )
+    carry = _carry(ids)
     inside = Window.partitionBy("__b").orderBy("packet_id")
     placed = ids.withColumn("__row", F.row_number().over(inside)).join(carry, "__b")
     placed = placed.withColumn("pos", F.col("__row") + F.col("__carry"))
@@ -213,10 +225,7 @@ def dominant_source_alerts(running: DataFrame) -> DataFrame:
 def overall_level(alerts: DataFrame, *, last: int = 30, order: str = "packet_id", block: int = 100_000) -> DataFrame:
     """Worst threat of each alert and the ``last - 1`` before it, by position in the feed."""
     ids = alerts.withColumn("__b", F.floor(F.col(order) / block))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ids.groupBy("__b").agg(F.count("*").alias("__n")).select(
-        "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry")
-    )
+    carry = _carry(ids)
     placed = ids.withColumn("__row", F.row_number().over(Window.partitionBy("__b").orderBy(order))).join(carry, "__b")
     placed = placed.withColumn("__pos", F.col("__row") + F.col("__carry"))
     home = F.floor((F.col("__pos") - 1) / block)
