@@ -9,7 +9,7 @@ from packetloom.operators.alerts import as_alerts, source_address, target_addres
 from packetloom.operators.flowstate import with_flow_state
 from packetloom.operators.sliding import reaches_count, sliding_distinct
 
-# Fixed values: (window seconds, threshold) of each detection.
+# Fixed values: (window seconds, threshold), sid and message of each detection, names of flag sets.
 DOS_LIMITS = {
     "any": (10.0, 500),
     "syn": (5.0, 20),
