@@ -330,6 +330,9 @@ def _(spark, d):
     return bruteforce.slow_attempts(failures(spark, d), span=300.0)
 
 
-@query("brute_force_all", f"{RATES} UNION ALL {stuffing(300)} UNION ALL {ENUMERATIONS} UNION ALL {slow(3600)}")
+ALL_BRUTE = f"{RATES} UNION ALL {stuffing(300)} UNION ALL {ENUMERATIONS} UNION ALL {slow(3600)}"
+
+
+@query("brute_force_all", ALL_BRUTE)
 def _(spark, d):
     return bruteforce.detect_brute_force(view(spark, d, "auth_ev"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from checks.registry import query
+from checks.payloads import hits_sql, suppressed_sql
+from checks.registry import alert_sql, query
 from checks.traffic import LABELLED, SMALL, dos_sql, window_join
-from checks.detectors import ARP, ENUM, FLOOD, FOLD, FRAG, FRAG_LIMITS, NAMED, PROBES, SYN_SCANS, failures
+from checks.detectors import ALL_BRUTE, ARP, ARP_FLOODS, ARP_GRATUITOUS, ARP_TAKEOVERS, ENUM, FLOOD, FOLD, FRAG, FRAG_LIMITS, NAMED, PROBES, SYN_SCANS, failures
 from checks.registry import cooldown_sql
 from checks.views import SPARK, VIEWS, duck, view
 from packetloom.functions import text
@@ -70,6 +71,25 @@ def _(spark, d):
     return Registry().run(view(spark, d, "packets_ev"))[0].select("sid", "packet_id", "ts")
 
 
+SHARED = ["ArpSpoofDetector", "BruteForceDetector", "RCEDetector", "SQLiDetector", "XSSDetector"]
+
+
+@query(
+    "all_detectors_feed",
+    f"""SELECT packet_id, ts, detector, sid, src, dst, info FROM (
+        {ARP_FLOODS} UNION ALL {ARP_TAKEOVERS} UNION ALL {ARP_GRATUITOUS} UNION ALL {ALL_BRUTE} UNION ALL
+        {" UNION ALL ".join(alert_sql(suppressed_sql(hits_sql(duck("post_ev"), x), x), x, "CRITICAL", "sid", "info", "src", "dst") for x in SHARED[2:])}) f""",
+)
+def _(spark, d):
+    """ARP, login and web traffic in one packet table, its detectors over shared candidate tables."""
+    tables = [view(spark, d, name) for name in ("arp_ev", "auth_ev", "post_ev")]
+    packets = tables[0]
+    for more in tables[1:]:
+        packets = packets.unionByName(more, allowMissingColumns=True)
+    alerts, _ = Registry().run_shared(packets, SHARED)
+    return alerts.select("packet_id", "ts", "detector", "sid", "src", "dst", "info")
+
+
 @query("alert_log_round_trip", f"SELECT info, sid, src, dst FROM {BOTH} b")
 def _(spark, d):
     return alertlog.parse_log_lines(alertlog.log_lines(two_detections(view(spark, d, "packets_ev"))))

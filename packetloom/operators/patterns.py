@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions import net, text
 from packetloom.functions.timecols import micros, to_us
-from packetloom.operators.alerts import as_alerts, source_address, target_address
+from packetloom.operators.alerts import as_alerts, source_address, target_address, union_all
 from packetloom.operators.chains import cooldown, greedy_chain
+from packetloom.operators.durable import checkpointed
 
 # ---------------------------------------------------------------------------------------------
 # The patterns of every family, as written by the detectors they come from.
@@ -626,6 +627,17 @@ def _detect(packets: DataFrame, detector: str) -> DataFrame:
     return as_alerts(kept, detector, F.col("sid"), F.col("info"), F.col("src"), F.col("dst"))
 
 
+def detect_payloads(packets: DataFrame, detectors: list[str] | None = None) -> DataFrame:
+    """The chosen payload detectors over one pass: payloads are decoded and searched once, hits are stored, then suppressed apart."""
+    chosen = detectors or PAYLOAD_DETECTORS
+    hits = checkpointed(pattern_hits(packets, chosen))
+    parts = []
+    for detector in chosen:
+        kept = _suppressed(hits.where(F.col("detector") == detector), detector)
+        parts.append(as_alerts(kept, detector, F.col("sid"), F.col("info"), F.col("src"), F.col("dst")))
+    return union_all(parts)
+
+
 def detect_sqli(packets: DataFrame) -> DataFrame:
     return _detect(packets, "SQLiDetector")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from packetloom.functions.timecols import cell_of, micros, to_us
 from packetloom.operators import arp, bruteforce, dns, dos, fragments, patterns, synscan
 from packetloom.operators.alerts import DETECTORS, union_all
+from packetloom.operators.durable import checkpointed
 from packetloom.schema import ALERT_COLUMNS, ALERTS
 
 Detect = Callable[[DataFrame], DataFrame]
@@ -88,6 +89,52 @@ class Registry:
             return union_all(alerts), failed
         return spark.createDataFrame([], _alert_schema(packets)), failed
 
+    def run_shared(self, packets: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """As ``run``, over candidate tables that are read from the packets once each and stored in the checkpoint folder.
+
+        Headers (without payloads) serve the detectors of rates, scans, ARP, DNS and fragments, payloads on web ports the
+        three payload detectors in one pass, and replies with a payload the brute-force detector. So nine detectors scan the
+        packet table three times, and a detector reads only what it can use. Storing runs jobs; other plug-ins get the packets.
+        """
+        chosen = only if only is not None else self.enabled()
+        built_in = [id for id in chosen if id in self._known and self._known[id].run is _RUN.get(id)]
+        first_byte = F.substring("payload", 1, 1).alias("payload")
+        alerts, errors, tables = [], [], {}
+
+        def stored(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+            if name not in tables:
+                tables[name] = checkpointed(make())
+            return tables[name]
+
+        def headers() -> DataFrame:
+            kept = [c for c in packets.columns if c not in ("payload", "frame")]
+            return packets.select(*kept, *([first_byte] if "payload" in packets.columns else []))
+
+        def payloads() -> DataFrame:
+            return packets.where(F.octet_length("payload") > 0)
+
+        tasks = []
+        web = [id for id in built_in if id in patterns.PAYLOAD_DETECTORS]
+        if web:
+            tasks.append((", ".join(web), lambda: patterns.detect_payloads(stored("web", lambda: payloads().where(patterns.on_ports(patterns.WEB_PORTS))), web)))
+        for id in chosen:
+            if id in web:
+                continue
+            if id not in built_in:
+                tasks.append((id, lambda id=id: self._known[id].run(packets)))
+            elif id == "BruteForceDetector":
+                tasks.append((id, lambda id=id: self._known[id].run(stored("replies", payloads))))
+            else:
+                tasks.append((id, lambda id=id: self._known[id].run(stored("headers", headers))))
+        for id, make in tasks:
+            try:
+                alerts.append(make().select(*ALERT_COLUMNS))
+            except Exception as error:
+                errors.append((id, type(error).__name__, str(error).split("\n")[0]))
+        spark = packets.sparkSession
+        failed = spark.createDataFrame(errors, "detector string, error string, message string")
+        return (union_all(alerts) if alerts else spark.createDataFrame([], _alert_schema(packets))), failed
+
     def report(self, packets: DataFrame, only: list[str] | None = None) -> DataFrame:
         """(detector, alerts, error): how many alerts each chosen detector raises, or why it could not be planned."""
         parts = []
