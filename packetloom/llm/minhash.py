@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import both_sides, whole_row
+from packetloom.llm.common import both_sides, numbered_within, whole_row
 from packetloom.llm.components import components
 from packetloom.operators.durable import checkpointed
 
@@ -163,6 +163,67 @@ def _closest(pairs: DataFrame, keys_of: DataFrame, most: int) -> DataFrame:
     return ranked.select(F.explode(F.slice("best", 1, most)).alias("t"), "b").select("t.a", "b")
 
 
+TILE = 256
+
+
+def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components ``c`` of the buckets ``rows`` (table, rep, n, c): every pair is decided.
+
+    No pair is written. Members of a bucket are gathered under the smallest component they meet, cut into tiles of bounded
+    size, and pairs of tiles that share a bucket are compared as blocks; of the links between two components one is enough.
+    """
+    lows = rows.groupBy("table").agg(F.min("c").alias("low"))
+    anchored = rows.join(both_sides(lows), "table").groupBy("rep", "c").agg(F.min("low").alias("anchor"))
+    placed = numbered_within(checkpointed(anchored), ["anchor"], ["rep"])
+    placed = checkpointed(placed.select("rep", "c", F.struct("anchor", F.floor(F.col("__n") / TILE).alias("part")).alias("tile")))
+    held = rows.select("table", "rep").join(both_sides(placed.select("rep", "tile")), "rep").select("table", "tile").distinct()
+    held = checkpointed(held)
+    met = held.select("table", F.col("tile").alias("x")).join(held.select("table", F.col("tile").alias("y")), "table").where("x <= y")
+    met = checkpointed(met.select("x", "y").distinct())
+    sides = met.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
+    full = placed.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "c", "tile", "hashes")
+    dealt = full.join(both_sides(sides), "tile").select(
+        F.xxhash64("x", "y").alias("x1"), F.xxhash64(F.lit(1), "x", "y").alias("y1"),
+        (F.col("tile") == F.col("x")).alias("own"), (F.col("x") == F.col("y")).alias("one"), "rep", "c", "hashes",
+    )
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, one = group.column("own").to_numpy(), group.column("one")[0].as_py()
+        rep, comp = group.column("rep").to_numpy(), group.column("c").to_numpy()
+        lists = group.column("hashes").combine_chunks()
+        values, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        size = np.diff(bounds)
+        left, right = (np.arange(len(rep)),) * 2 if one else (np.flatnonzero(own), np.flatnonzero(~own))
+        _, word = np.unique(values, return_inverse=True)
+        doc = np.repeat(np.arange(len(rep)), size)
+        sides = [np.zeros(word.max(initial=-1) + 1, bool) for _ in range(2)]
+        for side, at in zip(sides, (left, right)):
+            chosen = np.zeros(len(rep), bool)
+            chosen[at] = True
+            side[word[chosen[doc]]] = True
+        both = sides[0] & sides[1]
+        place = np.cumsum(both) - 1
+        use = both[word]
+        word, doc = place[word[use]], doc[use]
+        order = np.argsort(word, kind="stable")
+        word, doc = word[order], doc[order]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(both.sum()), 8192):  # words in blocks
+            a, b = np.searchsorted(word, (at, at + 8192))
+            block = np.zeros((len(rep), 8192), np.float32)
+            block[doc[a:b], word[a:b] - at] = 1
+            shared += block[left] @ block[right].T
+        near = 100 * shared >= percent * (size[left][:, None] + size[right] - shared)
+        i, j = np.nonzero(near & (comp[left][:, None] != comp[right]))
+        i, j = left[i], right[j]
+        low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+        _, first = np.unique(np.stack([low, high]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, int))
+        return pa.Table.from_arrays([pa.array(rep[i[first]], pa.int64()), pa.array(rep[j[first]], pa.int64())], schema=kinds)
+
+    return dealt.groupBy("x1", "y1").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, count: int = 24, size: int = 4, rounds: int = 4, tries: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -179,7 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Nothing is paired all with all: a round checks the members of a bucket against a pivot, each member against the
     ``tries`` pivots of its buckets that it is likeliest to be linked with, and buckets whose members are in one component are
-    done. What still differs after ``rounds`` rounds is paired across components, every pair, which is exact.
+    done. What still differs after ``rounds`` rounds is compared across components, every pair, block by block
+    (:func:`_across`), which is exact.
     """
     signed = checkpointed(signatures(docs, id_col, text_col, words, count, size))
     classes = checkpointed(
@@ -191,8 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("i", "key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").drop("__c")
     held = keys.join(both_sides(shared), ["i", "key"]).groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("i", "key"))).alias("k"))
     held = checkpointed(held.where(F.size("k") > 1))
-    pair = F.explode(F.transform(F.slice("k", F.col("p") + 2, F.size("k")), lambda y: F.xxhash64(F.get("k", F.col("p")), y)))
-    tables = held.select("rep", "n", "k", F.explode(F.sequence(F.lit(0), F.size("k") - 2)).alias("p")).select("rep", "n", pair.alias("table"))
+    one = F.get("k", F.col("p"))
+    pair = F.explode(F.transform(F.slice("k", F.col("p") + 2, F.size("k")), lambda y: F.xxhash64(one, y))).alias("table")
+    tables = held.select("rep", "n", "k", F.explode(F.sequence(F.lit(0), F.size("k") - 2)).alias("p")).select("rep", "n", pair)
     busy = tables.groupBy("table").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("table")
     tables = checkpointed(tables.join(both_sides(busy), "table"))
     met = tables.select("rep").distinct()
@@ -219,18 +282,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         tables = rows.select("table", "rep", "n")
         if turn == rounds:
-            other = rows.select("table", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = rows.join(other, "table").where("c < d").where(near).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+            found = checkpointed(_across(rows, sets, percent))
+            links = found if links is None else links.unionByName(found)
+            named = components(links)
+            break
+        # the smallest member at first, then a random one of the bucket's largest component
+        first = F.struct((-F.col("rep")).alias("o"), "rep", "n", "c") if not turn else F.struct("held", F.xxhash64(F.lit(turn), F.pmod("table", F.lit(8)), "rep").alias("o"), "rep", "n", "c")
+        pivots = rows.groupBy("table").agg(F.max(first).alias("p"))
+        pivots = pivots.select("table", F.col("p.rep").alias("a"), F.col("p.n").alias("m"), F.col("p.c").alias("d"))
+        pairs = rows.join(both_sides(pivots), "table").where("c <> d").where(near).select("a", F.col("rep").alias("b")).distinct()
+        if not turn:
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         else:
-            # the smallest member at first, then a random one of the bucket's largest component
-            first = F.struct((-F.col("rep")).alias("o"), "rep", "n", "c") if not turn else F.struct("held", F.xxhash64(F.lit(turn), "table", "rep").alias("o"), "rep", "n", "c")
-            pivots = rows.groupBy("table").agg(F.max(first).alias("p"))
-            pivots = pivots.select("table", F.col("p.rep").alias("a"), F.col("p.n").alias("m"), F.col("p.c").alias("d"))
-            pairs = rows.join(both_sides(pivots), "table").where("c <> d").where(near).select("a", F.col("rep").alias("b")).distinct()
-            if not turn:
-                pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            else:
-                pairs = _closest(pairs, keys_of, tries)
+            pairs = _closest(pairs, keys_of, tries)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
