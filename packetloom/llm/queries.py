@@ -40,7 +40,7 @@ def op5_line_dedup(spark, d):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-@query("op8_minhash_near_dedup")
+@query("op8_minhash_near_dedup", sql.MINHASH)
 def op8_minhash_near_dedup(spark, d):
     from packetloom.llm.minhash import near_duplicates
 
@@ -74,7 +74,7 @@ def op7_language_id(spark, d):
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-@query("op4_vector_near_dedup")
+@query("op4_vector_near_dedup", sql.VECTOR_DEDUP)
 def op4_vector_near_dedup(spark, d):
     from packetloom.llm.vector_dedup import near_vectors
 

@@ -83,3 +83,30 @@ near AS (SELECT d.dir, arg_max(f.licence, length(f.dir)) AS licence, arg_max(f.s
 SELECT p.doc_id, p.path, coalesce(p.licence, near.licence) AS licence, coalesce(p.score, near.score) AS score,
        coalesce(p.how, CASE WHEN near.licence IS NOT NULL THEN 'inherited' END) AS how
 FROM placed p LEFT JOIN near ON near.dir = p.dir"""
+
+
+def _components(nodes: str, links: str) -> str:
+    """(id, component): the smallest id that ``links`` (a, b), given both ways, reach from each of ``nodes`` (id)."""
+    return f"""
+    reach AS (SELECT id AS a, id AS b FROM {nodes} UNION SELECT r.a, l.b FROM reach r JOIN {links} l ON l.a = r.b),
+    named AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"""
+
+
+MINHASH = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w),
+n AS (SELECT w.id, count(s.shingle) AS n FROM w LEFT JOIN s ON s.id = w.id GROUP BY w.id),
+links AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.shingle = y.shingle AND x.id <> y.id JOIN n p ON p.id = x.id JOIN n q ON q.id = y.id
+          GROUP BY x.id, y.id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+{_components('n', 'links')}
+SELECT n.id AS doc_id, n.n AS n_shingles, component AS component_id, n.id = component AS kept FROM n JOIN named ON named.id = n.id"""
+
+VECTOR_DEDUP = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.label AND x.id <> y.id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+{_components('v', 'links')}
+SELECT v.id AS vec_id, count(l.b) AS n_links, any_value(component) AS component_id, v.id = any_value(component) AS kept
+FROM v JOIN named ON named.id = v.id LEFT JOIN links l ON l.a = v.id GROUP BY v.id"""
