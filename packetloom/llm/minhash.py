@@ -167,19 +167,22 @@ TILE = 256
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components ``c`` of the buckets ``rows`` (table, rep, n, c): every pair is decided.
+    """Links (a, b) between different components ``c`` of the buckets ``rows`` (table, rep, n, c, held): every pair is decided.
 
-    No pair is written. Members of a bucket are gathered under the smallest component they meet, cut into tiles of bounded
-    size, and pairs of tiles that share a bucket are compared as blocks; of the links between two components one is enough.
+    No pair is written. Members of a bucket are gathered under the smallest component they meet, large components in tiles of
+    their own, all tiles of bounded size, and pairs of tiles that share a bucket are compared as blocks; of the links
+    between two components one is enough.
     """
     lows = rows.groupBy("table").agg(F.min("c").alias("low"))
-    anchored = rows.join(both_sides(lows), "table").groupBy("rep", "c").agg(F.min("low").alias("anchor"))
-    placed = numbered_within(checkpointed(anchored), ["anchor"], ["rep"])
-    placed = checkpointed(placed.select("rep", "c", F.struct("anchor", F.floor(F.col("__n") / TILE).alias("part")).alias("tile")))
+    big = F.when(F.col("held") >= TILE, F.col("c"))
+    anchored = rows.join(both_sides(lows), "table").groupBy("rep", "c", big.alias("g")).agg(F.min("low").alias("anchor"))
+    placed = numbered_within(checkpointed(anchored), ["anchor", "g"], ["rep"])
+    placed = checkpointed(placed.select("rep", "c", F.struct("anchor", "g", F.floor(F.col("__n") / TILE).alias("part")).alias("tile")))
     held = rows.select("table", "rep").join(both_sides(placed.select("rep", "tile")), "rep").select("table", "tile").distinct()
     held = checkpointed(held)
     met = held.select("table", F.col("tile").alias("x")).join(held.select("table", F.col("tile").alias("y")), "table").where("x <= y")
-    met = checkpointed(met.select("x", "y").distinct())
+    apart = ~F.coalesce(F.col("x.g") == F.col("y.g"), F.lit(False))  # tiles of one large component have nothing to tell
+    met = checkpointed(met.where(apart).select("x", "y").distinct())
     sides = met.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
     full = placed.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "c", "tile", "hashes")
     dealt = full.join(both_sides(sides), "tile").select(
@@ -224,7 +227,7 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("x1", "y1").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, count: int = 24, size: int = 4, rounds: int = 4, tries: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, count: int = 24, size: int = 4, rounds: int = 1, tries: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Documents are linked when their sets of distinct ``words``-word shingles (A-Z lower-cased, ASCII white space between
