@@ -63,8 +63,7 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     """(doc_id, path, licence, score, how) of every row of ``docs``.
 
     Every line of every whole text is compared with the ``templates``: TF-IDF vectors over words of a-z and 0-9, with
-    ``ln((1 + documents) / (1 + documents with the term)) + 1`` counted over all rows for the templates' terms, and a
-    count of 1 for any other term. The best line at or above ``threshold`` gives the licence, ``how = 'header'`` (ties:
+    ``ln((1 + documents) / (1 + documents with the term)) + 1`` counted over all rows for every term. The best line at or above ``threshold`` gives the licence, ``how = 'header'`` (ties:
     the template listed first). If such lines hold at least ``share`` of a text's words it is a licence file
     (``how = 'file'``) and its licence holds for its directory (ties: highest score, then licence name). Rows without
     a licence take that of the nearest directory above their path that has one (``how = 'inherited'``, its score);
@@ -74,13 +73,12 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     vocabulary = sorted({t for _, text in templates for t in terms(text)})
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    held = F.array_intersect(words(F.col("text")), known)
-    counted = rows.select(F.explode_outer(F.array_append(held, F.lit(" "))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["term"]: r["n"] for r in counted.collect()}  # a row for each term of the templates, and one for all
+    held = F.array_distinct(words(F.col("text")))
+    counted = checkpointed(rows.select(F.explode(F.array_append(held, F.lit(" "))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("documents")))
+    # a row for each term of the templates, and one for all
+    counts = {r["term"]: r["documents"] for r in counted.where(F.col("term").isin(*vocabulary, " ")).collect()}
     total = counts.pop(" ", 0)
     idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
-    other = math.log((1 + total) / 2) + 1
     needed = set().union(*[anchors({t: terms(text).count(t) * idf[t] for t in terms(text)}, threshold) for _, text in templates])
     pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(needed)) + ")(?![a-z0-9])"
 
@@ -90,8 +88,8 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     distinct = lines.groupBy("lid").agg(F.first("line").alias("line"))
     table = _template_table(spark, templates, idf)
     spread = distinct.select("lid", F.explode(words(F.col("line"))).alias("term")).groupBy("lid", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = spread.join(F.broadcast(table), "term", "left")  # a row for each term of the templates
-    weight = F.col("tf") * F.coalesce("idf", F.lit(other))
+    weighed = spread.join(counted, "term").join(F.broadcast(table), "term", "left")  # a row for each term of the templates
+    weight = F.col("tf") * F.coalesce("idf", F.log((1 + F.lit(total)) / (1 + F.col("documents"))) + 1)
     names = [f"t{k}" for k in range(len(templates))]
     sums = weighed.groupBy("lid").agg(F.sqrt(F.sum(weight * weight)).alias("norm"), F.sum("tf").alias("n"), *[F.sum(weight * F.coalesce(t, F.lit(0.0))).alias(t) for t in names])
     cosines = [F.round(F.col(t) / F.col("norm"), 6) for t in names]

@@ -1,6 +1,7 @@
 """Operators on documents against brute-force versions."""
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import mixing, packing, secrets, token_files, tokens
 from packetloom.llm.components import components
-from packetloom.llm.licenses import anchors
+from packetloom.llm.licenses import TEMPLATES, anchors, terms
 from packetloom.llm.licenses import scan as scan_licences
 from packetloom.llm.line_dedup import dedup_lines
 from packetloom.llm.minhash import keep_one, near_duplicates
@@ -376,6 +377,31 @@ def test_licences(spark, none):
     assert scan_licences(none, F.lit("a/b")).count() == 0
 
 
+def cosines_by_hand(line, texts):
+    """The best cosine of ``line`` with a template, every term weighed by the documents that hold it."""
+    held = Counter(t for text in texts for t in set(terms(text)))
+
+    def vector(text):
+        raw = {t: n * (math.log((1 + len(texts)) / (1 + held[t])) + 1) for t, n in Counter(terms(text)).items()}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items()}
+
+    own = vector(line)
+    return max(sum(w * own.get(t, 0) for t, w in vector(body).items()) for _, body in TEMPLATES)
+
+
+def test_licence_weights_of_all_terms(spark):
+    notices = ["Released under the MIT License by Acme", "// Released under the MIT License. See LICENSE.txt", "Copyright 2024 Acme Corp. Released under the MIT License."]
+    prose = [f"see acme corp by txt copyright 2024 the work under prose number {i % 7}" for i in range(90)]
+    base = [f"{n}\n{p}" for n, p in zip(notices, prose)] + prose
+    for times in (1, 200):  # the same table again and again, with new ids
+        docs = spark.range(len(base) * times).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, base)), (F.col("id") % len(base) + 1).cast("int")).alias("text"))
+        found = {r.doc_id: r for r in scan_licences(docs, F.concat(F.lit("d"), "doc_id", F.lit("/x"))).where("how IS NOT NULL").collect()}
+        assert set(found) == {k * len(base) + i for k in range(times) for i in range(len(notices))}
+        for i, n in enumerate(notices):
+            assert found[i].licence == "MIT" and found[i].score == pytest.approx(cosines_by_hand(n, base * times), abs=1e-5)
+
+
 def test_anchors_lose_nothing():
     own = np.random.default_rng(6)
     weights = {f"t{i}": float(w) for i, w in enumerate(own.uniform(0.2, 5, 8))}
