@@ -18,15 +18,14 @@ from packetloom.llm.components import components
 from packetloom.operators.durable import checkpointed
 
 
-def _keyed(rows: DataFrame, passes: int, seed: int) -> DataFrame:
-    """(vec_id, label, size, class, vec, keys) of ``rows`` (vec_id, label, embedding); class is null for vectors that take no part.
+def _classed(rows: DataFrame) -> DataFrame:
+    """(vec_id, label, size, class, vec) of ``rows`` (vec_id, label, embedding); class is null for vectors that take no part.
 
-    ``keys`` has 64 random-hyperplane bits per pass, the first the highest; ``class`` names label and components.
+    ``class`` names label and components.
     """
-    kinds = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("class", pa.binary()), ("vec", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    kinds = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("size", pa.int32()), ("class", pa.binary()), ("vec", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
             out = {n: [] for n in kinds.names}
             for vec_id, label, given in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -35,20 +34,46 @@ def _keyed(rows: DataFrame, passes: int, seed: int) -> DataFrame:
                     vec = np.array(given, np.float64) + 0.0  # no negative zero
                     if not np.isfinite(vec).all() or not vec.any():
                         vec = None
-                keys = name = data = None
+                name = data = None
                 if vec is not None:
-                    if len(vec) not in planes:
-                        planes[len(vec)] = np.random.default_rng([seed, len(vec)]).normal(size=(len(vec), 64 * passes))
-                    bits = (vec / np.abs(vec).max()) @ planes[len(vec)] >= 0
-                    keys = np.packbits(bits).view(">i8").astype(np.int64).tolist()
                     data = vec.tobytes()
                     name = hashlib.blake2b(data, digest_size=16, key=label.encode()[:64]).digest()
-                values = (vec_id, label, len(vec) if vec is not None else None, name, data, keys)
+                values = (vec_id, label, len(vec) if vec is not None else None, name, data)
                 for n, v in zip(kinds.names, values):
                     out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
-    return rows.mapInArrow(run, "vec_id long, label string, size int, class binary, vec binary, keys array<long>")
+    return rows.mapInArrow(run, "vec_id long, label string, size int, class binary, vec binary")
+
+
+def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
+    """(class, label, size, keys): 64 random-hyperplane bits of each class's vector per pass, the first the highest."""
+    kinds = pa.schema([("class", pa.binary()), ("label", pa.string()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = []
+            for data in batch.column(3).to_pylist():
+                vec = np.frombuffer(data, np.float64)
+                if len(vec) not in planes:
+                    planes[len(vec)] = np.random.default_rng([seed, len(vec)]).normal(size=(len(vec), 64 * passes))
+                bits = (vec / np.abs(vec).max()) @ planes[len(vec)] >= 0
+                keys.append(np.packbits(bits).view(">i8").astype(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.list_(pa.int64()))], schema=kinds)
+
+    return classes.select("class", "label", "size", "vec").mapInArrow(run, "class binary, label string, size int, keys array<long>")
+
+
+def first_bits_for(largest: int, window: int) -> int:
+    """Bits that by chance only a few of the ``largest`` number of vectors that are compared with each other share."""
+    return min(48, max(8, math.ceil(math.log2(max(largest, 1) / window + 1)) + 4))
+
+
+def passes_for(first_bits: int, threshold: float, miss: float) -> int:
+    """Passes, 12 at least, after which two vectors at ``threshold`` have shared no first bits with a probability of at most ``miss``."""
+    shared = (1 - math.acos(threshold) / math.pi) ** first_bits
+    return 12 if shared == 1 else max(12, math.ceil(math.log(miss) / math.log1p(-shared)))
 
 
 def _rooted(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -65,7 +90,7 @@ def _rooted(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", label_col: str | None = "label", vector_col: str = "embedding", threshold: float = 0.98, passes: int = 12, window: int = 256, seed: int = 17) -> DataFrame:
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", label_col: str | None = "label", vector_col: str = "embedding", threshold: float = 0.98, passes: int | None = None, window: int = 256, seed: int = 17, miss: float = 0.0001) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``rows``.
 
     Two vectors are linked if their labels are equal and not null, their lengths are equal, and their cosine in double
@@ -76,8 +101,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", label_col: str | None
 
     Each pass orders the vectors by label and a string of random-hyperplane bits and compares neighbours: those at
     most ``window`` ranks apart, and, so that a window never caps a dense group, all that share the first bits of the
-    pass's key, however many. The number of these bits grows with the logarithm of the table, so by chance only
-    a few vectors share them. Ranks are cut into tiles; a tile meets the one before it, and a run of equal first bits
+    pass's key, however many. The number of these bits grows with the logarithm of the largest label, so by
+    chance only a few vectors share them, and the number of passes grows with it, so that at any size and density
+    a link is in none of them with a probability of at most ``miss``; ``passes`` sets their number instead. Ranks are cut into tiles; a tile meets the one before it, and a run of equal first bits
     that covers more tiles has its pairs of tiles dealt out as groups of their own. A link counts in the first pass
     that can see it, which each vector's ranks in the earlier passes tell, so no pair is ever written: groups
     return counts per vector and stars for the union.
@@ -85,15 +111,17 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", label_col: str | None
     spark = rows.sparkSession
     label = F.lit("") if label_col is None else F.col(label_col).cast("string")
     vector = F.col(vector_col).cast(T.ArrayType(T.DoubleType()))
-    keyed = checkpointed(_keyed(rows.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vector.alias("embedding")), passes, seed))
-    classes = keyed.where(F.col("class").isNotNull()).groupBy("class").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("size").alias("size"), F.first("vec").alias("vec"), F.first("keys").alias("keys")
+    classed = checkpointed(_classed(rows.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vector.alias("embedding"))))
+    classes = classed.where(F.col("class").isNotNull()).groupBy("class").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("size").alias("size"), F.first("vec").alias("vec")
     )
     classes = checkpointed(classes)
-    count = classes.count()
-    first_bits = min(48, max(8, math.ceil(math.log2(max(count, 1) / window + 1)) + 4))
+    largest = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c")).first()["c"] or 0
+    first_bits = first_bits_for(largest, window)
+    if passes is None:
+        passes = passes_for(first_bits, threshold, miss)
 
-    keys = classes.select("class", "label", "size", F.posexplode("keys").alias("pass", "key"))
+    keys = _keyed(classes, passes, seed).select("class", "label", "size", F.posexplode("keys").alias("pass", "key"))
     order = ["pass", "label", "size", "key", "class"]
     placed = keys.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     placed = checkpointed(placed.withColumn("at", F.monotonically_increasing_id()))
@@ -111,7 +139,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", label_col: str | None
     far = checkpointed(far.select(F.col("x.t").alias("t"), F.col("x.own").alias("own"), "a", "b"))
 
     spots = ranked.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("pass", "rank", "first", "tile"))).alias("spots"))
-    full = classes.drop("keys").join(spots, "class")
+    full = classes.join(spots, "class")
     full = full.withColumn("ranks", F.col("spots.rank")).withColumn("firsts", F.col("spots.first"))
     each = full.select("class", "rep", "n", "label", "size", "vec", "ranks", "firsts", F.explode("spots").alias("s")).select("*", "s.pass", "s.tile").drop("s")
     near = each.withColumn("g", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("tile").alias("b")), F.struct(F.lit(False).alias("own"), (F.col("tile") + 1).alias("b")))))
@@ -163,6 +191,6 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", label_col: str | None
     named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     about = classes.select("class", "rep", "n").join(sums, "class", "left").join(named, F.col("rep") == F.col("node"), "left")
     about = about.select(F.col("class").alias("c"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = keyed.select("vec_id", "class").join(both_sides(about), F.col("class") == F.col("c"), "left")
+    out = classed.select("vec_id", "class").join(both_sides(about), F.col("class") == F.col("c"), "left")
     name = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), name.alias("component_id"), F.coalesce(F.col("vec_id") == name, F.lit(False)).alias("kept"))

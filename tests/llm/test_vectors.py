@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.llm import langid, topk
-from packetloom.llm.vector_dedup import near_vectors
+from packetloom.llm.vector_dedup import first_bits_for, near_vectors, passes_for
 
 VECTORS = "vec_id long, embedding array<double>, label int, rep string, rank int"
 
@@ -75,6 +75,27 @@ def test_near_vectors_odd_tables(spark):
     assert near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_passes_keep_the_bound():
+    for size in (1, 200, 40_000, 10**6, 10**7, 10**8, 10**12):
+        bits = first_bits_for(size, 256)
+        for threshold in (0.9, 0.98, 1.0):
+            assert (1 - (1 - math.acos(threshold) / math.pi) ** bits) ** passes_for(bits, threshold, 0.0001) <= 0.0001
+
+
+def test_near_vectors_in_a_dense_label(spark):
+    """Pairs just above the threshold in a label of 500 windows, whose vectors lie in one cone."""
+    own = np.random.default_rng(3)
+    x = own.normal(size=(4000, 32)) / math.sqrt(32) + np.eye(32)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = own.normal(size=x.shape)
+    d -= (d * x).sum(axis=1, keepdims=True) * x
+    x = np.concatenate([x, 0.9801 * x + math.sqrt(1 - 0.9801**2) * d / np.linalg.norm(d, axis=1, keepdims=True)])
+    cos = x @ x.T >= 0.98
+    want = {i: int(n) - 1 for i, n in enumerate(cos.sum(axis=1))}
+    table = spark.createDataFrame([(i, v.tolist(), 1, "r", 1) for i, v in enumerate(x)], VECTORS)
+    assert {r.vec_id: r.n_links for r in near_vectors(table, window=16).collect()} == want
+
+
 def top_by_hand(rows, k):
     ints = {i: np.floor(64 * np.array(v, float)).astype(int) for i, v, *_ in rows if usable(v + [1.0] if v else v) and np.abs(v).max() < 1e5}
     out = []
