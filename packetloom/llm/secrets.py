@@ -20,11 +20,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # Where a value is taken for a credential: after a key and a sign, in a URL's user part, after an authorisation scheme.
 CONTEXTS = (
     re.compile(
-        r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|auth)["']?[ \t]{0,8}(?:[:=]|=>|:=)[ \t]{0,8}["']?([^\s"'<>,;]{6,})""",
+        r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[_-]?key|credentials?|auth)["']?[ \t]*(?:[:=]|=>|:=)[ \t]*["']?([^\s"'<>,;]{6,})""",
         re.IGNORECASE | re.ASCII,
     ),
-    re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s:/@"'<>]{1,64}:([^\s/@"'<>]{6,})@""", re.IGNORECASE | re.ASCII),
-    re.compile(r"""authorization["']?[ \t]{0,8}[:=][ \t]{0,8}["']?(?:bearer|basic|token)[ \t]{1,8}([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII),
+    re.compile(r"""(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*|[a-z][a-z0-9+.-]{1,15})://[^\s:/@"'<>]*:([^\s/@"'<>]{6,})@""", re.IGNORECASE | re.ASCII),
+    re.compile(r"""authorization["']?[ \t]*[:=][ \t]*["']?(?:bearer|basic|token)[ \t]+([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII),
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "://")
 

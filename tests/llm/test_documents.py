@@ -340,6 +340,21 @@ def test_secrets(spark, odd_rows):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "redis://:Tr0ub4dor&3@host",
+        "db://" + "u" * 300 + ":Tr0ub4dor&3@host",
+        "x://bob:Tr0ub4dor&3@host",
+        "a" + "1" * 40 + "://bob:Tr0ub4dor&3@host",
+        "pwd" + " " * 40 + "=" + "\t" * 40 + "Tr0ub4dor&3",
+        "Authorization" + " " * 9 + ":" + " " * 9 + "Bearer" + " " * 9 + "Tr0ub4dor&3",
+    ],
+)
+def test_secret_contexts_of_any_length(text):
+    assert "Tr0ub4dor&3" in [text[a:b] for k, a, b in secrets.spans_of(text) if k == "guess"]
+
+
 def test_guess_cost_is_the_cheapest_cover():
     cost = secrets.guess_cost
     assert cost("") == 0
