@@ -105,6 +105,29 @@ def op3_secret_scan(spark, d):
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+@query("op11_merkle_manifest", sql.MERKLE)
+def op11_merkle_manifest(spark, d):
+    from packetloom.llm.merkle import fold, hex_text, leaf, proofs, siblings
+
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = [F.col("n_chars") + 1 if i == 3 else v for i, v in enumerate(values)]
+    found = proofs(table(spark, d, "documents"), values, also={"tampered": F.when(odd, leaf(*changed))})
+    folded = found.withColumn("folded", fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    proof = F.sha2(hex_text(siblings(F.col("steps"))), 256)
+    digests = [hex_text(F.col(c)).alias(n) for c, n in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"))]
+    return folded.select("doc_id", *digests, proof.alias("proof_sha256"), hex_text(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+@query("op12_benchmark_passages", sql.PASSAGES)
+def op12_benchmark_passages(spark, d):
+    from packetloom.llm.decontaminate import find_passages
+
+    found = find_passages(table(spark, d, "documents"), table(spark, d, "benchmark"), keep=["doc_id"])
+    listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline

@@ -110,3 +110,69 @@ links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.lab
 {_components('v', 'links')}
 SELECT v.id AS vec_id, count(l.b) AS n_links, any_value(component) AS component_id, v.id = any_value(component) AS kept
 FROM v JOIN named ON named.id = v.id LEFT JOIN links l ON l.a = v.id GROUP BY v.id"""
+
+PASSAGES = rf"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(w[k : k + 9], ' '))) AS win FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM windows) s WHERE len(w) >= n),
+held AS (SELECT s.doc_id, s.k, s.n, x.item FROM (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS win FROM starts) s JOIN windows x ON x.n = s.n AND x.win = s.win),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM held) y GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM held GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of the trees of ``leaves`` (tree, k, digest, n): (tree, level, k, digest, n)."""
+    return f"""
+    {name} AS (
+        SELECT tree, 0 AS level, k, digest, n FROM {leaves}
+        UNION ALL
+        SELECT tree, level + 1, k // 2, sha256(string_agg(digest, '' ORDER BY k)), any_value((n + 1) // 2) FROM {name} WHERE n > 1 GROUP BY tree, level, k // 2)"""
+
+
+def _leaf(n_chars: str) -> str:
+    values = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return f"sha256({' || '.join(map(_field, values))})"
+
+
+MERKLE = f"""
+WITH RECURSIVE bits AS (
+    SELECT b, b AS c, 0 AS turn FROM range(256) t(b)
+    UNION ALL SELECT b, xor(c >> 1, (c & 1) * 3988292384), turn + 1 FROM bits WHERE turn < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE turn = 8),
+hashed AS (
+    SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, {_leaf('n_chars + 1')} AS changed,
+           xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+               lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1]))) AS crc
+    FROM documents CROSS JOIN crc_table),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n,
+           dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM hashed),
+leaves AS (SELECT tree, k, leaf AS digest, n FROM ranked),
+{_tree('low', 'leaves')},
+roots AS (SELECT tree, digest FROM low WHERE n = 1),
+crown AS (SELECT 0 AS tree, tree AS k, digest, count(*) OVER () AS n FROM roots),
+{_tree('high', 'crown')},
+top AS (SELECT digest AS root FROM high WHERE n = 1),
+steps AS (
+    SELECT r.doc_id, 0 AS part, l.level, l.k, s.digest FROM ranked r JOIN low l ON l.tree = r.tree AND l.k = r.k >> l.level AND l.n > 1
+    LEFT JOIN low s ON s.tree = l.tree AND s.level = l.level AND s.k = xor(l.k, 1)
+    UNION ALL
+    SELECT r.doc_id, 1, h.level, h.k, s.digest FROM ranked r JOIN high h ON h.k = r.tree >> h.level AND h.n > 1
+    LEFT JOIN high s ON s.level = h.level AND s.k = xor(h.k, 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, level) AS turn FROM steps),
+folding AS (
+    SELECT doc_id, 1 AS turn, CASE WHEN crc % 7 = 0 THEN coalesce(changed, leaf) ELSE leaf END AS held FROM ranked
+    UNION ALL
+    SELECT f.doc_id, f.turn + 1, sha256(CASE WHEN n.k % 2 = 1 THEN coalesce(n.digest, '') || f.held ELSE f.held || coalesce(n.digest, '') END)
+    FROM folding f JOIN numbered n ON n.doc_id = f.doc_id AND n.turn = f.turn),
+folded AS (SELECT doc_id, arg_max(held, turn) AS folded_root FROM folding GROUP BY doc_id),
+proof AS (SELECT doc_id, sha256(coalesce(string_agg(digest, '' ORDER BY turn), '')) AS proof_sha256 FROM numbered GROUP BY doc_id)
+SELECT r.doc_id, r.leaf, roots.digest AS subroot, top.root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ranked r JOIN roots ON roots.tree = r.tree CROSS JOIN top JOIN folded ON folded.doc_id = r.doc_id LEFT JOIN proof ON proof.doc_id = r.doc_id"""
