@@ -98,7 +98,7 @@ def word_spans(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Code points (end exclusive) in ``text`` of runs of words."""
     out, waiting, start = [], iter(runs), 0
     run = next(waiting, None)
-    for k, word in enumerate(re.finditer(WORD, text)):
+    for k, word in enumerate(re.finditer(WORD, lowered(text))):
         if run is None:
             break
         if k == run[0]:

@@ -128,6 +128,13 @@ def op12_benchmark_passages(spark, d):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op13_token_alignment")
+def op13_token_alignment(spark, d):
+    from packetloom.llm.alignment import align
+
+    return align(table(spark, d, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
