@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +43,13 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return leveled.select("source", "source_size", target.alias("target"))
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, reach: int = 1 << 14) -> list[int]:
+def fit(lengths: list[int], counts: list[int], budget: int, reach: int = 1 << 22) -> list[int]:
     """How many documents of each length to take, at most ``counts``, so that the words come close to ``budget`` from below.
 
-    Lengths get their even part of the budget first (rounded down), then the longest ones that still fit, until less
-    than ``reach`` words are open; the rest is a bounded knapsack over word counts, a bit set per length whose copies
-    are folded in by powers of two, walked back from the fullest sum. Work depends on the number of distinct lengths.
+    Lengths get their even part of the budget first (rounded down), then the longest ones that still fit as long as
+    more is open than ``reach`` words and twice the longest length. The rest is a bounded knapsack over word counts in units of
+    the lengths' common divisor: a bit set of sums into which each length's copies are folded by powers of two, long lengths first, until
+    a sum meets what is open. Every 64th set is kept, and the others are made again on the way back from the fullest sum.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
@@ -56,35 +59,41 @@ def fit(lengths: list[int], counts: list[int], budget: int, reach: int = 1 << 14
     taken = [c * budget // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, taken))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    reach = max(reach, 2 * lengths[order[0]])
     for i in order:
         if lengths[i] and left >= reach:
-            more = min(counts[i] - taken[i], (left - reach) // lengths[i] + 1, left // lengths[i])
+            more = min(counts[i] - taken[i], (left - reach) // lengths[i] + 1)
             taken[i] += more
             left -= more * lengths[i]
-    free = [i for i in order if 0 < lengths[i] <= left and counts[i] > taken[i]]
-    if left and left < 4 * reach:
-        mask = (1 << (left + 1)) - 1
-        sums, steps = 1, []
-        for i in reversed(free):
+    steps = []
+    for i in order:
+        if 0 < lengths[i] <= left:
             copies, part = min(counts[i] - taken[i], left // lengths[i]), 1
-            while copies:
+            while copies > 0:
                 part = min(part, copies)
-                steps.append((i, part, sums))
-                sums |= (sums << (part * lengths[i])) & mask
+                steps.append((i, part))
                 copies -= part
                 part *= 2
-            if sums >> left:  # the budget itself can be met
-                break
-        best = sums.bit_length() - 1
-        for i, part, without in reversed(steps):
+    unit = math.gcd(*(lengths[i] for i, _ in steps)) if steps else 1
+    space = left // unit
+    mask = (1 << (space + 1)) - 1
+    fold = lambda sums, step: sums | (sums << (step[1] * lengths[step[0]] // unit)) & mask
+    sums, marks, used = 1, [], 0
+    while used < len(steps) and not sums >> space:
+        if used % 64 == 0:
+            marks.append(sums)
+        sums = fold(sums, steps[used])
+        used += 1
+    best = sums.bit_length() - 1
+    for k in reversed(range(len(marks))):
+        part = steps[64 * k : min(64 * (k + 1), used)]
+        before = [marks[k]]
+        for step in part[:-1]:
+            before.append(fold(before[-1], step))
+        for (i, copies), without in zip(reversed(part), reversed(before)):
             if not without >> best & 1:
-                taken[i] += part
-                best -= part * lengths[i]
-    else:
-        for i in free:
-            more = min(counts[i] - taken[i], left // lengths[i])
-            taken[i] += more
-            left -= more * lengths[i]
+                taken[i] += copies
+                best -= copies * lengths[i] // unit
     return taken
 
 
