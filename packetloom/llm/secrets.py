@@ -49,17 +49,54 @@ def _letter(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
-def guess_cost(value: str) -> float:
+def _walks(low: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of keyboard walks of 3 and more: each longest run, its beginnings and its endings."""
+    start, n = 0, len(low)
+    while start < n:
+        end = start + 1
+        while end < n and (low[end - 1], low[end]) in STEPS:
+            end += 1
+        yield from ((start, k) for k in range(start + 3, end + 1))
+        yield from ((k, end) for k in range(start + 1, end - 2))
+        start = end
+
+
+def _repeats(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, unit, times) of units of up to 16 that follow themselves: in each longest stretch with that period, from each of its
+    first starts, any number of times (twice at least, single characters three times)."""
+    n = len(value)
+    for unit in range(1, min(16, n // 2) + 1):
+        start = 0
+        while start + unit < n:
+            end = start
+            while end + unit < n and value[end] == value[end + unit]:
+                end += 1
+            for first in range(start, min(start + unit, end - unit + 1)):
+                yield from ((first, unit, times) for times in range(2 if unit > 1 else 3, (end + unit - first) // unit + 1))
+            start = end + 1
+
+
+def guess_cost(value: str, known: dict[str, float] | None = None) -> float:
     """Decimal logarithm of the guesses that the cheapest way of writing ``value`` needs.
 
-    Dynamic programming over positions: the cheapest cover by words (by rank), dates, repeats of a unit, keyboard walks
-    and brute-force characters. Each pattern costs a factor of 2 for the choice. Time grows with the length.
+    Dynamic programming over positions: the cheapest cover by words (by rank), dates, repeats of a unit (:func:`_repeats`), keyboard
+    walks (:func:`_walks`) and brute-force characters. Each pattern costs a factor of 2 for the choice. Time grows with the length,
+    since every place has a bounded number of patterns; a unit's own cost is found once.
     """
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = value
-    best = [0.0] + [math.inf] * n
+    known = {} if known is None else known
     choice = math.log10(2)
+    ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for start, end in _walks(low):
+        ends[start].append((end, math.log10(47 * 2 * (end - start))))
+    for start, unit, times in _repeats(value):
+        own = value[start : start + unit]
+        if own not in known:
+            known[own] = guess_cost(own, known)
+        ends[start].append((start + unit * times, known[own] + math.log10(times)))
+    best = [0.0] + [math.inf] * n
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + _letter(value[i]))
@@ -72,20 +109,8 @@ def guess_cost(value: str) -> float:
             m = DATE.match(value, i)
             if m:
                 best[m.end()] = min(best[m.end()], here + choice + math.log10(120 if m.end() - i == 4 else 365 * 120))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in STEPS:
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + choice + math.log10(47 * 2 * (j - i)))
-        for unit in range(1, min(16, (n - i) // 2) + 1):
-            if value[i + unit : i + 2 * unit] == value[i : i + unit]:
-                end, times, once = i + 2 * unit, 2, guess_cost(value[i : i + unit])
-                while True:
-                    if unit > 1 or times > 2:
-                        best[end] = min(best[end], here + choice + once + math.log10(times))
-                    if end + unit > n or value[end : end + unit] != value[i : i + unit]:
-                        break
-                    end, times = end + unit, times + 1
+        for end, cost in ends[i]:
+            best[end] = min(best[end], here + choice + cost)
     return best[n]
 
 
