@@ -37,7 +37,7 @@ def _classed(rows: DataFrame) -> DataFrame:
                 name = data = None
                 if vec is not None:
                     data = vec.tobytes()
-                    name = hashlib.blake2b(data, digest_size=16, key=label.encode()[:64]).digest()
+                    name = hashlib.blake2b(hashlib.blake2b(label.encode()).digest() + data, digest_size=16).digest()
                 values = (vec_id, label, len(vec) if vec is not None else None, name, data)
                 for n, v in zip(kinds.names, values):
                     out[n].append(v)
