@@ -53,10 +53,9 @@ WITH templates(k, name, body) AS (VALUES {templates}),
 t_terms AS (SELECT k, unnest({words.format('body')}) AS term FROM templates),
 texts AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents),
 total AS (SELECT count(*) AS n FROM texts),
-doc_terms AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({words.format('text')}) AS term FROM texts) x
-              WHERE term IN (SELECT term FROM t_terms)),
+doc_terms AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({words.format('text')}) AS term FROM texts) x),
 idf AS (SELECT v.term, ln((1.0 + n) / (1.0 + count(d.doc_id))) + 1 AS idf
-        FROM (SELECT DISTINCT term FROM t_terms) v CROSS JOIN total LEFT JOIN doc_terms d ON d.term = v.term GROUP BY v.term, n),
+        FROM (SELECT term FROM t_terms UNION SELECT term FROM doc_terms) v CROSS JOIN total LEFT JOIN doc_terms d ON d.term = v.term GROUP BY v.term, n),
 t_raw AS (SELECT k, t.term, count(*) * any_value(idf) AS w FROM t_terms t JOIN idf ON idf.term = t.term GROUP BY k, t.term),
 t_norm AS (SELECT k, sqrt(sum(w * w)) AS norm FROM t_raw GROUP BY k),
 t_vec AS (SELECT r.k, r.term, r.w / t.norm AS w FROM t_raw r JOIN t_norm t ON t.k = r.k),
@@ -64,8 +63,7 @@ lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                  unnest(range(len(string_split(text, chr(10))))) AS pos FROM texts),
 line_terms AS (SELECT doc_id, pos, term, count(*) AS tf
                FROM (SELECT doc_id, pos, unnest({words.format('line')}) AS term FROM lines) x GROUP BY ALL),
-weighed AS (SELECT l.doc_id, l.pos, l.term, l.tf, l.tf * coalesce(idf.idf, ln((1.0 + total.n) / 2) + 1) AS w
-            FROM line_terms l CROSS JOIN total LEFT JOIN idf ON idf.term = l.term),
+weighed AS (SELECT l.doc_id, l.pos, l.term, l.tf, l.tf * idf.idf AS w FROM line_terms l JOIN idf ON idf.term = l.term),
 line_norm AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm, sum(tf) AS n FROM weighed GROUP BY ALL),
 cosines AS (SELECT w.doc_id, w.pos, v.k, any_value(l.n) AS n, round(sum(w.w * v.w) / any_value(l.norm), 6) AS score
             FROM weighed w JOIN t_vec v ON v.term = w.term JOIN line_norm l ON l.doc_id = w.doc_id AND l.pos = w.pos
