@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -89,6 +91,20 @@ def test_fit_meets_budget():
         assert 0 <= min(budget, total) - sum(a * b for a, b in zip(lengths, taken)) <= 5
 
 
+def test_fit_with_long_documents():
+    assert mixing.fit([60000, 80000, 100000], [1, 1, 1], 140000) == [1, 1, 0]
+    assert mixing.fit([30000, 70001, 90000, 400000], [2, 1, 3, 1], 100001) == [1, 1, 0, 0]
+    own = np.random.default_rng(5)
+    for _ in range(30):
+        lengths = sorted(set((own.integers(20, 100, 6) * 1000).tolist()))
+        sums = {0}
+        for n in lengths:
+            sums |= {s + n for s in sums}
+        budget = int(own.integers(0, sum(lengths)))
+        got = sum(a * b for a, b in zip(lengths, mixing.fit(lengths, [1] * len(lengths), budget)))
+        assert got == max(s for s in sums if s <= budget)
+
+
 def test_fit_is_the_best_subset_sum():
     own = np.random.default_rng(2)
     for _ in range(60):
@@ -355,6 +371,54 @@ def test_secret_contexts_of_any_length(text):
     assert "Tr0ub4dor&3" in [text[a:b] for k, a, b in secrets.spans_of(text) if k == "guess"]
 
 
+def cover_by_hand(value):
+    """Every span of every kind tried at every place."""
+    low, n = value.lower(), len(value)
+    step = [(low[k], low[k + 1]) in secrets.STEPS for k in range(n - 1)]
+    cost = {}
+    add = lambda i, j, c: cost.__setitem__((i, j), min(c, cost.get((i, j), math.inf)))
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            part = value[i:j]
+            if j == i + 1:
+                add(i, j, secrets._letter(part))
+            if part.lower() in secrets.RANK and j - i >= 2:
+                add(i, j, math.log10(2) + math.log10(secrets.RANK[part.lower()]) + (part != part.lower()) * math.log10(2))
+            if j - i >= 3 and all(step[i : j - 1]) and (i == 0 or not step[i - 1] or j == n or not step[j - 1]):
+                add(i, j, math.log10(2) + math.log10(94 * (j - i)))
+            for unit in range(1, 17):
+                times = (j - i) // unit
+                if times * unit == j - i and times >= (2 if unit > 1 else 3) and part == part[:unit] * times:
+                    begin = i  # the first place from where the period holds
+                    while begin and value[begin - 1] == value[begin - 1 + unit]:
+                        begin -= 1
+                    if i - begin < unit:
+                        add(i, j, math.log10(2) + cover_by_hand(part[:unit]) + math.log10(times))
+        m = secrets.DATE.match(value, i) if value[i].isdigit() else None
+        if m:
+            add(i, m.end(), math.log10(2) + math.log10(120 if m.end() - i == 4 else 365 * 120))
+    best = [0.0] + [math.inf] * n
+    for (i, j), c in sorted(cost.items()):
+        best[j] = min(best[j], best[i] + c)
+    return best[n]
+
+
+def test_guess_cost_equals_brute_force():
+    own = random.Random(4)
+    parts = ["pass", "Admin", "qwerty", "asdf", "2019-03-04", "1999", "12345", "ab", "xyx", "aaa", "Q7", "é", "zz", "9876", "abc", "Abcabc", "kj"]
+    for k in range(300):
+        value = "".join(own.choice(parts) for _ in range(own.randint(1, 5))) if k % 3 else "".join(own.choices("aab12", k=own.randint(1, 14)))
+        assert secrets.guess_cost(value) == pytest.approx(cover_by_hand(value)), value
+
+
+def test_guess_cost_of_long_values():
+    for value in ("a" * 20_000, "0123456789" * 2000, "ab" * 5000, "abcabcabd" * 1500, "".join(random.Random(1).choices("ABCdef019+/", k=20_000))):
+        began = time.perf_counter()
+        secrets.guess_cost(value)
+        assert time.perf_counter() - began < 10
+    assert [k for k, *_ in secrets.spans_of("password=" + "x" * 5000)] == ["assign"]
+
+
 def test_guess_cost_is_the_cheapest_cover():
     cost = secrets.guess_cost
     assert cost("") == 0

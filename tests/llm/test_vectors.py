@@ -1,6 +1,7 @@
 """Vector operators and the language network against brute-force versions."""
 
 import math
+import unicodedata
 import zlib
 
 import numpy as np
@@ -97,11 +98,11 @@ def test_near_vectors_in_a_dense_label(spark):
 
 
 def top_by_hand(rows, k):
-    ints = {i: np.floor(64 * np.array(v, float)).astype(int) for i, v, *_ in rows if usable(v + [1.0] if v else v) and np.abs(v).max() < 1e5}
+    ints = [(i, [math.floor(64.0 * float(x)) for x in v]) for i, v, *_ in rows if usable(v + [1.0] if v else v) and all(math.isfinite(64 * float(x)) for x in v)]
     out = []
-    for q, x in ints.items():
+    for q, x in {(i, tuple(v)) for i, v in ints}:
         if q % 20 == 0:
-            scores = sorted((-int(x @ y), i) for i, y in ints.items() if i != q and len(x) == len(y))
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), i) for i, y in ints if i != q and len(x) == len(y))
             out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -111,9 +112,40 @@ def test_top_k(spark, sizes):
     rows = odd_vectors()
     table = spark.createDataFrame(rows + rows[:3], VECTORS).repartition(3)
     got = sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 20 == 0, k=7, **sizes).collect()))
+    assert got == top_by_hand(rows + rows[:3], 7)
+
+
+@pytest.mark.parametrize("sizes", [{"candidates": 64, "queries": 5, "lists": 16}, {}])
+def test_top_k_of_large_components(spark, sizes):
+    """Components of 2^24 and far beyond hold the highest scores; products above 2^53 and 2^63 stay exact."""
+    own = np.random.default_rng(12)
+    rows = [(i, (own.normal(size=6) * 10.0 ** own.choice([0, 0, 0, 5, 7, 8, 9])).tolist(), 1, "r", 1) for i in range(300)]
+    rows += [(400, [1e12] * 6, 1, "r", 1), (401, [-1e300, 1.0, 0.0, 0.0, 0.0, 0.0], 1, "r", 1), (420, [262144.0, 0.0, 0.0, 0.0, 0.0, 1.0], 1, "r", 1), (421, [1e308] * 6, 1, "r", 1)]
+    table = spark.createDataFrame(rows, VECTORS).repartition(3)
+    got = sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 20 == 0, k=7, **sizes).collect()))
     assert got == top_by_hand(rows, 7)
 
 
+def test_lists_are_left_early():
+    """Where a few candidates stand out, bounds close before the lists end; elsewhere they are read to the end. Results are the same."""
+    own = np.random.default_rng(13)
+    queries = own.integers(1, 60, (40, 8)).astype(float)
+    flat = own.integers(-40, 40, (2000, 8)).astype(float)
+    skewed = flat.copy()
+    skewed[:30] += 400
+    for values, early in ((skewed, True), (flat, False)):
+        reads: list[float] = []
+        blocks = [topk.SortedLists(np.arange(a, a + 500), values[a : a + 500], np.float64) for a in range(0, 2000, 500)]
+        best = topk.aggregate(np.full(40, -1), queries, iter(blocks), 10, reads)
+        exact = queries @ values.T
+        for (ids, scores), line in zip(best, exact):
+            order = np.lexsort((np.arange(2000), -line))[:10]
+            assert ids.tolist() == order.tolist() and scores.tolist() == line[order].tolist()
+        assert len(reads) == 160
+        if early:  # most queries and blocks stop at the first steps
+            assert sum(r < 0.3 for r in reads) > 140
+
+
 def test_top_k_small_tables(spark):
     rows = [(0, [1.0, 2.0], 1, "r", 1), (5, [0.5, -1.0], 1, "r", 1), (20, [1.0, 2.0], 1, "r", 1), (40, None, 1, "r", 1)]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect()))
@@ -197,7 +229,20 @@ def test_language_id_odd_tables(spark, with_repeats, none):
     rows = langid.predicted(with_repeats, net).collect()
     assert len(rows) == with_repeats.count()
     for r in rows:
-        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+        assert (r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.text or ""))
     assert langid.train(none) is None
     assert {r.lang_pred for r in langid.predicted(with_repeats, None).collect()} == {"und"}
     assert langid.predicted(none, net).count() == 0
+
+
+def test_long_labels_are_told_apart(spark):
+    a, b = "x" * 70 + "a", "x" * 70 + "b"
+    rows = [(1, [1.0, 0.0], a, "r", 1), (2, [1.0, 0.0], b, "r", 1), (3, [1.0, 0.0], a, "r", 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, source string, size int")
+    assert sorted(map(tuple, near_vectors(table).collect())) == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
+
+
+def test_number_signs_are_no_letters(spark):
+    table = spark.createDataFrame([(1, "½ ² Ⅷ 12"), (2, "½ é"), (3, "ª"), (4, "日")], "doc_id long, text string")
+    tagger = langid.ByteTagger(["a", "b"])
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.predicted(table, tagger).collect()} == {1: True, 2: False, 3: False, 4: False}
