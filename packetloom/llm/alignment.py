@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import fresh_folder
+from packetloom.llm.common import fresh_folder, lean
 
 #: A chunk is white space and what follows it. Neither tokenizer merges across its borders (checked for the piece model).
 CHUNK = r"[ \t\n]*[^ \t\n]+|[ \t\n]+"
@@ -258,7 +258,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 
     folder = fresh_folder(spark, "alignment")
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    rows.mapInArrow(blocks, "block long, b_ids long, codes array<long>, holders array<int>, rows binary, uses binary").write.parquet(folder)
+    rows.mapInArrow(lean(blocks), "block long, b_ids long, codes array<long>, holders array<int>, rows binary, uses binary").write.parquet(folder)
     stored = spark.read.parquet(folder)
 
     each = stored.select("block", "b_ids", F.posexplode(F.arrays_zip("codes", "holders")).alias("place", "pair"))
@@ -288,4 +288,4 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
                 yield from pa.table(out).to_batches()
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else [])]
-    return joined.mapInArrow(result, ", ".join(f"{n} {'string' if n.startswith('groups') else 'long'}" for n in names))
+    return joined.mapInArrow(lean(result), ", ".join(f"{n} {'string' if n.startswith('groups') else 'long'}" for n in names))

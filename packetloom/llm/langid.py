@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import lean
+
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -255,4 +257,4 @@ def predicted(docs: DataFrame, tagger: ByteTagger | None, text_col: str = "text"
                 begin = end
             yield batch.append_column(pred_col, pa.array(names)).append_column(score_col, pa.array(scores))
 
-    return kept.mapInArrow(run, f"{fields}, `{pred_col}` string, `{score_col}` double")
+    return kept.mapInArrow(lean(run), f"{fields}, `{pred_col}` string, `{score_col}` double")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import both_sides, numbered_within, whole_row
+from packetloom.llm.common import both_sides, lean, numbered_within, whole_row
 from packetloom.llm.components import components
 from packetloom.operators.durable import checkpointed
 
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, count: i
                 schema=kinds,
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n long, set1 long, set2 long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), "doc_id long, n long, set1 long, set2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             held = pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), held], names=["doc_id", "set1", "set2", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, set1 long, set2 long, hashes array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, set1 long, set2 long, hashes array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

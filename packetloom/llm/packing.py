@@ -11,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import numbered_within
+from packetloom.llm.common import lean, numbered_within
 from packetloom.llm.tokens import default_tokenizer, word_ids
 from packetloom.operators.durable import checkpointed
 
+#: Pieces leave a task whenever their ids would fill so many bytes.
+OUTPUT_BYTES = 1 << 20
+
 
 def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     """[(length, copies)] of the combination with the least slack in ``capacity``: subset sums as the bits of one integer.
@@ -73,21 +76,25 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = word_ids(path)
+        memory, out, size = word_ids(path), defaultdict(list), 0
         for batch in batches:
-            out = defaultdict(list)
-            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for doc, row, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 data = memory.encode(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     held = data[at : at + 4 * capacity]
-                    for name, value in zip(kinds.names, (doc, row, piece, at // 4, len(held) // 4, zlib.crc32(held))):
+                    for name, value in zip(kinds.names, (doc.as_py(), row.as_py(), piece, at // 4, len(held) // 4, zlib.crc32(held))):
                         out[name].append(value)
                     if with_ids:
                         out["ids"].append(np.frombuffer(held, "<i4"))
-            yield pa.RecordBatch.from_pydict({n: out[n] for n in kinds.names}, schema=kinds)
+                size += len(data) + 256
+                if size >= OUTPUT_BYTES:
+                    yield pa.RecordBatch.from_pydict(out, schema=kinds)
+                    out, size = defaultdict(list), 0
+        if size:
+            yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     columns = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)), F.col(text_col)).mapInArrow(cut, columns)
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)), F.col(text_col)).mapInArrow(lean(cut), columns)
 
 
 def pack(pieces: DataFrame, ties: list[str], capacity: int = 4096, seed: int = 11) -> DataFrame:
@@ -128,7 +135,7 @@ def pack(pieces: DataFrame, ties: list[str], capacity: int = 4096, seed: int = 1
 
     numbered = numbered_within(pieces, ["length"], ties, seed=seed)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name not in ("__n", "__total"))
-    return numbered.mapInArrow(place, f"{columns}, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(place), f"{columns}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, with_ids: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from packetloom.llm.common import lean
 from packetloom.llm.tokens import default_tokenizer, vocabulary_size, word_ids
 
 # File format, one file per shard, little-endian; a shard holds documents in ascending id order and shards follow each
@@ -111,7 +112,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
     ordered = rows.repartitionByRange(shards, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
-    ordered.mapInArrow(shard, "value binary").select(F.col("value").cast("string").alias("value")).write.text(folder)
+    ordered.mapInArrow(lean(shard), "value binary").select(F.col("value").cast("string").alias("value")).write.text(folder)
     return bits
 
 
@@ -147,7 +148,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     columns = "shard long, doc_id long, at long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    held = files.mapInArrow(documents, columns)
+    held = files.mapInArrow(lean(documents), columns)
     totals = files.mapInArrow(sizes, "path string, shard long, tokens long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     places = totals.select(F.col("shard").alias("__shard"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("__before"))

@@ -33,15 +33,15 @@ def _latin(text: str) -> bool:
 class WordIds(dict):
     """Little-endian 32-bit ids by word. Encoding a text is joining its words' ids, because the tokenizer (which the
     constructor checks) drops white space and never merges across it; a word not seen before is encoded by the
-    library. At ``limit`` words the memory starts anew, so a long-lived worker stays bounded."""
+    library. At about ``limit`` bytes the memory starts anew, so a long-lived worker stays bounded."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 40 << 20):
         import json
 
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
+        self.limit, self.size = limit, 0
         spec = json.loads(self.tokenizer.to_str())
         steps = (spec["normalizer"] or {}).get("normalizers", [])
         cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -54,8 +54,9 @@ class WordIds(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+        if self.size >= self.limit:
             self.clear()
+            self.size = 0
         if self.plain_letters and word.isalpha() and (word.isascii() or max(word) <= "\xff"):
             # Latin-1 letters only: one piece for the model, with no other normalisation than the case
             low = word.lower()
@@ -67,7 +68,9 @@ class WordIds(dict):
                 ids = self[core] + self[word[len(core) :]]
             else:
                 ids = self.whole(word)
-        self[word] = ids
+        if len(word) <= 256:  # a longer one hardly comes again
+            self[word] = ids
+            self.size += 160 + len(word) + len(ids)
         return ids
 
     def encode(self, text: str | None) -> bytes:
