@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["traffic", "payloads", "detectors", "rulesets", "flows", "feeds", "files"]
+MODULES = ["traffic", "payloads", "detectors", "rulesets", "flows", "feeds", "streams", "files"]
 
 
 def load():

@@ -218,20 +218,24 @@ def folder(spark):
     return fresh(spark, "stream")
 
 
-def landed(spark, rows, files=5, jitter=30):
-    """``rows`` as a stream over several files that land one after the other, with rows up to ``jitter`` seconds out of order."""
-    path, us = fresh(spark, "landed"), micros(rows, "ts")
-    late = us + F.pmod(F.xxhash64("packet_id"), F.lit(jitter * 1_000_000))
+def in_turns(rows, files=5, jitter=30):
+    """``rows`` in ``files`` parts that land one after the other, with rows up to ``jitter`` seconds out of order."""
+    late = micros(rows, "ts") + F.pmod(F.xxhash64("packet_id"), F.lit(jitter * 1_000_000))
     lo, hi = rows.agg(F.min(late), F.max(late)).first()
     turn = F.floor((late - lo) * files / (hi - lo + 1))
-    for k in range(files):
-        rows.where(turn == k).repartition(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return [rows.where(turn == k).repartition(1) for k in range(files)]
+
+
+def over(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def passed(rel, ts="ts"):
-    """The last watermark over ``rel``: a minute behind its last row, in whole milliseconds."""
-    return f"(SELECT make_timestamp((epoch_us(max(ts)) // 1000 - 60000) * 1000) FROM {rel} m)"
+def landed(spark, rows, files=5, jitter=30):
+    """``rows`` as a stream over the files of ``in_turns``, one in each micro-batch."""
+    path = fresh(spark, "landed")
+    for part in in_turns(rows, files, jitter):
+        part.write.mode("append").parquet(path)
+    return over(spark, path, rows.schema)
 
 
 def naive(df):
@@ -241,8 +245,7 @@ def naive(df):
 @query(
     "stream_second_rates",
     f"""SELECT make_timestamp(sec * 1000000) AS second, count(*) AS pps, CAST(sum(length) AS BIGINT) AS bps
-        FROM (SELECT *, epoch_us(ts) // 1000000 AS sec FROM {EV} p) q GROUP BY sec
-        HAVING sec * 1000000 + 1000000 <= (SELECT epoch_us(max(ts)) - 60000000 FROM {EV} m)""",
+        FROM (SELECT *, epoch_us(ts) // 1000000 AS sec FROM {EV} p) q GROUP BY sec""",
 )
 def _(spark, d):
     rates = st.run_to_end(st.second_rates(event_packets(spark, d)), folder(spark))
@@ -253,27 +256,29 @@ COUNT_OUT = T.StructType([T.StructField("at", T.LongType()), T.StructField("pack
 KEPT_OUT = T.StructType([T.StructField("at", T.LongType()), T.StructField("packet_id", T.LongType())])
 
 
-@query("stream_sliding_count", f"""SELECT q.* FROM ({window_join(EV, PAIR, 20, "a.src_ip, a.dst_ip, a.packet_id, count(b.packet_id) AS n")}) q
-    JOIN {EV} t ON t.packet_id = q.packet_id WHERE t.ts <= {passed(EV)}""")
+SLIDING = window_join(EV, PAIR, 20, "a.src_ip, a.dst_ip, a.packet_id, count(b.packet_id) AS n")
+
+
+@query("stream_sliding_count", SLIDING)
 def _(spark, d):
     stream = st.stream_scan(landed(spark, view(spark, d, "packets_ev")), PAIR, SlidingCount(20), COUNT_OUT)
     return st.run_to_end(stream, folder(spark)).drop("at")
 
 
-@query("stream_cooldown", f"SELECT src_ip, dst_ip, packet_id FROM {cooldown_sql(EV, PAIR, 30, True)} c WHERE ts <= {passed(EV)}")
+@query("stream_cooldown", f"SELECT src_ip, dst_ip, packet_id FROM {cooldown_sql(EV, PAIR, 30, True)} c")
 def _(spark, d):
     stream = st.stream_scan(event_packets(spark, d), PAIR, Cooldown(30, True), KEPT_OUT)
     return st.run_to_end(stream, folder(spark)).drop("at")
 
 
-@query("stream_syn_scan", f"SELECT src, packet_id, dst, kind, count FROM {SYN_SCANS} s WHERE ts <= {passed(PROBES)}")
+@query("stream_syn_scan", f"SELECT src, packet_id, dst, kind, count FROM {SYN_SCANS} s")
 def _(spark, d):
     probes = landed(spark, synscan.syn_probes(view(spark, d, "packets_ev")))
     stream = st.stream_scan(probes, ["src"], SynScan(60, 3, 6), synscan.SCAN_OUT)
     return st.run_to_end(stream, folder(spark)).select("src", "packet_id", "dst", "kind", "count")
 
 
-@query("stream_arp_flood", f"SELECT packet_id, 25 AS n FROM {FLOOD} f WHERE ts <= {passed(ARP)}")
+@query("stream_arp_flood", f"SELECT packet_id, 25 AS n FROM {FLOOD} f")
 def _(spark, d):
     """One count over all ARP packets, as the detector keeps it."""
     packets = landed(spark, view(spark, d, "arp_ev").select("packet_id", "ts")).withColumn("network", F.lit("local"))
@@ -281,7 +286,7 @@ def _(spark, d):
     return st.run_to_end(stream, folder(spark)).select("packet_id", "n")
 
 
-@query("stream_name_enumeration", f"SELECT client, service, packet_id, server, 10 AS found FROM {ENUM} e WHERE ts <= {passed(NAMED)}")
+@query("stream_name_enumeration", f"SELECT client, service, packet_id, server, 10 AS found FROM {ENUM} e")
 def _(spark, d):
     named = failures(spark, d).where(F.col("username").isNotNull() & (F.col("username") != "unknown"))
     rows = landed(spark, named.select("packet_id", "ts", "client", "service", "server", "username"))
@@ -291,13 +296,25 @@ def _(spark, d):
 
 @query(
     "stream_reassembly",
-    f"""SELECT src, dst, ip_id, packet_id, kind, CAST(value AS BIGINT) AS value FROM {FOLD} f
-        WHERE ts < {passed(FRAG)} OR (ts = {passed(FRAG)} AND kind <> 'timeout')""",
+    f"SELECT src, dst, ip_id, packet_id, kind, CAST(value AS BIGINT) AS value FROM {FOLD} f",
 )
 def _(spark, d):
     rows = landed(spark, fragments.ip_fragments(view(spark, d, "frag_ev")))
     stream = st.stream_scan(rows, ["src", "dst", "ip_id"], Reassembly(FRAG_LIMITS.timeout, FRAG_LIMITS.per_packet), fragments.FRAGMENT_OUT)
-    return st.run_to_end(stream, folder(spark)).select("src", "dst", "ip_id", "packet_id", "kind", "value")
+    packets = view(spark, d, "frag_ev")
+    last = packets.where("ip_proto is not null").agg(F.max(micros(packets, "ts"))).first()[0]
+    found = st.run_to_end(stream, folder(spark)).where((F.col("kind") != "timeout") | (F.col("us") < last))  # as far as the capture goes
+    return found.select("src", "dst", "ip_id", "packet_id", "kind", "value")
+
+
+@query(
+    "stream_hopping_totals",
+    f"""SELECT make_timestamp(slot * 1000000) AS ts, src_ip, count(*) AS n FROM (SELECT src_ip, epoch_us(ts) // 20000000 * 20 + 20 * k AS slot
+        FROM {EV} p, (VALUES (1), (2), (3)) v(k)) q GROUP BY slot, src_ip HAVING count(*) >= 4""",
+)
+def _(spark, d):
+    counts = st.run_to_end(st.hopping_counts(event_packets(spark, d), ["src_ip"], "60 seconds", "20 seconds", 4), folder(spark))
+    return counts.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_hopping_counts")

@@ -123,10 +123,11 @@ def _(spark, d):
     fitted, folder = model(spark, d), fresh(spark, "model")
     fitted.save(folder)
     flows = view(spark, d, "flows_ev")
-    before = cl.predict(fitted, flows, ["flow_key", "part"]).select("flow_key", "part", F.col("prediction").alias("was"))
-    after = cl.predict(cl.FlowModel.load(folder), flows, ["flow_key", "part"]).select("flow_key", "part", "prediction")
-    both = before.join(after, ["flow_key", "part"])
-    return both.groupBy((F.col("was") == F.col("prediction")).alias("same")).agg(F.count("*").alias("flows"))
+    # several flows may share a key and part, so the predictions of each are compared as a multiset
+    counts = lambda m, name: cl.predict(m, flows, ["flow_key", "part"]).groupBy("flow_key", "part", "prediction").agg(F.count("*").alias(name))
+    both = counts(fitted, "was").join(counts(cl.FlowModel.load(folder), "n"), ["flow_key", "part", "prediction"], "full")
+    same = F.coalesce(F.col("was") == F.col("n"), F.lit(False))
+    return both.groupBy(same.alias("same")).agg(F.sum(F.coalesce("was", "n")).alias("flows"))
 
 
 @query(

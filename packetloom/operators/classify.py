@@ -152,7 +152,7 @@ def class_distribution(preds: DataFrame) -> DataFrame:
     )
 
 
-def _totals() -> list[Column]:
+def totals() -> list[Column]:
     label, bucket = F.col("prediction"), threat_bucket(F.col("prediction"))
     proto = flow_protocol(F.col("protocol"))
     return [
@@ -165,7 +165,7 @@ def _totals() -> list[Column]:
     ]
 
 
-def _rated(sums: DataFrame, digits: int = 1) -> DataFrame:
+def rated(sums: DataFrame, digits: int = 1) -> DataFrame:
     total, benign = F.col("total_rows"), F.col("benign")
     return (
         sums.withColumn("attacks", total - benign)
@@ -180,12 +180,12 @@ def _rated(sums: DataFrame, digits: int = 1) -> DataFrame:
 
 def summary(preds: DataFrame) -> DataFrame:
     """One row: totals, threat and protocol counts, mean duration and bandwidth."""
-    return _rated(preds.agg(*_totals()))
+    return rated(preds.agg(*totals()))
 
 
 def progress(preds: DataFrame, chunk: str, total_rows: int | None = None, block: int = 10_000) -> DataFrame:
     """The summary after each chunk, over all chunks so far; blocks of chunks carry their sums forward."""
-    per_chunk = preds.groupBy(chunk).agg(*_totals()).withColumn("__b", F.floor(F.col(chunk) / block))
+    per_chunk = preds.groupBy(chunk).agg(*totals()).withColumn("__b", F.floor(F.col(chunk) / block))
     sums = [c for c in per_chunk.columns if c not in (chunk, "__b")]
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.groupBy("__b").agg(*[F.sum(c).alias(c) for c in sums])
@@ -196,7 +196,7 @@ def progress(preds: DataFrame, chunk: str, total_rows: int | None = None, block:
     )
     whole = F.lit(total_rows) if total_rows else F.col("total_rows")
     done = F.round(F.least(F.col("total_rows") / whole * 100, F.lit(100.0)), 1)
-    return _rated(running).withColumn("pct", done)
+    return rated(running).withColumn("pct", done)
 
 
 def sample(preds: DataFrame, order: str, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -52,7 +52,7 @@ def _addressed(packets: DataFrame) -> DataFrame:
     return packets.withColumn("src", source_address()).withColumn("dst", target_address())
 
 
-def _bare_syn() -> Column:
+def bare_syn() -> Column:
     flags = F.col("tcp_flags")
     return net.is_syn_only() & ~net.has_flag(flags, net.RST) & ~net.has_flag(flags, net.FIN)
 
@@ -96,7 +96,7 @@ def detect_dos(packets: DataFrame, only: list[str] | None = None, **limits: tupl
         open_rows = stateful.where(~F.coalesce(F.col("established_before"), F.lit(False)))
         found.append(("any", counted("any", open_rows, ["src", "dst"])))
     if "syn" in chosen:
-        found.append(("syn", counted("syn", plain.where(_bare_syn()), ["src", "dst"])))
+        found.append(("syn", counted("syn", plain.where(bare_syn()), ["src", "dst"])))
     if "syn_port_scan" in chosen:
         rows = plain.where(net.is_syn_only() & F.col("dst_port").isNotNull())
         found.append(("syn_port_scan", spread("syn_port_scan", rows, ["src", "dst"], "dst_port")))

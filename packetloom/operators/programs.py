@@ -226,6 +226,62 @@ class SlidingCount:
         return []
 
 
+class SlidingDistinct:
+    """Distinct values of ``column`` in ``[t - window, t]``, at every row; null values count as none."""
+
+    def __init__(self, window, column="value"):
+        self.window = self.memory = round(window * SECOND)
+        self.columns = ["us", "packet_id", column]
+
+    def initial(self):
+        return {"rows": [], "held": {}}
+
+    def step(self, state, row):
+        us, packet_id, value = row
+        rows, held = state["rows"], state["held"]
+        if value is not None and value == value:
+            name = str(value)
+            rows.append([us, name])
+            held[name] = held.get(name, 0) + 1
+        old = 0
+        while old < len(rows) and rows[old][0] < us - self.window:
+            name = rows[old][1]
+            held[name] -= 1
+            if not held[name]:
+                del held[name]
+            old += 1
+        del rows[:old]
+        return [(us, packet_id, len(held))]
+
+    def finish(self, state):
+        return []
+
+
+class Branched:
+    """Several programs in one: a key's rows name the one that follows them in their column ``branch``.
+
+    The programs read ``us``, ``packet_id`` and, as far as they want it, ``value``, and put out rows of the same columns.
+    """
+
+    columns = ["us", "packet_id", "value", "branch"]
+
+    def __init__(self, programs):
+        self.programs = programs
+        self.memory = max(p.memory for p in programs.values())
+
+    def initial(self):
+        return {}
+
+    def step(self, state, row):
+        program = self.programs[row[3]]
+        if "of" not in state:
+            state["of"] = program.initial()
+        return program.step(state["of"], row[: len(program.columns)])
+
+    def finish(self, state):
+        return []
+
+
 class Cooldown:
     """Rows far enough after the last kept one."""
 

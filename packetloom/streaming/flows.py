@@ -2,19 +2,22 @@
 
 Event time drives everything. Rows later than the watermark are dropped by Spark and counted in the
 query's progress. A stopped query resumes from its checkpoint; a new checkpoint starts from nothing.
-State machines see rows in event order, as in batch: rows wait until the watermark has passed them.
+State machines see rows in event order, as in batch: rows wait until the watermark has passed them. A stream over input that
+has ended is closed: a mark far beyond the last row moves the watermark over all that still waits.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from packetloom.operators.durable import fresh
 from packetloom.operators.scan import dump_state
 from packetloom.schema import PACKETS
 
@@ -28,9 +31,28 @@ def packet_stream(spark: SparkSession, path: str, *, files_per_trigger: int | No
     return reader.parquet(path)
 
 
+#: Folders of closing marks carry this name, by which ``close`` finds them among a query's sources.
+_MARKS = "closing-marks"
+#: A closing mark lies so far behind the last row that every window and time limit has ended before it.
+_BEYOND = timedelta(days=36525)
+
+
 def with_event_time(packets: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """Watermarks need TIMESTAMP; a zone-free time is read in the session zone."""
-    return packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    """``packets`` with a watermark. Watermarks need TIMESTAMP; a zone-free time is read in the session zone.
+
+    A stream also reads a folder of closing marks of its own, which stays empty until :func:`close` writes one. A mark counts for
+    the watermark and goes no further. Rows without a time go, as no watermark ever passes them.
+    """
+    timed = packets.withColumn("ts", F.col("ts").cast("timestamp"))
+    if not packets.isStreaming:
+        return timed.withWatermark("ts", delay)
+    spark = packets.sparkSession
+    folder, kind = fresh(spark, _MARKS), T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("__mark", T.TimestampType())])
+    spark.createDataFrame([], kind).write.parquet(folder)  # a source's folder has to exist
+    marks = spark.readStream.schema(kind).parquet(folder)
+    both = timed.withColumn("__mark", F.lit(None).cast("timestamp")).unionByName(marks, allowMissingColumns=True)
+    # one comparison with the event time, so that it can't move below the watermark
+    return both.withWatermark("ts", delay).where(~F.col("ts").eqNullSafe(F.col("__mark"))).drop("__mark")
 
 
 # ---------------------------------------------------------------- declarative
@@ -126,17 +148,58 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, *, once: bool = Fa
     return writer.trigger(processingTime=f"{seconds} seconds").start()
 
 
-def to_sinks(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *, seconds: int = 5) -> StreamingQuery:
-    """Hand every micro-batch to ``write``, for example to feed the alert table and the log at once."""
+def to_sinks(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False, seconds: int = 5) -> StreamingQuery:
+    """Hand every micro-batch to ``write``, for example to feed the alert table and the log at once (see ``streaming.sinks``)."""
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if once:
+        return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{seconds} seconds").start()
 
 
-def run_to_end(stream: DataFrame, folder: str, timeout: int | None = None) -> DataFrame:
-    """Process all input that is there now and return what was written. ``timeout`` (seconds) stops a stream that takes longer."""
-    schema = stream.schema
-    query = to_parquet(stream, f"{folder}/out", f"{folder}/checkpoint", once=True)
+def close(query: StreamingQuery) -> bool:
+    """Write a closing mark for a query that has run (or runs), far behind its last row; False if it has no marks or saw no rows."""
+    spark, last, folders = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active(), None, set()
+    for progress in query.recentProgress:
+        for source in progress["sources"]:
+            if _MARKS in source["description"]:
+                folders.add(source["description"].split("[", 1)[1].rstrip("]"))
+        for name in ("max", "watermark"):
+            at = (progress.get("eventTime") or {}).get(name)
+            if at:
+                at = datetime.fromisoformat(at.replace("Z", "+00:00"))
+                last = at if last is None else max(last, at)
+    if last is None or not folders:
+        return False
+    mark = spark.range(1).select(F.timestamp_micros(F.lit(round((last + _BEYOND).timestamp() * 1_000_000))).alias("ts"))
+    for folder in folders:
+        mark.withColumn("__mark", F.col("ts")).coalesce(1).write.mode("append").parquet(folder)
+    return True
+
+
+def _finished(query: StreamingQuery, timeout: float | None) -> StreamingQuery:
     if not (query.awaitTermination(timeout) if timeout else query.awaitTermination() or True):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout} s")
-    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/out")
+    return query
+
+
+def run_available(stream: DataFrame, folder: str, timeout: float | None = None) -> StreamingQuery:
+    """Process all input that is there now; rows that the watermark has not passed wait in the checkpoint below ``folder`` for the next run."""
+    return _finished(to_parquet(stream, f"{folder}/out", f"{folder}/checkpoint", once=True), timeout)
+
+
+def run_to_end(stream: DataFrame, folder: str, timeout: float | None = None) -> DataFrame:
+    """Process all input that is there now, the last of it, and return all that was written.
+
+    After the input the stream is closed and run once more from its checkpoint, so that what was waiting for the watermark comes
+    out as well: the rows of the batch form. An earlier run below ``folder`` is resumed. ``timeout`` (seconds) stops a run that takes longer.
+    """
+    if close(run_available(stream, folder, timeout)):
+        run_available(stream, folder, timeout)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_sinks(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, timeout: float | None = None) -> None:
+    """As ``run_to_end``, with every micro-batch handed to ``write``."""
+    if close(_finished(to_sinks(stream, write, checkpoint, once=True), timeout)):
+        _finished(to_sinks(stream, write, checkpoint, once=True), timeout)
