@@ -34,7 +34,7 @@ def two_detections(packets):
 
 @query("alert_feed", f"SELECT row_number() OVER (ORDER BY ts, packet_id, sid) AS id, ts, sid, threat, type, src, dst, info, packet_id FROM {BOTH} b")
 def _(spark, d):
-    feed = numbered_feed(two_detections(view(spark, d, "packets_ev")), slice_seconds=300)
+    feed = numbered_feed(two_detections(view(spark, d, "packets_ev")))
     return feed.select("id", "ts", "sid", "threat", "type", "src", "dst", "info", "packet_id")
 
 
@@ -65,6 +65,20 @@ def _(spark, d):
     return plugged().report(view(spark, d, "packets_ev"))
 
 
+@query("plugin_runtime_errors", f"SELECT 'RateDetector' AS detector, count(*) AS alerts, false AS failed FROM {BOTH} b UNION ALL SELECT 'FailingDetector', 0, true UNION ALL SELECT 'BrokenDetector', 0, true")
+def _(spark, d):
+    """One detector fails on a row while it runs, one can't be planned; the alerts of the third are complete."""
+    registry = plugged()
+    failing = F.when(F.col("packet_id") % 100 == 7, F.raise_error(F.lit("a row that can't be read")).cast("string")).otherwise(F.col("info"))
+    registry.register("FailingDetector", lambda packets: two_detections(packets).withColumn("info", failing))
+    names = ["FailingDetector", "RateDetector", "BrokenDetector"]
+    alerts, errors = registry.run_isolated(view(spark, d, "packets_ev"), names)
+    of = alerts.groupBy(F.when(F.col("sid").isNotNull(), "RateDetector").alias("detector")).agg(F.count("*").alias("alerts"))
+    known = spark.createDataFrame([(n,) for n in names], "detector string").join(of, "detector", "left")
+    failed = errors.select("detector", F.lit(True).alias("failed"))
+    return known.join(failed, "detector", "left").select("detector", F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
 @query("plugin_disabled", f"SELECT sid, packet_id, ts FROM {BOTH} b WHERE false")
 def _(spark, d):
     """All built-in detectors start disabled: an empty table with the alerts' types."""

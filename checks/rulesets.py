@@ -285,3 +285,19 @@ def _(spark, d):
         matching.header_contains(F.col("payload"), "h3").alias("in_header"),
         matching.uri_contains(F.col("payload"), "SCRIPT", nocase=True).alias("in_uri"),
     )
+
+
+PROTOCOLS = "CASE r_regionkey WHEN 0 THEN 6 WHEN 1 THEN 17 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 2 END"
+
+
+@query(
+    "rule_ip_protocol",
+    f"""SELECT packet_id, CAST(7000 + r_regionkey AS VARCHAR) AS sid FROM {duck("packets_ev")} p, (SELECT r_regionkey, {PROTOCOLS} AS wanted FROM region) r
+        WHERE ip_proto IS NOT NULL AND wanted IN (0, ip_proto)""",
+)
+def _(spark, d):
+    """Rules that ask for a protocol number of the IP header; 0 asks for none."""
+    text = F.concat(F.lit("alert ip any any -> any any ( ip_proto:"), F.expr(PROTOCOLS), F.lit('; msg:"number"; sid:'), 7000 + F.col("r_regionkey"), F.lit("; )"))
+    lines = spark.read.parquet(f"{d}/region.parquet").select((F.col("r_regionkey") + 1).cast("int").alias("line"), text.alias("text"))
+    rules = rl.usable(rl.parse_rules(lines))
+    return matching.all_matches(view(spark, d, "packets_ev"), rules).select("packet_id", "sid")

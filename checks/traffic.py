@@ -339,6 +339,27 @@ dos_query(
 
 
 
+def listed_sql():
+    """The list of each source's targets, packet by packet."""
+    window, threshold = SMALL["hscan"]
+    keep = f"lambda x: x.t >= n.us - {round(window * 1_000_000)}"
+    hits = f"""(WITH RECURSIVE n AS (SELECT *, epoch_us(ts) AS us, coalesce((tcp_flags & 18) = 2 OR (tcp_flags IS NULL AND ip_proto = 17), false) AS adds,
+          row_number() OVER (PARTITION BY src_ip ORDER BY ts, packet_id) AS rn FROM {EV} p),
+      st AS (
+        SELECT src_ip, dst_ip, ts, packet_id, rn, list_filter([{{'t': us, 'd': dst_ip}}], lambda x: adds) AS listed FROM n WHERE rn = 1
+        UNION ALL
+        SELECT n.src_ip, n.dst_ip, n.ts, n.packet_id, n.rn, list_filter(CASE WHEN n.adds AND NOT list_contains(list_transform(p.listed, lambda x: x.d), n.dst_ip)
+            THEN list_append(p.listed, {{'t': n.us, 'd': n.dst_ip}}) ELSE p.listed END, {keep})
+        FROM st p JOIN n ON n.src_ip = p.src_ip AND n.rn = p.rn + 1)
+      SELECT * FROM st WHERE len(listed) >= {threshold})"""
+    return alert_sql(hits, "DosDetector", "HIGH", str(dos.DOS_SIDS["hscan"]), f"'{dos.DOS_MESSAGES['hscan']}'", "src_ip", "dst_ip")
+
+
+@query("dos_hscan_ageing", listed_sql())
+def _(spark, d):
+    return dos.detect_dos(view(spark, d, "packets_ev"), ["hscan"], reference_ageing=True, **SMALL)
+
+
 def conn_sql(rel):
     """Handshakes replayed packet by packet, then the entries they and other packets set, over whole connections."""
     return f"""(WITH RECURSIVE p AS (

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from packetloom.functions import net
+from packetloom.functions.timecols import from_micros, is_ntz, micros
 from packetloom.operators.alerts import as_alerts, source_address, target_address, union_all
 from packetloom.operators.flowstate import with_flow_state
+from packetloom.operators.programs import FirstSeen
+from packetloom.operators.scan import keyed_scan
 from packetloom.operators.sliding import reaches_count, sliding_distinct
 
 # Fixed values: (window seconds, threshold), sid and message of each detection, names of flag sets.
@@ -70,11 +73,12 @@ def _flag_scan_name(established_after: Column) -> Column:
     return plain.when((flags == 0x10) & ~F.coalesce(established_after, F.lit(False)), "ACK")
 
 
-def detect_dos(packets: DataFrame, only: list[str] | None = None, **limits: tuple[float, int]) -> DataFrame:
+def detect_dos(packets: DataFrame, only: list[str] | None = None, *, reference_ageing: bool = False, **limits: tuple[float, int]) -> DataFrame:
     """Alerts of the selected detections (all nine by default).
 
     ``limits`` overrides ``(window seconds, threshold)`` by name. Established TCP is exempt from the
-    any-protocol flood and from the ACK scan.
+    any-protocol flood and from the ACK scan. The horizontal scan counts the distinct targets of its window; with ``reference_ageing``
+    it counts a list on which a target stays for a window after it was first added, however often it comes again (:class:`FirstSeen`).
     """
     chosen = only or list(DOS_LIMITS)
     limit = {**DOS_LIMITS, **limits}
@@ -112,7 +116,10 @@ def detect_dos(packets: DataFrame, only: list[str] | None = None, **limits: tupl
         found.append(("port_scan", spread("port_scan", rows, ["src", "dst"], "dst_port")))
     if "hscan" in chosen:
         probes = (net.is_syn_only() | (~tcp & udp)) & ~net.is_multicast_or_broadcast(F.col("dst"))
-        found.append(("hscan", spread("hscan", plain, ["src"], "dst", F.coalesce(probes, F.lit(False)))))
+        if reference_ageing:
+            found.append(("hscan", _listed_targets(plain, F.coalesce(probes, F.lit(False)), *limit["hscan"])))
+        else:
+            found.append(("hscan", spread("hscan", plain, ["src"], "dst", F.coalesce(probes, F.lit(False)))))
     alerts = [
         as_alerts(hits, "DosDetector", F.lit(DOS_SIDS[name]), F.lit(DOS_MESSAGES[name]), F.col("src"), F.col("dst"))
         for name, hits in found
@@ -131,6 +138,13 @@ def detect_dos(packets: DataFrame, only: list[str] | None = None, **limits: tupl
     return union_all(alerts)
 
 
+def _listed_targets(packets: DataFrame, adds: Column, window: float, threshold: int) -> DataFrame:
+    out = T.StructType([T.StructField("us", T.LongType()), T.StructField("packet_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("dst", T.StringType())])
+    rows = packets.select("packet_id", micros(packets, "ts").alias("us"), "src", "dst", adds.alias("adds"))
+    counts = keyed_scan(rows, ["src"], ["us", "packet_id"], FirstSeen(window), out)
+    return counts.where(F.col("n") >= threshold).withColumn("ts", from_micros("us", is_ntz(packets, "ts"))).drop("us")
+
+
 def _flow_columns(packets: DataFrame) -> list[str]:
     wanted = ["packet_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "ip_proto", "tcp_flags", "payload"]
     return [c for c in wanted if c in packets.columns]

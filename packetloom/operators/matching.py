@@ -178,6 +178,12 @@ def icmp_match(r: Access) -> Column:
     return (_col(r("protocol")) != "icmp") | out
 
 
+def ip_protocol_match(r: Access) -> Column:
+    """The protocol number of the IP header; a rule without one (or with 0) takes any."""
+    wanted = _col(r("ip_proto"))
+    return wanted.isNull() | (wanted == 0) | _true(F.col("ip_proto") == wanted)
+
+
 def flags_match(r: Access) -> Column:
     return (_col(r("protocol")) != "tcp") | _true(net.flags_satisfied(F.col("tcp_flags"), _col(r("flags_mask"))))
 
@@ -309,6 +315,7 @@ def staged_match(r: Access, *, pcre: str = "reference", fix_direction: bool = Fa
         transport_match(r)
         & address_match(r)
         & port_match(r)
+        & ip_protocol_match(r)
         & icmp_match(r)
         & flags_match(r)
         & flow_match(r, fix_direction)
@@ -404,7 +411,7 @@ def _simple_transports() -> Column:
 RULE_FIELDS = [
     "rule_pos", "kind", "label", "proto", "protocol", "src_ip", "dst_ip", "src_spec", "dst_spec", "src_nets", "dst_nets",
     "src_ports", "dst_ports", "service", "flow", "flow_options", "flags_mask", "content", "nocase", "depth", "offset",
-    "fast_pattern", "pcre", "itype", "icode", "icmp_id", "byte_test",
+    "fast_pattern", "pcre", "itype", "icode", "icmp_id", "ip_proto", "byte_test",
 ]
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.operators.durable import checkpointed
 
 
-def numbered(rows: DataFrame, order: list[str], number: str = "row", first: int = 1) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], number: str = "row", first: int = 1) -> DataFrame:
     """``rows`` with ``number`` = ``first``, ``first`` + 1, .. by ``order`` (which should tell rows apart; equal ones are numbered in any order).
 
     Rows are dealt out by ranges of ``order`` and sorted inside each partition, where their place is known without a window; the

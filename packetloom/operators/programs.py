@@ -257,6 +257,36 @@ class SlidingDistinct:
         return []
 
 
+class FirstSeen:
+    """Targets on a source's list. A packet that counts adds its target if it is not listed; only then those listed longer than the window go.
+
+    So a target that is seen all the time leaves the list once after each window, and one that should have gone but was still
+    listed is not added again by its own packet.
+    """
+
+    columns = ["us", "packet_id", "dst", "adds"]
+
+    def __init__(self, window):
+        self.window = self.memory = round(window * SECOND)
+
+    def initial(self):
+        return {"listed": []}
+
+    def step(self, state, row):
+        us, packet_id, dst, adds = row
+        listed = state["listed"]
+        if adds and all(name != dst for _, name in listed):
+            listed.append([us, dst])
+        old = 0
+        while old < len(listed) and listed[old][0] < us - self.window:
+            old += 1
+        del listed[:old]
+        return [(us, packet_id, len(listed), dst)]
+
+    def finish(self, state):
+        return []
+
+
 class Branched:
     """Several programs in one: a key's rows name the one that follows them in their column ``branch``.
 

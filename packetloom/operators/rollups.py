@@ -8,6 +8,7 @@ from packetloom.functions import net
 from packetloom.functions.labels import THREAT_LEVELS, threat_rank
 from packetloom.functions.text import hms
 from packetloom.functions.timecols import SECOND, cell_of, from_micros, is_ntz, micros
+from packetloom.operators import numbering
 
 # The counted protocol labels and the keywords of the display filter.
 PROTOCOL_BUCKETS = ["TCP", "UDP", "ICMP", "ARP", "HTTP", "DNS", "TLS", "SSH", "FTP", "SMTP", "OTHER"]
@@ -35,9 +36,9 @@ def sort_packets(packets: DataFrame, column: str, ascending: bool = True) -> Dat
 
 
 def numbered(report: DataFrame, column: str, ascending: bool = True, name: str = "rank") -> DataFrame:
-    """Row numbers for a report that is already cut to its top rows."""
+    """Row numbers by ``column``, then packet id, over any number of rows."""
     key = F.col(column).asc() if ascending else F.col(column).desc()
-    return report.withColumn(name, F.row_number().over(Window.orderBy(key, F.col("packet_id"))))
+    return numbering.numbered(report, [key, F.col("packet_id").asc()], name)
 
 
 def display_filter(typed: str) -> Column:

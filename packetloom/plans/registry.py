@@ -7,10 +7,11 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from packetloom.functions.timecols import cell_of, micros, to_us
+from packetloom.functions.timecols import micros
 from packetloom.operators import arp, bruteforce, dns, dos, fragments, patterns, synscan
 from packetloom.operators.alerts import DETECTORS, union_all
 from packetloom.operators.durable import checkpointed
+from packetloom.operators.numbering import numbered
 from packetloom.schema import ALERT_COLUMNS, ALERTS
 
 Detect = Callable[[DataFrame], DataFrame]
@@ -89,12 +90,30 @@ class Registry:
             return union_all(alerts), failed
         return spark.createDataFrame([], _alert_schema(packets)), failed
 
-    def run_shared(self, packets: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    def run_isolated(self, packets: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """As ``run``, with every detector carried out and stored on its own before the alerts are united.
+
+        A detector that fails on some row, or that cannot be planned, becomes an error row and leaves no alerts; those of the others
+        are complete.
+        """
+        spark = packets.sparkSession
+        alerts, errors = [], []
+        for id in only if only is not None else self.enabled():
+            try:
+                alerts.append(checkpointed(self._known[id].run(packets).select(*ALERT_COLUMNS)))
+            except Exception as error:
+                errors.append((id, type(error).__name__, str(error).split("\n")[0]))
+        failed = spark.createDataFrame(errors, "detector string, error string, message string")
+        return (union_all(alerts) if alerts else spark.createDataFrame([], _alert_schema(packets))), failed
+
+    def run_shared(self, packets: DataFrame, only: list[str] | None = None, isolate: bool = False) -> tuple[DataFrame, DataFrame]:
         """As ``run``, over candidate tables that are read from the packets once each and stored in the checkpoint folder.
 
         Headers (without payloads) serve the detectors of rates, scans, ARP, DNS and fragments, payloads on web ports the
         three payload detectors in one pass, and replies with a payload the brute-force detector. So nine detectors scan the
         packet table three times, and a detector reads only what it can use. Storing runs jobs; other plug-ins get the packets.
+        ``isolate`` stores each part's alerts as well, so that one that fails while it runs becomes an error row (the payload
+        detectors, which share a pass, become one).
         """
         chosen = only if only is not None else self.enabled()
         built_in = [id for id in chosen if id in self._known and self._known[id].run is _RUN.get(id)]
@@ -128,7 +147,8 @@ class Registry:
                 tasks.append((id, lambda id=id: self._known[id].run(stored("headers", headers))))
         for id, make in tasks:
             try:
-                alerts.append(make().select(*ALERT_COLUMNS))
+                found = make().select(*ALERT_COLUMNS)
+                alerts.append(checkpointed(found) if isolate else found)
             except Exception as error:
                 errors.append((id, type(error).__name__, str(error).split("\n")[0]))
         spark = packets.sparkSession
@@ -146,16 +166,7 @@ class Registry:
         return union_all(parts)
 
 
-def numbered_feed(alerts: DataFrame, *, slice_seconds: float = 3600.0) -> DataFrame:
-    """One feed with a running id by (time, packet, sid, detector): per-slice ranks plus earlier slices' sizes."""
-    from pyspark.sql import Window
-
-    width = to_us(slice_seconds)
-    placed = alerts.withColumn("__us", micros(alerts, "ts")).withColumn("__s", cell_of("__us", width))
-    before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    carry = placed.groupBy("__s").agg(F.count("*").alias("__n")).select(
-        "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry")
-    )
-    inside = Window.partitionBy("__s").orderBy("__us", "packet_id", "sid", "detector", "info")
-    out = placed.withColumn("__r", F.row_number().over(inside)).join(carry, "__s")
-    return out.withColumn("id", F.col("__r") + F.col("__carry")).drop("__us", "__s", "__r", "__carry")
+def numbered_feed(alerts: DataFrame) -> DataFrame:
+    """One feed with a running id by (time, packet, sid, detector), numbered in ranges that tasks share."""
+    placed = alerts.withColumn("__us", micros(alerts, "ts"))
+    return numbered(placed, ["__us", "packet_id", "sid", "detector", "info"], "id").drop("__us")

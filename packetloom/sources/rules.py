@@ -414,6 +414,7 @@ def _option_columns(rows: DataFrame) -> DataFrame:
             "itype": _last_int(options, "itype"),
             "icode": _last_int(options, "icode"),
             "icmp_id": _last_int(options, "icmp_id", "id"),
+            "ip_proto": _last_int(options, "ip_proto"),
             "byte_test": F.coalesce(_last(options, "byte_test"), F.lit("")),
             "detection_filter": _detection_filter(F.coalesce(_last(options, "detection_filter"), F.lit(""))),
         }
