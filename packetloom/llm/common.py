@@ -38,6 +38,15 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that no table refers to any more. It does so when the driver's garbage is
+    collected, which a driver with little to do may put off for half an hour, while many-round jobs leave files behind."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` for ``mapInArrow``, handing freed memory back when its task ends."""
 

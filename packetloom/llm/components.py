@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import both_sides
+from packetloom.llm.common import both_sides, let_go
 from packetloom.operators.durable import checkpointed
 
 
@@ -44,5 +44,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = (now["n"], now["s"])
         edges = checkpointed(_small(_large(edges)))
+        let_go(edges.sparkSession)
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

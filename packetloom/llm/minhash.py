@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import both_sides, lean, numbered_within, whole_row
+from packetloom.llm.common import both_sides, lean, let_go, numbered_within, whole_row
 from packetloom.llm.components import components
 from packetloom.operators.durable import checkpointed
 
@@ -182,6 +182,7 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = checkpointed(held)
     met = held.select("table", F.col("tile").alias("x")).join(held.select("table", F.col("tile").alias("y")), "table").where("x <= y")
     apart = ~F.coalesce(F.col("x.g") == F.col("y.g"), F.lit(False))  # tiles of one large component have nothing to tell
+    let_go(rows.sparkSession)
     met = checkpointed(met.where(apart).select("x", "y").distinct())
     sides = met.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
     full = placed.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "c", "tile", "hashes")
@@ -265,6 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = own.join(both_sides(met.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
     of_class = classes.select(F.col("rep").alias("doc_id"), "set1", "set2")
+    let_go(docs.sparkSession)
     sets = checkpointed(_sets(chosen, words).join(of_class, ["doc_id", "set1", "set2"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"]))
 
     near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
@@ -281,6 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # buckets within one component are done, now and in all later rounds
         mixed = rows.groupBy("table").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("table")
         rows = checkpointed(rows.join(both_sides(mixed), "table"))
+        let_go(docs.sparkSession)
         if rows.isEmpty():
             break
         tables = rows.select("table", "rep", "n")
