@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from packetloom.functions.timecols import from_micros, is_ntz, micros, to_us
 from packetloom.operators.alerts import as_alerts, union_all
 from packetloom.operators.chains import cooldown
 from packetloom.operators.programs import Reassembly
 from packetloom.operators.scan import keyed_scan
-from packetloom.operators.sliding import sliding_count
+from packetloom.operators.sliding import null_safe_join, sliding_count
 
 
 @dataclass(frozen=True)
@@ -56,34 +56,95 @@ def ip_fragments(packets: DataFrame) -> DataFrame:
     )
 
 
-def suspicious(timed: DataFrame, keys: list[str], limits: FragmentLimits, largest: int = 65535) -> DataFrame:
-    """Fragments of the datagrams that may have something to report.
+#: Datagrams of up to so many fragments are put together in place; longer ones go to the state machine.
+FOLDED = 128
+#: A list of keys is broadcast up to this length.
+BROADCAST_KEYS = 10_000
 
-    A datagram is in order if its fragments are not empty and don't meet or overlap one another, are no more and no larger than
-    allowed, arrive within the time limit, and only the one that arrives last is marked as the last. All others are kept.
-    """
-    whole, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("start")
-    clash = (F.col("size") <= 0) | (F.lag(F.col("start") + F.col("size")).over(along) > F.col("start"))
-    marked = timed.withColumn("__clash", F.coalesce(clash, F.lit(False))).withColumn("__when", F.struct("us", "packet_id"))
-    ends = F.max(F.when(~F.col("more"), F.col("__when"))).over(whole) == F.max("__when").over(whole)
-    ordered = (
-        ~F.max("__clash").over(whole)
-        & (F.count("*").over(whole) <= limits.per_packet)
-        & (F.sum("size").over(whole) <= largest)
-        & (F.max("us").over(whole) - F.min("us").over(whole) <= to_us(limits.timeout))
-        & (F.sum(F.when(~F.col("more"), 1).otherwise(0)).over(whole) == 1)
-        & F.coalesce(ends, F.lit(False))
-    )
-    return marked.withColumn("__ordered", ordered).where(~F.col("__ordered")).drop("__clash", "__when", "__ordered")
+_STATE = "struct<first:bigint,first_id:bigint,held:array<struct<a:bigint,b:bigint>>,starts:array<bigint>,n:bigint,total:bigint>"
+_EVENTS = "array<struct<us:bigint,packet_id:bigint,kind:string,value:bigint>>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _event(us: Column, packet_id: Column, kind: str, value: Column) -> Column:
+    return F.struct(us.alias("us"), packet_id.alias("packet_id"), F.lit(kind).alias("kind"), value.cast("bigint").alias("value"))
+
+
+def _folded(fragments: Column, limits: FragmentLimits, largest: int = 65535) -> Column:
+    """Events of one datagram id from its fragments (us, packet_id, start, size, more) in order: the steps of ``Reassembly``."""
+    none = F.lit(None).cast("bigint")
+    fresh = F.struct(none.alias("first"), none.alias("first_id"), F.array().alias("held"), F.array().alias("starts"), F.lit(0).alias("n"), F.lit(0).alias("total")).cast(_STATE)
+    wait, zero = F.lit(to_us(limits.timeout)), F.lit(0)
+
+    def expiry(s: Column) -> Column:
+        return F.array(_event(s["first"] + wait, s["first_id"], "timeout", zero))
+
+    def events(*cases: tuple[Column, Column]) -> Column:
+        return F.flatten(F.array(*[F.when(F.coalesce(test, F.lit(False)), found).otherwise(F.array().cast(_EVENTS)) for test, found in cases]))
+
+    def step(acc: Column, f: Column) -> Column:
+        end = f["start"] + f["size"]
+
+        def known(x: Column) -> Column:  # x: was the entry too old, and the state to go on from
+            s = x["s"]
+            clash = F.exists(s["held"], lambda h: (f["start"] < h["b"]) & (end > h["a"]))
+
+            def decided(y: Column) -> Column:
+                clash, again, n, total = y["clash"], y["again"], y["n"], y["total"]
+                out = events(
+                    (x["old"], expiry(acc["state"])),
+                    (clash, F.array(_event(f["us"], f["packet_id"], "overlap", zero))),
+                    (~clash & again, F.array(_event(f["us"], f["packet_id"], "duplicate", zero))),
+                    (~clash & (n > limits.per_packet), F.array(_event(f["us"], f["packet_id"], "excessive", n))),
+                    (~clash & (total > largest), F.array(_event(f["us"], f["packet_id"], "oversized", total))),
+                )
+                state = F.struct(
+                    F.coalesce(s["first"], f["us"]).alias("first"),
+                    F.when(s["first"].isNull(), f["packet_id"]).otherwise(s["first_id"]).alias("first_id"),
+                    F.concat(s["held"], F.array(F.struct(f["start"].alias("a"), end.alias("b")))).alias("held"),
+                    F.when(clash | again, s["starts"]).otherwise(F.concat(s["starts"], F.array(f["start"]))).alias("starts"),
+                    n.alias("n"),
+                    total.alias("total"),
+                ).cast(_STATE)
+                after = F.when(~clash & ~f["more"], fresh).otherwise(state)
+                return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+            facts = F.struct(clash.alias("clash"), F.array_contains(s["starts"], f["start"]).alias("again"), (s["n"] + 1).alias("n"), (s["total"] + f["size"]).alias("total"))
+            return _let(facts, decided)
+
+        old = F.coalesce(f["us"] - acc["state"]["first"] > wait, F.lit(False))
+        return _let(F.struct(old.alias("old"), F.when(old, fresh).otherwise(acc["state"]).alias("s")), known)
+
+    begin = F.struct(fresh.alias("state"), F.array().cast(_EVENTS).alias("out"))
+    last = lambda acc: F.concat(acc["out"], events((acc["state"]["first"].isNotNull(), expiry(acc["state"]))))
+    return F.aggregate(fragments, begin, step, last)
 
 
 def reassembly_events(packets: DataFrame, limits: FragmentLimits, **options) -> DataFrame:
     """Overlaps, repeats, counts, sizes and incomplete datagrams. A datagram that is still open counts
-    as incomplete only when the capture goes on past its time limit. Datagrams in order never reach the state machine."""
+    as incomplete only when the capture goes on past its time limit.
+
+    Ids with up to ``FOLDED`` fragments between one pair of hosts are folded in place. The ids with more are found by a count (a job of
+    its own, which tells how many there are) and go to the state machine, whose keys are cut into segments.
+    """
     fragments = ip_fragments(packets)
     timed = fragments.withColumn("us", micros(fragments, "ts"))
     program, keys = Reassembly(limits.timeout, limits.per_packet), ["src", "dst", "ip_id"]
-    events = keyed_scan(suspicious(timed, keys, limits), keys, ["us", "packet_id"], program, FRAGMENT_OUT, **options)
+    long_keys = timed.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > FOLDED).drop("__n")
+    many = long_keys.limit(BROADCAST_KEYS + 1).count()
+    short = timed
+    if many:
+        listed = F.broadcast(long_keys) if many <= BROADCAST_KEYS else long_keys
+        short = null_safe_join(timed, listed, keys, "left_anti")
+    of = F.struct("us", "packet_id", "start", "size", "more")
+    gathered = short.groupBy(*keys).agg(F.sort_array(F.collect_list(of)).alias("__f"))
+    events = gathered.select(*keys, F.explode(_folded(F.col("__f"), limits)).alias("__e")).select(*keys, "__e.*")
+    if many:
+        events = events.unionByName(keyed_scan(null_safe_join(timed, listed, keys, "left_semi"), keys, ["us", "packet_id"], program, FRAGMENT_OUT, **options))
     end = packets.where("ip_proto is not null").agg(F.max(micros(packets, "ts")).alias("end_us"))
     events = events.crossJoin(F.broadcast(end)).where((F.col("kind") != "timeout") | (F.col("us") < F.col("end_us")))
     return events.drop("end_us").withColumn("ts", from_micros("us", is_ntz(packets, "ts"))).drop("us")
