@@ -12,12 +12,12 @@ that can change it, which hands its state on from one stretch of time to the nex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from packetloom.functions.net import ACK, FIN, PSH, RST, SYN, has_flag
 from packetloom.functions.timecols import to_us
 from packetloom.operators.programs import Handshake
-from packetloom.operators.scan import keyed_scan
+from packetloom.operators.scan import fold_or_scan, let
 from packetloom.operators.sliding import _clean, slice_with_lookback
 
 # Fixed values, in seconds: lifetimes of a pending handshake, of a completed one, of an entry.
@@ -30,6 +30,32 @@ _STEPS = ["__a", "__b", "__fwd", "__syn", "__synack", "__ack", "__hs", "__done",
 _DONE = T.StructType([T.StructField("done_us", T.LongType()), T.StructField("done_id", T.LongType())])
 
 
+def _completed(steps: Column) -> Column:
+    """Where a handshake completes among its steps (us, packet_id, kind) in order: what ``Handshake`` does."""
+    pending, completed = F.lit(to_us(HANDSHAKE_TTL)), F.lit(to_us(COMPLETED_TTL))
+    kind = "struct<last:bigint,answered:boolean,done:boolean>"
+    fresh = F.struct(F.lit(None).alias("last"), F.lit(False).alias("answered"), F.lit(False).alias("done")).cast(kind)
+    found = "array<struct<done_us:bigint,done_id:bigint>>"
+
+    def step(acc: Column, row: Column) -> Column:
+        def known(s: Column) -> Column:
+            syn, synack = row["kind"] == "S", (row["kind"] == "A") & s["last"].isNotNull()
+            ends = (row["kind"] == "K") & s["last"].isNotNull() & s["answered"] & ~s["done"]
+            state = F.struct(
+                F.when(syn | synack | ends, row["us"]).otherwise(s["last"]).alias("last"),
+                (s["answered"] | synack).alias("answered"),
+                (s["done"] | ends).alias("done"),
+            ).cast(kind)
+            at = F.array(F.struct(row["us"].alias("done_us"), row["packet_id"].alias("done_id")))
+            return F.struct(state.alias("state"), F.when(ends, F.concat(acc["out"], at)).otherwise(acc["out"]).alias("out"))
+
+        s = acc["state"]
+        old = F.coalesce(row["us"] - s["last"] > F.when(s["done"], completed).otherwise(pending), F.lit(False))
+        return let(F.when(old, fresh).otherwise(s), known)
+
+    return F.aggregate(steps, F.struct(fresh.alias("state"), F.array().cast(found).alias("out")), step, lambda acc: acc["out"])
+
+
 def _handshake_steps(rows: DataFrame, tie: str) -> DataFrame:
     """The packets that can change a handshake: SYN, SYN/ACK, and ACKs that may be the first after a SYN/ACK.
 
@@ -76,7 +102,7 @@ def with_flow_state(
     conn = ["__a", "__b", "__slice"]
     us = F.col("__us")
     program = Handshake(HANDSHAKE_TTL, COMPLETED_TTL)
-    done = keyed_scan(_handshake_steps(df, tie), ["__a", "__b", "__hs"], ["us", "packet_id"], program, _DONE)
+    done = fold_or_scan(_handshake_steps(df, tie), ["__a", "__b", "__hs"], ["us", "packet_id"], program, _DONE, _completed)
     # A marker right before the packet that completes a handshake, in every slice that sees the packet.
     marks = slice_with_lookback(done.withColumn("__at", F.timestamp_micros("done_us")), ttl, "__at", slice_seconds)
     marks = marks.select("__a", "__b", "__slice", "__us", F.col("done_id").alias(tie), F.lit(True).alias("__done"))

@@ -10,8 +10,8 @@ from packetloom.functions.timecols import from_micros, is_ntz, micros, to_us
 from packetloom.operators.alerts import as_alerts, union_all
 from packetloom.operators.chains import cooldown
 from packetloom.operators.programs import Reassembly
-from packetloom.operators.scan import keyed_scan
-from packetloom.operators.sliding import null_safe_join, sliding_count
+from packetloom.operators.scan import fold_or_scan, let
+from packetloom.operators.sliding import sliding_count
 
 
 @dataclass(frozen=True)
@@ -56,20 +56,10 @@ def ip_fragments(packets: DataFrame) -> DataFrame:
     )
 
 
-#: Datagrams of up to so many fragments are put together in place; longer ones go to the state machine.
-FOLDED = 128
-#: A list of keys is broadcast up to this length.
-BROADCAST_KEYS = 10_000
-
 _STATE = "struct<first:bigint,first_id:bigint,held:array<struct<a:bigint,b:bigint>>,starts:array<bigint>,n:bigint,total:bigint>"
 _EVENTS = "array<struct<us:bigint,packet_id:bigint,kind:string,value:bigint>>"
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)``, with ``value`` computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _event(us: Column, packet_id: Column, kind: str, value: Column) -> Column:
     return F.struct(us.alias("us"), packet_id.alias("packet_id"), F.lit(kind).alias("kind"), value.cast("bigint").alias("value"))
 
@@ -114,10 +104,10 @@ def _folded(fragments: Column, limits: FragmentLimits, largest: int = 65535) ->
                 return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
 
             facts = F.struct(clash.alias("clash"), F.array_contains(s["starts"], f["start"]).alias("again"), (s["n"] + 1).alias("n"), (s["total"] + f["size"]).alias("total"))
-            return _let(facts, decided)
+            return let(facts, decided)
 
         old = F.coalesce(f["us"] - acc["state"]["first"] > wait, F.lit(False))
-        return _let(F.struct(old.alias("old"), F.when(old, fresh).otherwise(acc["state"]).alias("s")), known)
+        return let(F.struct(old.alias("old"), F.when(old, fresh).otherwise(acc["state"]).alias("s")), known)
 
     begin = F.struct(fresh.alias("state"), F.array().cast(_EVENTS).alias("out"))
     last = lambda acc: F.concat(acc["out"], events((acc["state"]["first"].isNotNull(), expiry(acc["state"]))))
@@ -128,23 +118,13 @@ def reassembly_events(packets: DataFrame, limits: FragmentLimits, **options) ->
     """Overlaps, repeats, counts, sizes and incomplete datagrams. A datagram that is still open counts
     as incomplete only when the capture goes on past its time limit.
 
-    Ids with up to ``FOLDED`` fragments between one pair of hosts are folded in place. The ids with more are found by a count (a job of
-    its own, which tells how many there are) and go to the state machine, whose keys are cut into segments.
+    Ids with few fragments between one pair of hosts are folded in place; the others go to the state machine, whose keys are cut into
+    segments.
     """
     fragments = ip_fragments(packets)
     timed = fragments.withColumn("us", micros(fragments, "ts"))
     program, keys = Reassembly(limits.timeout, limits.per_packet), ["src", "dst", "ip_id"]
-    long_keys = timed.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > FOLDED).drop("__n")
-    many = long_keys.limit(BROADCAST_KEYS + 1).count()
-    short = timed
-    if many:
-        listed = F.broadcast(long_keys) if many <= BROADCAST_KEYS else long_keys
-        short = null_safe_join(timed, listed, keys, "left_anti")
-    of = F.struct("us", "packet_id", "start", "size", "more")
-    gathered = short.groupBy(*keys).agg(F.sort_array(F.collect_list(of)).alias("__f"))
-    events = gathered.select(*keys, F.explode(_folded(F.col("__f"), limits)).alias("__e")).select(*keys, "__e.*")
-    if many:
-        events = events.unionByName(keyed_scan(null_safe_join(timed, listed, keys, "left_semi"), keys, ["us", "packet_id"], program, FRAGMENT_OUT, **options))
+    events = fold_or_scan(timed, keys, ["us", "packet_id"], program, FRAGMENT_OUT, lambda rows: _folded(rows, limits), **options)
     end = packets.where("ip_proto is not null").agg(F.max(micros(packets, "ts")).alias("end_us"))
     events = events.crossJoin(F.broadcast(end)).where((F.col("kind") != "timeout") | (F.col("us") < F.col("end_us")))
     return events.drop("end_us").withColumn("ts", from_micros("us", is_ntz(packets, "ts"))).drop("us")

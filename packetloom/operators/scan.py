@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from packetloom.functions.timecols import cell_of, to_us
 from packetloom.operators.durable import checkpointed
@@ -59,6 +59,36 @@ def keyed_scan(
     return short.unionByName(_relay_segments(hot, keys, order, program, out_schema, segment_rows, slice_seconds))
 
 
+#: Keys of up to so many rows are folded in place, and lists of longer keys are broadcast up to this length.
+FOLDED = 128
+BROADCAST_KEYS = 10_000
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def fold_or_scan(df: DataFrame, keys: list[str], order: list[str], program, out_schema: T.StructType, fold, **options) -> DataFrame:
+    """As ``keyed_scan``, where ``fold`` says the same as ``program`` in one column expression over a key's rows in order.
+
+    ``fold`` takes an array of (``order``, other columns of the program) and returns an array of rows of ``out_schema``. Keys of up to
+    ``FOLDED`` rows are gathered and folded without Python; a count finds the longer ones, which go to the state machine.
+    """
+    read = list(dict.fromkeys([*order, *program.columns]))
+    rows = df.select(*keys, *read).persist(StorageLevel.MEMORY_AND_DISK)
+    long_keys = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > FOLDED).drop("__n")
+    many = long_keys.limit(BROADCAST_KEYS + 1).count()
+    listed = F.broadcast(long_keys) if many <= BROADCAST_KEYS else long_keys
+    short = null_safe_join(rows, listed, keys, "left_anti") if many else rows
+    gathered = short.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*read))).alias("__rows"))
+    out = gathered.select(*keys, F.explode(fold(F.col("__rows"))).alias("__out")).select(*keys, "__out.*")
+    out = out.select(*keys, *[F.col(f.name).cast(f.dataType) for f in out_schema])
+    if not many:
+        return out
+    return out.unionByName(keyed_scan(null_safe_join(rows, listed, keys, "left_semi"), keys, order, program, out_schema, **options))
+
+
 def _stream_keys(rows: DataFrame, keys, order, program, result_schema) -> DataFrame:
     names = result_schema.fieldNames()
     n_keys, read = len(keys), [rows.columns.index(c) for c in program.columns]
