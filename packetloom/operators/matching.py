@@ -5,7 +5,7 @@ One set of conditions serves three access paths, which give the same result:
 * *compiled*: every rule becomes a column expression with its values folded in. No join, no shuffle.
   For rule sets up to a few hundred rules.
 * *indexed*: rules are rows under their transport and, where they name a single destination port, that
-  port. Packets meet them in map-side hash joins that test the rule, and the least position per packet
+  port, and, where they name one network (or address) of the source or the target, that network. Packets meet them in map-side hash joins that test the rule, and the least position per packet
   is kept. The rules are sent in chunks of bounded size, so the broadcast never grows with the rule file.
 * *all matches*: the same join, every row of it.
 """
@@ -26,6 +26,10 @@ from packetloom.schema import ALERT_COLUMNS
 COMPILE_LIMIT = 200
 CHUNK_RULES = 20_000
 ANY_PORT = -1
+ANY_NET = -1
+#: Networks up to this many host bits are worth a key; a packet probes at most so many forms of network.
+KEYED_BITS = 24
+FORMS = 12
 
 # Destination ports the http service test accepts.
 HTTP_SERVICE_PORTS = [80, 8080, 443, 8443]
@@ -371,8 +375,25 @@ def _once(packets: DataFrame, hit: Column) -> DataFrame:
     return packets.select("*", F.explode(F.array(hit)).alias("__hit"))
 
 
+def _net_code(form: Column, address: Column) -> Column:
+    """A network as a number: its form (side and host bits) and its address without the host bits."""
+    return F.shiftleft(form.cast("long"), 32) + F.call_function("shiftright", address, form % 64)
+
+
+def _net_key(side: int, name: str) -> Column:
+    """(bits, form, code) of the one network a rule asks for on a side; NULL if it asks for more, for all but one, or for any."""
+    nets, raw = F.col(f"{name}_nets"), ipv4_to_long(F.col(f"{name}_ip"))
+    one = F.get(nets["terms"], F.lit(0))
+    size = one["hi"] - one["lo"] + 1
+    bits = F.length(F.bin(size)) - 1
+    whole = ~nets["neg"] & (F.size(nets["terms"]) == 1) & ~one["neg"] & (F.bit_count(size) == 1) & (one["lo"] % size == 0) & (bits <= KEYED_BITS)
+    form = lambda b: (F.lit(64 * side) + b).cast("int")
+    key = lambda b, lo: F.struct(b.cast("int").alias("bits"), form(b).alias("form"), _net_code(form(b), lo).alias("code"))
+    return F.when((F.col("kind") == "snort") & whole, key(bits, one["lo"])).when((F.col("kind") == "simple") & raw.isNotNull(), key(F.lit(0), raw))
+
+
 def _keyed(rules: DataFrame) -> DataFrame:
-    """One row per (transport, destination port or any port) a rule can apply to."""
+    """One row per (transport, destination port or any port, network or any network) a rule can apply to."""
     transports = (
         F.when(F.col("kind") == "simple", _simple_transports())
         .when(F.col("protocol").isin("tcp", "udp", "icmp"), F.array("protocol"))
@@ -393,7 +414,8 @@ def _keyed(rules: DataFrame) -> DataFrame:
         .when((F.col("kind") == "simple") & plain, spec["text"].try_cast("int"))
         .otherwise(F.lit(ANY_PORT))
     )
-    return rules.withColumn("__key_port", port).withColumn("__key_transport", F.explode(transports))
+    narrowest = F.array_min(F.array_compact(F.array(_net_key(0, "src"), _net_key(1, "dst"))))
+    return rules.withColumn("__key_port", port).withColumn("__key_net", narrowest).withColumn("__key_transport", F.explode(transports))
 
 
 def _simple_transports() -> Column:
@@ -418,19 +440,25 @@ RULE_FIELDS = [
 def _candidates(packets: DataFrame, keyed: DataFrame, rule_columns: list[str], total: int, chunk_rules: int, condition) -> DataFrame:
     """One row per (packet, rule that meets ``condition``), the rule as ``__rule``.
 
-    Packets probe the rules of their transport under their destination port and under no single port. Rules are
+    Packets probe the rules of their transport under their destination port and under no single port, for their two
+    addresses in the commonest forms of network that the rules name (of which there are few) and under no network. Rules are
     broadcast in chunks of at most ``chunk_rules``, each with a pass over the packets.
     """
     chunks = max(1, -(-total // chunk_rules))
-    probes = F.array_distinct(F.array(F.coalesce("dst_port", F.lit(ANY_PORT)), F.lit(ANY_PORT)))
-    left = prepared(packets).withColumn("__probe", F.explode(probes))
-    table = keyed.select("__key_transport", "__key_port", F.struct(*rule_columns).alias("__rule"))
-    on = (F.col("__transport") == F.col("__key_transport")) & (F.col("__probe") == F.col("__key_port"))
+    named = keyed.where(F.col("__key_net").isNotNull()).groupBy(F.col("__key_net.form").alias("form")).agg(F.count("*").alias("n"))
+    forms = [r["form"] for r in named.orderBy(F.desc("n"), "form").limit(FORMS).collect()]
+    nets = [F.lit(ANY_NET).cast("long"), *[_net_code(F.lit(f), F.col("__dst" if f >= 64 else "__src")) for f in forms]]
+    ports = [F.coalesce("dst_port", F.lit(ANY_PORT)), F.lit(ANY_PORT)]
+    probes = F.array_distinct(F.array(*[F.struct(p.alias("port"), n.alias("net")) for p in ports for n in nets]))
+    left = prepared(packets).withColumn("__probe", F.explode(F.filter(probes, lambda p: p["net"].isNotNull())))
+    net = F.when(F.col("__key_net.form").isin(forms), F.col("__key_net.code")).otherwise(ANY_NET) if forms else F.lit(ANY_NET).cast("long")
+    table = keyed.select("__key_transport", "__key_port", net.alias("__key_net"), F.struct(*rule_columns).alias("__rule"))
+    on = (F.col("__transport") == F.col("__key_transport")) & (F.col("__probe.port") == F.col("__key_port")) & (F.col("__probe.net") == F.col("__key_net"))
     on = on & condition(lambda name: F.col("__rule")[name])
     found = None
     for i in range(chunks):
         part = table if chunks == 1 else table.where(F.pmod(F.col("__rule.rule_pos"), F.lit(chunks)) == i)
-        joined = left.join(F.broadcast(part), on).drop("__probe", "__key_transport", "__key_port")
+        joined = left.join(F.broadcast(part), on).drop("__probe", "__key_transport", "__key_port", "__key_net")
         found = joined if found is None else found.unionByName(joined)
     return found
 
@@ -457,7 +485,7 @@ def first_match(
     packets: DataFrame, rules: DataFrame, *, compile_limit: int = COMPILE_LIMIT, rule_count: int | None = None, chunk_rules: int = CHUNK_RULES, **options
 ) -> DataFrame:
     """First matching rule per packet; the access path follows the size of the rule set, the result does not."""
-    good = rules.where(F.col("error").isNull())
+    good = rules.where(F.col("error").isNull()).persist()  # read several times, and costly to parse
     few = good.limit(compile_limit + 1).collect()
     if len(few) <= compile_limit:
         return first_match_compiled(packets, few, **options)
@@ -475,11 +503,12 @@ def all_matches(
     Packets meet the rules of their transport that name their destination port or no single port.
     The rules are broadcast in chunks of at most ``chunk_rules``.
     """
-    good = rules.where(F.col("error").isNull())
+    good = rules.where(F.col("error").isNull()).persist()
     total = good.count()
     staged = condition is staged_match
     keyed = _keyed(good.withColumn("kind", F.lit("snort")) if staged else good)
-    keyed = keyed if staged else keyed.withColumn("__key_port", F.lit(ANY_PORT)).withColumn(
+    none = F.lit(None).cast("struct<bits:int,form:int,code:bigint>")
+    keyed = keyed if staged else keyed.withColumn("__key_port", F.lit(ANY_PORT)).withColumn("__key_net", none).withColumn(
         "__key_transport", F.explode(F.array(*[F.lit(t) for t in ("tcp", "udp", "icmp", "other")]))
     ).distinct()
     columns = list(dict.fromkeys([*RULE_FIELDS, "sid", "msg", "payload", "detection_filter"]))
