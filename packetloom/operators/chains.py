@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from packetloom.functions.timecols import cell_of, micros, to_us
 from packetloom.operators.sliding import null_safe_join
 
-FOLD_LIMIT = 2_000
+FOLD_LIMIT = 20_000
 CELLS_PER_BLOCK = 64
 FAR = -(2**62)
 
@@ -72,19 +72,9 @@ def greedy_chain(
 
 
 def _fold_short(rows: DataFrame, keys: list[str], gap: int, gap2: int, tie: str) -> DataFrame:
-    body = [c for c in rows.columns if c not in keys]
-    rest = [c for c in body if c not in ("__pos", "__pos2", tie)]
-    item = F.struct("__pos", "__pos2", tie, F.struct(*rest).alias("__rest")) if rest else F.struct("__pos", "__pos2", tie)
-    grouped = rows.groupBy(*keys).agg(F.collect_list(item).alias("__rows"))
-    # array_sort by position and tie only: the carried columns need not be orderable.
-    ordered = F.array_sort(
-        "__rows",
-        lambda a, b: F.when(a["__pos"] < b["__pos"], -1)
-        .when(a["__pos"] > b["__pos"], 1)
-        .when(a[tie] < b[tie], -1)
-        .when(a[tie] > b[tie], 1)
-        .otherwise(0),
-    )
+    """The chain is folded over positions alone; the rows it keeps, which are few, then fetch their other columns."""
+    at = ["__pos", "__pos2", tie]
+    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*at))).alias("__rows"))
     empty = F.struct(
         F.lit(None).cast("long").alias("pos"),
         F.lit(None).cast("long").alias("pos2"),
@@ -93,20 +83,12 @@ def _fold_short(rows: DataFrame, keys: list[str], gap: int, gap2: int, tie: str)
 
     def step(state, row):
         keep = state["pos"].isNull() | ((row["__pos"] - state["pos"] >= gap) & (row["__pos2"] - state["pos2"] >= gap2))
-        return F.struct(
-            F.when(keep, row["__pos"]).otherwise(state["pos"]).alias("pos"),
-            F.when(keep, row["__pos2"]).otherwise(state["pos2"]).alias("pos2"),
-            F.when(keep, F.concat(state["kept"], F.array(row))).otherwise(state["kept"]).alias("kept"),
-        )
-
-    folded = (
-        grouped.withColumn("__rows", ordered)
-        .withColumn("__kept", F.aggregate("__rows", empty, step)["kept"])
-        .select(*keys, F.explode("__kept").alias("__k"))
-    )
-    fields = [F.col(f"__k.{c}").alias(c) for c in ("__pos", "__pos2", tie)]
-    fields += [F.col(f"__k.__rest.{c}").alias(c) for c in rest]
-    return folded.select(*keys, *fields).select(*rows.columns)
+        return F.when(keep, F.struct(row["__pos"].alias("pos"), row["__pos2"].alias("pos2"), F.concat(state["kept"], F.array(row)).alias("kept"))).otherwise(state)
+
+    kept = grouped.select(*keys, F.explode(F.aggregate("__rows", empty, step)["kept"]).alias("__k")).select(*keys, "__k.*")
+    if gap <= 0 and gap2 <= 0:  # everything is kept, rows at the same place as well
+        return rows
+    return null_safe_join(rows, kept, [*keys, *at], "left_semi").dropDuplicates([*keys, *at])
 
 
 def _successors(pos: np.ndarray, pos2: np.ndarray, gap: int, gap2: int) -> np.ndarray:

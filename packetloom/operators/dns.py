@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from packetloom.functions import net
@@ -52,8 +53,8 @@ def dns_messages(packets: DataFrame) -> DataFrame:
 
 
 def dns_hits(packets: DataFrame, limits: DnsLimits) -> DataFrame:
-    """Every detection at every packet, before suppression."""
-    messages = dns_messages(packets)
+    """Every detection at every packet, before suppression. DNS messages are read once and kept for all of them."""
+    messages = dns_messages(packets).persist(StorageLevel.MEMORY_AND_DISK)
     asks = (F.col("dns_qr") == 0) & F.col("qname").isNotNull()
     queries = messages.where(asks).drop("dns_qr", "dns_txt_sizes")
     name, size = F.col("qname"), F.length("qname")

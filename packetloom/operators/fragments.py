@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from packetloom.functions.timecols import from_micros, is_ntz, micros, to_us
@@ -131,8 +132,8 @@ def reassembly_events(packets: DataFrame, limits: FragmentLimits, **options) ->
 
 
 def fragment_hits(packets: DataFrame, limits: FragmentLimits, **options) -> DataFrame:
-    """All detections before suppression."""
-    fragments = ip_fragments(packets)
+    """All detections before suppression. Fragments, a small part of the packets, are read once and kept for all of them."""
+    fragments = ip_fragments(packets).persist(StorageLevel.MEMORY_AND_DISK)
 
     def entry(sid: int, test, info):
         return F.when(test, F.struct(F.lit(sid).alias("sid"), info.alias("info")))
