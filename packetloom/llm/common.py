@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.operators.durable import ensure_checkpoint_dir
+from packetloom.operators.durable import fresh as fresh_folder  # noqa: F401
 
 #: ASCII white space, as the contracts of the word and line operators define it: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,12 +19,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def give_back() -> None:
     """Hand freed memory back to the system: worker processes live on from task to task, and allocators keep what they had."""
     import ctypes
