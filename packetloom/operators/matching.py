@@ -8,13 +8,16 @@ One set of conditions serves three access paths, which give the same result:
   port, and, where they name one network (or address) of the source or the target, that network. Packets meet them in map-side hash joins that test the rule, and the least position per packet
   is kept. The rules are sent in chunks of bounded size, so the broadcast never grows with the rule file.
 * *all matches*: the same join, every row of it.
+
+Rules that ask for the same are one class: a packet is tested against a class once, and the class stands for its first rule
+or, where all matches count, for its list of rules. Rules that can't fire at all are left out before any packet is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from packetloom.functions import net, text
 from packetloom.functions.net import ACK, has_flag, ipv4_to_long
@@ -22,9 +25,14 @@ from packetloom.operators.alerts import UNKNOWN
 from packetloom.operators.chains import cooldown
 from packetloom.operators.sliding import sliding_count
 from packetloom.schema import ALERT_COLUMNS
+from packetloom.sources.rules import parse_rules
 
 COMPILE_LIMIT = 200
 CHUNK_RULES = 20_000
+#: Smaller chunks than ``CHUNK_RULES`` grow, so that the packets are not read more often than this for them.
+PASSES = 4
+#: A class with more rules is several, so that no row of the broadcast grows with the rule file.
+CLASS_RULES = 1_000
 ANY_PORT = -1
 ANY_NET = -1
 #: Networks up to this many host bits are worth a key; a packet probes at most so many forms of network.
@@ -331,6 +339,14 @@ def staged_match(r: Access, *, pcre: str = "reference", fix_direction: bool = Fa
     )
 
 
+def can_fire(r: Access, pcre: str = "reference") -> Column:
+    """Whether any packet can meet the rule, as far as the rule alone tells."""
+    staged = byte_test_match(r)
+    if pcre == "reference":
+        staged = staged & pcre_match(r, pcre)
+    return (_col(r("kind")) != "snort") | staged
+
+
 def rule_match(r: Access, **options) -> Column:
     """Option rules are matched on the packet, positional ones on the five-tuple."""
     kind = r("kind")
@@ -354,7 +370,10 @@ def _finish_first(df: DataFrame) -> DataFrame:
 
 
 def first_match_compiled(packets: DataFrame, rules: list[Row], **options) -> DataFrame:
-    """Packets with the first rule, in file order, that matches; rules are folded into the plan."""
+    """Packets with the first rule, in file order, that matches; rules are folded into the plan.
+
+    As columns, if no more than ``COMPILE_LIMIT`` of them differ in what they ask for, else as rows of the plan that packets meet by key.
+    """
 
     def access(row: Row) -> Access:
         values = row.asDict(recursive=True)
@@ -365,7 +384,13 @@ def first_match_compiled(packets: DataFrame, rules: list[Row], **options) -> Dat
         return F.when(rule_match(access(row), **options), found)
 
     none = F.lit(None).cast("struct<pos:bigint,label:string>")
-    ordered = sorted(rules, key=lambda r: r["rule_pos"])
+    first = {}
+    for r in sorted(rules, key=lambda r: r["rule_pos"]):  # a rule that asks for the same as an earlier one is never first
+        first.setdefault(tuple(repr(r[name]) for name in CONDITIONS), r)
+    ordered = list(first.values())
+    if len(ordered) > COMPILE_LIMIT:
+        table = packets.sparkSession.createDataFrame([tuple(r[name] for name in RULE_FIELDS) for r in ordered], _rule_schema(packets.sparkSession))
+        return first_match_indexed(packets, table, rule_count=len(ordered), **options)
     chain = F.coalesce(*[hit(r) for r in ordered], none) if ordered else none
     return _finish_first(_once(prepared(packets), chain))
 
@@ -437,6 +462,41 @@ RULE_FIELDS = [
 ]
 
 
+# What the conditions test, and what the keys of a rule are made of.
+CONDITIONS = [name for name in RULE_FIELDS if name not in ("rule_pos", "label")]
+KEY_FIELDS = ["kind", "proto", "protocol", "src_ip", "dst_ip", "dst_spec", "src_nets", "dst_nets", "dst_ports"]
+
+
+def _rule_schema(spark) -> T.StructType:
+    parsed = parse_rules(spark.createDataFrame([], "line int, text string")).schema
+    return T.StructType([T.StructField(name, parsed[name].dataType) for name in RULE_FIELDS])
+
+
+def _read_by(condition: Callable[[Access], Column]) -> list[str]:
+    """The fields of a rule that a condition reads, and those of its keys."""
+    read = dict.fromkeys(KEY_FIELDS)
+
+    def access(name: str) -> Column:
+        read.setdefault(name)
+        return F.col(name)
+
+    condition(access)
+    return list(read)
+
+
+def leading(rules: DataFrame, **options) -> DataFrame:
+    """The rules that can come first: of those that ask for the same only the earliest, and none that can't fire."""
+    fields = CONDITIONS
+    firing = rules.where(can_fire(F.col, options.get("pcre", "reference")))
+    first = firing.groupBy(*fields).agg(F.min(F.struct("rule_pos", "label")).alias("__first"))
+    return first.select(*fields, "__first.*").select(*RULE_FIELDS)
+
+
+def _chunks(total: int, chunk_rules: int) -> int:
+    """Number of passes over the packets: as many as ``chunk_rules`` asks for, but no more than ``PASSES`` of less than ``CHUNK_RULES``."""
+    return max(1, -(-total // max(chunk_rules, min(CHUNK_RULES, -(-total // PASSES)))))
+
+
 def _candidates(packets: DataFrame, keyed: DataFrame, rule_columns: list[str], total: int, chunk_rules: int, condition) -> DataFrame:
     """One row per (packet, rule that meets ``condition``), the rule as ``__rule``.
 
@@ -444,7 +504,7 @@ def _candidates(packets: DataFrame, keyed: DataFrame, rule_columns: list[str], t
     addresses in the commonest forms of network that the rules name (of which there are few) and under no network. Rules are
     broadcast in chunks of at most ``chunk_rules``, each with a pass over the packets.
     """
-    chunks = max(1, -(-total // chunk_rules))
+    chunks = _chunks(total, chunk_rules)
     named = keyed.where(F.col("__key_net").isNotNull()).groupBy(F.col("__key_net.form").alias("form")).agg(F.count("*").alias("n"))
     forms = [r["form"] for r in named.orderBy(F.desc("n"), "form").limit(FORMS).collect()]
     nets = [F.lit(ANY_NET).cast("long"), *[_net_code(F.lit(f), F.col("__dst" if f >= 64 else "__src")) for f in forms]]
@@ -457,7 +517,7 @@ def _candidates(packets: DataFrame, keyed: DataFrame, rule_columns: list[str], t
     on = on & condition(lambda name: F.col("__rule")[name])
     found = None
     for i in range(chunks):
-        part = table if chunks == 1 else table.where(F.pmod(F.col("__rule.rule_pos"), F.lit(chunks)) == i)
+        part = table if chunks == 1 else table.where(F.pmod(F.xxhash64("__rule.rule_pos"), F.lit(chunks)) == i)
         joined = left.join(F.broadcast(part), on).drop("__probe", "__key_transport", "__key_port", "__key_net")
         found = joined if found is None else found.unionByName(joined)
     return found
@@ -469,8 +529,9 @@ def first_hits(packets: DataFrame, rules: DataFrame, *, rule_count: int | None =
     Rules are rows, joined by (transport, destination port) and tested in the join; the least position per packet is
     taken where the rows arise before anything is shuffled, so only hits travel.
     """
-    total = rules.count() if rule_count is None else rule_count
-    found = _candidates(packets, _keyed(rules), RULE_FIELDS, total, chunk_rules, lambda access: rule_match(access, **options))
+    first = leading(rules, **options).persist()
+    total = first.count() if rule_count is None else rule_count
+    found = _candidates(packets, _keyed(first), RULE_FIELDS, total, chunk_rules, lambda access: rule_match(access, **options))
     hit = F.struct(F.col("__rule.rule_pos").cast("long").alias("pos"), F.col("__rule.label").alias("label"))
     return found.groupBy("packet_id").agg(F.min(hit).alias("__hit"))
 
@@ -485,7 +546,7 @@ def first_match(
     packets: DataFrame, rules: DataFrame, *, compile_limit: int = COMPILE_LIMIT, rule_count: int | None = None, chunk_rules: int = CHUNK_RULES, **options
 ) -> DataFrame:
     """First matching rule per packet; the access path follows the size of the rule set, the result does not."""
-    good = rules.where(F.col("error").isNull()).persist()  # read several times, and costly to parse
+    good = leading(rules.where(F.col("error").isNull()), **options).persist()  # read several times, and costly to parse
     few = good.limit(compile_limit + 1).collect()
     if len(few) <= compile_limit:
         return first_match_compiled(packets, few, **options)
@@ -501,26 +562,43 @@ def all_matches(
     """One row per (packet, matching rule): ``rule_pos``, ``sid`` and the packet's columns.
 
     Packets meet the rules of their transport that name their destination port or no single port.
+    Rules that agree in all that ``condition`` reads are tested at once; a hit of theirs is a row for each of them.
     The rules are broadcast in chunks of at most ``chunk_rules``.
     """
-    good = rules.where(F.col("error").isNull()).persist()
-    total = good.count()
+    good = rules.where(F.col("error").isNull())
     staged = condition is staged_match
-    keyed = _keyed(good.withColumn("kind", F.lit("snort")) if staged else good)
-    none = F.lit(None).cast("struct<bits:int,form:int,code:bigint>")
-    keyed = keyed if staged else keyed.withColumn("__key_port", F.lit(ANY_PORT)).withColumn("__key_net", none).withColumn(
-        "__key_transport", F.explode(F.array(*[F.lit(t) for t in ("tcp", "udp", "icmp", "other")]))
-    ).distinct()
-    columns = list(dict.fromkeys([*RULE_FIELDS, "sid", "msg", "payload", "detection_filter"]))
-    out = _candidates(packets, keyed, columns, total, chunk_rules, condition)
-    return (
-        _dropped(out)
-        .withColumn("rule_pos", F.col("__rule.rule_pos"))
-        .withColumn("sid", F.col("__rule.sid"))
-        .withColumn("rule", F.col("__rule.label"))
-        .withColumn("detection_filter", F.col("__rule.detection_filter"))
-        .drop("__rule")
-    )
+    if staged:
+        good = good.withColumn("kind", F.lit("snort")).where(can_fire(F.col))
+    member = F.struct("rule_pos", "sid", F.col("label").alias("rule"), "detection_filter")
+    found = _classes_met(packets, good, condition, chunk_rules, staged, F.sort_array(F.collect_list(member)).alias("members"))
+    rows = found.withColumn("__hit", F.explode("__rule.members"))
+    return _dropped(rows).select("*", "__hit.*").drop("__rule", "__hit")
+
+
+def _classes_met(packets: DataFrame, rules: DataFrame, condition, chunk_rules: int, by_key: bool, members: Column) -> DataFrame:
+    """One row per (packet, class of rules that meets ``condition``), the class as ``__rule`` with ``members`` made of its rules.
+
+    Only ports and networks of option rules are keys (``by_key``); other conditions are tested on every packet.
+    """
+    fields = _read_by(condition)
+    sized = _in_lots(rules, fields, CLASS_RULES)
+    classes = sized.groupBy(*fields, "__lot").agg(members, F.min("rule_pos").alias("rule_pos"), F.count("*").alias("__n")).persist()
+    total = classes.agg(F.sum("__n")).first()[0] or 0
+    keyed = _keyed(classes)
+    if not by_key:
+        none = F.lit(None).cast("struct<bits:int,form:int,code:bigint>")
+        every = F.array(*[F.lit(t) for t in ("tcp", "udp", "icmp", "other")])
+        keyed = classes.withColumn("__key_port", F.lit(ANY_PORT)).withColumn("__key_net", none).withColumn("__key_transport", F.explode(every))
+    return _candidates(packets, keyed, list(dict.fromkeys([*fields, "rule_pos", "members"])), total, chunk_rules, condition)
+
+
+def _in_lots(rules: DataFrame, fields: list[str], size: int) -> DataFrame:
+    """``rules`` with ``__lot``, equal for at most about ``size`` rules that agree in ``fields``."""
+    counts = rules.groupBy(*fields).agg(F.count("*").alias("__of"))
+    same = F.xxhash64(*fields)
+    lots = counts.groupBy(same.alias("__same")).agg(F.ceil(F.max("__of") / F.lit(size)).alias("__lots"))
+    placed = rules.withColumn("__same", same).join(lots, "__same")
+    return placed.withColumn("__lot", F.pmod(F.xxhash64("rule_pos"), F.col("__lots"))).drop("__same", "__lots")
 
 
 def detection_filter(hits: DataFrame, *, ts: str = "ts", slice_seconds: float = 600.0) -> DataFrame:
@@ -586,7 +664,7 @@ def rule_match_alerts(matched: DataFrame) -> DataFrame:
     ).select(*ALERT_COLUMNS)
 
 
-def log_matches(packets: DataFrame, rules: DataFrame, **options) -> DataFrame:
+def log_matches(packets: DataFrame, rules: DataFrame, *, chunk_rules: int = CHUNK_RULES) -> DataFrame:
     """First rule of the log analyser per matching packet; ``rules`` are already one-way."""
-    hits = all_matches(packets, rules.withColumn("rule_pos", F.col("rule_pos")), condition=lambda r: _true(log_match(r)), **options)
-    return hits.groupBy("packet_id").agg(F.min("rule_pos").alias("rule_pos"))
+    found = _classes_met(packets, rules.where(F.col("error").isNull()), lambda r: _true(log_match(r)), chunk_rules, False, F.min("rule_pos").alias("members"))
+    return found.groupBy("packet_id").agg(F.min("__rule.members").alias("rule_pos"))

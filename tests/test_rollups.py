@@ -57,3 +57,30 @@ def test_flow_rows_do_not_depend_on_the_selection(spark, tmp_path):
     assert [tuple(r) for r in rows.collect()] == want
     assert [r.c for r in rows.select("c").collect()] == [w[2] for w in want]
     assert rows.count() == 4
+
+
+def test_rules_that_ask_for_the_same_are_met_once(spark):
+    """Two hundred rules of four conditions in chunks of one: the packets are read a few times, and every rule still has its hits."""
+    asks = ["any 443", "any 22", "10.0.0.1 443", "any any"]
+    lines = [(i + 1, f'alert tcp {asks[i % 4].split()[0]} any -> any {asks[i % 4].split()[1]} (msg:"m{i}"; sid:{i % 7};)') for i in range(200)]
+    lines += [(201 + i, f'alert tcp any any -> any any (msg:"n"; byte_test:1,>,2,0; sid:{i};)') for i in range(50)]
+    table = rules.parse_rules(spark.createDataFrame(lines, "line int, text string"))
+    few = packets(spark).where("packet_id < 40")
+    rows = [(r.packet_id, r.dst_port, r.src_ip) for r in few.where("ip_proto = 6").collect()]
+    meets = [lambda port, src: port == 443, lambda port, src: port == 22, lambda port, src: port == 443 and src == "10.0.0.1", lambda port, src: True]
+    want = sorted((p, n, f"{(n - 1) % 7}", f"m{n - 1}") for p, port, src in rows for n in range(1, 201) if meets[(n - 1) % 4](port, src))
+    met = matching.all_matches(few, table, chunk_rules=1)
+    assert sorted((r.packet_id, r.rule_pos, r.sid, r.rule) for r in met.select("packet_id", "rule_pos", "sid", "rule").collect()) == want
+    first = matching.first_match_indexed(few, table, chunk_rules=1)
+    assert {r.packet_id: r.rule_pos for r in first.where("is_alert").collect()} == {p: min(n for q, n, *_ in want if q == p) for p, *_ in want}
+    for out in (met, first):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") <= matching.PASSES
+
+
+def test_many_rules_are_compiled_as_rows(spark):
+    lines = [(i + 1, f"{i}: TCP any:{1000 + i} -> any:any *") for i in range(250)]
+    table = rules.parse_rules(spark.createDataFrame(lines, "line int, text string"))
+    out = matching.first_match_compiled(packets(spark), table.collect())
+    assert "Join LeftOuter" in out._jdf.queryExecution().analyzed().toString()
+    got = {r.packet_id: r.rule_pos for r in out.collect()}
+    assert got == {i: i + 1 if i % 2 else None for i in range(200)}
