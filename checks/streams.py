@@ -60,6 +60,8 @@ def _(spark, d):
 
 
 CHUNK = 50_000
+#: Flows land in so many files by ranges of their keys, of which a batch takes some; totals are kept by chunk.
+FILES, FILES_A_BATCH = 48, 12
 
 
 @query(
@@ -71,23 +73,23 @@ CHUNK = 50_000
         FROM {ALIGNED} a GROUP BY 1) g WINDOW w AS (ORDER BY chunk)) q""",
 )
 def _(spark, d):
-    """Flows that land chunk by chunk, classified and counted batch by batch; every batch comes twice."""
+    """Flows that land in ranges of chunks, classified batch by batch and counted chunk by chunk; every batch comes twice."""
     flows, path, to = view(spark, d, "flows_ev"), fresh(spark, "landed"), folder(spark)
     means = cl.feature_means(flows, FEATURES).first().asDict()
     chunk = F.floor(F.col("flow_key") / CHUNK)
-    for k in [r[0] for r in flows.select(chunk).distinct().orderBy(chunk).collect()]:  # a file each
-        flows.where(chunk == k).coalesce(1).write.mode("append").parquet(path)
+    flows.repartitionByRange(FILES, "flow_key").write.parquet(path)
+    landing = spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(path)
 
     def predict(rows):  # the given label stands in for the prediction
         return cl.align(rows.withColumn("prediction", F.col("label")), FEATURES, means, ["flow_key", "prediction"])
 
-    write = sinks.classified_sink(to, predict)
+    write = sinks.classified_sink(to, predict, step=chunk)
 
     def repeated(rows, batch):
         write(rows, batch)
         write(rows, batch)
 
-    st.run_sinks(over(spark, path, flows.schema), repeated, f"{to}/checkpoint")
+    st.run_sinks(landing, repeated, f"{to}/checkpoint")
     steps = sinks.classified_progress(spark, to, total_rows=flows.count())
     return steps.select("batch", "total_rows", "benign", "attacks", "critical", "tcp", "benign_pct", "pct")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from packetloom.operators.classify import rated, totals
@@ -59,21 +59,30 @@ def numbered_sink(folder: str, order: list[str]) -> Write:
     return write
 
 
-def classified_sink(folder: str, predict: Callable[[DataFrame], DataFrame]) -> Write:
-    """For ``to_sinks``: flows are classified by ``predict`` and stored below ``folder`` with the batch's totals."""
+def classified_sink(folder: str, predict: Callable[[DataFrame], DataFrame], step: Column | None = None) -> Write:
+    """For ``to_sinks``: flows are classified by ``predict`` and stored below ``folder`` with the batch's totals.
+
+    With ``step``, an expression over the classified flows, totals are kept for each of its values, so that progress is as fine as the
+    steps while a batch holds as many of them as have landed.
+    """
 
     def write(flows: DataFrame, batch: int) -> None:
         stored = put_batch(predict(flows), f"{folder}/predictions", batch)
-        put_batch(stored.agg(*totals()), f"{folder}/totals", batch)
+        sums = stored.agg(*totals()) if step is None else stored.groupBy(step.alias("step")).agg(*totals())
+        put_batch(sums, f"{folder}/totals", batch)
 
     return write
 
 
 def classified_progress(spark: SparkSession, folder: str, total_rows: int | None = None) -> DataFrame:
-    """The summary after each batch of a :func:`classified_sink`, over all batches so far."""
+    """The summary after each batch (or step) of a :func:`classified_sink`, over all so far; ``batch`` numbers them from 0."""
     sums = spark.read.parquet(f"{folder}/totals")
-    running = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each batch
-    rows = sums.select("batch", *[F.sum(c).over(running).alias(c) for c in sums.columns if c != "batch"])
+    at = "step" if "step" in sums.columns else "batch"
+    names = [c for c in sums.columns if c not in ("batch", "step")]
+    sums = sums.groupBy(at).agg(*[F.sum(c).alias(c) for c in names])  # a step may lie in several batches
+    running = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each batch or step
+    number = F.row_number().over(Window.orderBy(at)) - 1 if at == "step" else F.col("batch")
+    rows = sums.select(number.alias("batch"), *[F.sum(c).over(running).alias(c) for c in names])
     whole = F.lit(total_rows) if total_rows else F.col("total_rows")
     return rated(rows).withColumn("pct", F.round(F.least(F.col("total_rows") / whole * 100, F.lit(100.0)), 1))
 
