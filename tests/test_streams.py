@@ -127,3 +127,28 @@ def test_rules_are_met_under_their_network(spark):
         found = [n for n, t in lines if (n <= 500 and t.split()[1] == f"10.0.{i % 250}.{7 if i % 3 else 8}:any") or (n > 500 and f" 10.{i % 240}.0.0/16 " in t)]
         want[i] = min(found) if found else None
     assert {i: hits.get(i) for i in range(60)} == want
+
+
+def test_keys_that_share_a_state(spark, tmp_path):
+    """Datagrams by the hundred in four states: the rows of one state each, null keys among them, and few calls for many keys."""
+    own, limits = random.Random(5), fragments.FragmentLimits(100, 50, 20, 10.0)
+    rows = [(i, t, None if k == "k7" else k, 8 * own.randrange(4), own.choice([8, 16]), own.random() < 0.6) for i, t, k, _ in rows_of(6, n=300, keys=90)]
+    df = spark.createDataFrame(rows, "packet_id long, us long, k string, start long, size long, more boolean")
+    program = Reassembly(limits.timeout, limits.per_packet)
+    want = sorted(map(repr, scan.keyed_scan(df, ["k"], ["us", "packet_id"], program, fragments.FRAGMENT_OUT).collect()))
+    timed, path = df.withColumn("ts", F.timestamp_micros("us")).drop("us"), str(tmp_path / "in")
+    for part in (timed.where("packet_id < 150"), timed.where("packet_id >= 150")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    one = st.stream_scan(stream, ["k"], program, fragments.FRAGMENT_OUT, buckets=4)
+    assert sorted(map(repr, st.run_to_end(one, str(tmp_path / "run")).collect())) == want and len(want) > 50
+
+
+def test_progress_by_steps(spark, tmp_path):
+    """Two batches that share the steps between them, each of them twice."""
+    write = sinks.classified_sink(str(tmp_path), lambda rows: rows, step=F.floor(F.col("n") / 10))
+    df = spark.range(60).selectExpr("id AS n", "IF(id % 3 = 0, 'BENIGN', 'Bot') AS prediction", "CAST(6 AS DOUBLE) AS protocol", "1.0D AS flow_duration", "1.0D AS flow_byts_s")
+    for batch in (0, 0, 1, 1):
+        write(df.where(F.col("n") % 2 == batch), batch)
+    got = [(r["batch"], r.total_rows, r.benign) for r in sinks.classified_progress(spark, str(tmp_path), 60).orderBy("batch").collect()]
+    assert got == [(k, 10 * k + 10, len(range(0, 10 * k + 10, 3))) for k in range(6)]
