@@ -1,8 +1,10 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.operators import chains
 from packetloom.operators.chains import cooldown, greedy_chain
 
 S = 1_000_000
@@ -53,3 +55,24 @@ def test_two_axes(spark, fold_limit):
             want.add(i)
             last = (us, rank)
     assert got == want
+
+
+def test_tables_of_blocks_hold_what_can_be_entered(spark):
+    """A block of packets one place apart is entered at its first rows only; the chain over such blocks stays the same."""
+    width = 25 * chains.CELLS_PER_BLOCK
+    block = pd.DataFrame({"k": 0, "__block": 3, "__pos": range(3 * width, 4 * width), "__pos2": 0, "packet_id": range(width)})
+    assert len(chains._block_table(block, ["k"], 25, 0, "packet_id")) <= 25
+    own = random.Random(4)
+    for gaps in ([1], [1, 2, 40], [1, 1, 1, 1, 5000]):
+        pos, at = [], 0
+        for _ in range(6000):
+            at += own.choice(gaps)
+            pos.append(at)
+        want, last = [], None
+        for i, p in enumerate(pos):
+            if last is None or p - last >= 25:
+                want.append(i)
+                last = p
+        df = spark.createDataFrame(list(enumerate(pos)), "packet_id long, __pos long")
+        got = chains.greedy_chain(df, [], 25, fold_limit=10)
+        assert sorted(r.packet_id for r in got.collect()) == want
