@@ -17,13 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from packetloom.functions import net, text
 from packetloom.functions.net import ACK, has_flag, ipv4_to_long
 from packetloom.operators.alerts import UNKNOWN
 from packetloom.operators.chains import cooldown
-from packetloom.operators.sliding import sliding_count
+from packetloom.operators.durable import checkpointed
+from packetloom.operators.sliding import null_safe_join, sliding_count
 from packetloom.schema import ALERT_COLUMNS
 from packetloom.sources.rules import parse_rules
 
@@ -33,6 +34,8 @@ CHUNK_RULES = 20_000
 PASSES = 4
 #: A class with more rules is several, so that no row of the broadcast grows with the rule file.
 CLASS_RULES = 1_000
+#: The alerts of a rule that stands for others meet their lists in so many parts.
+MEMBER_PARTS = 16
 ANY_PORT = -1
 ANY_NET = -1
 #: Networks up to this many host bits are worth a key; a packet probes at most so many forms of network.
@@ -636,13 +639,40 @@ def not_broadcast() -> Column:
     return ~F.coalesce(F.col("dst_ip").endswith(".255"), F.lit(False))
 
 
+def _stand_ins(rules: DataFrame, condition) -> tuple[DataFrame, DataFrame]:
+    """One rule for all that agree in what ``condition`` reads and in their threshold, and the lists of those it stands for.
+
+    Only rules whose sid no other rule has stand together: they have the same hits, so the same thresholds and suppressions. Rules that
+    share a sid are counted and suppressed together, so each stays for itself and has no list. A list holds at most ``CLASS_RULES``.
+    """
+    same = [*_read_by(condition), "detection_filter"]
+    held = rules.withColumn("__of", F.count("*").over(Window.partitionBy("sid")))
+    order = Window.partitionBy(*same).orderBy("rule_pos", "sid")
+    ranked = held.where("__of = 1").withColumn("__first", F.first(F.struct("rule_pos", "sid")).over(order)).withColumn("__at", F.row_number().over(order))
+    member = F.struct("rule_pos", "sid", F.col("label").alias("rule"))
+    lists = ranked.groupBy("__first", F.floor((F.col("__at") - 1) / CLASS_RULES)).agg(F.collect_list(member).alias("members")).select("__first.*", "members")
+    return held.where("__of > 1").drop("__of").unionByName(ranked.where("__at = 1").drop("__of", "__first", "__at")), lists
+
+
 def signature_alerts(packets: DataFrame, rules: DataFrame, *, seconds: float = 60.0, **options) -> DataFrame:
-    """All matches, thresholded, without broadcast targets, at most one per rule and pair in ``seconds``."""
-    hits = detection_filter(all_matches(packets.where(net.is_ip()), rules, **options)).where(not_broadcast())
-    slim = hits.select("packet_id", "ts", "sid", "rule_pos", "rule", "src_ip", "dst_ip").withColumn(
-        "__tie", F.struct("packet_id", "rule_pos")
-    )
-    return cooldown(slim, ["sid", "src_ip", "dst_ip"], seconds, strict=False, tie="__tie").drop("__tie")
+    """All matches, thresholded, without broadcast targets, at most one per rule and pair in ``seconds``.
+
+    Rules that agree are counted and suppressed once; what is left of them becomes a row for each. Rules and hits are checkpoints, so
+    that no later step plans the grammar and the tests of the rules again.
+    """
+    good = checkpointed(rules.where(F.col("error").isNull()))
+    few, lists = _stand_ins(good, options.get("condition", staged_match))
+    columns = ["packet_id", "ts", "sid", "rule_pos", "rule", "src_ip", "dst_ip"]
+    matches = all_matches(packets.where(net.is_ip()), checkpointed(few), **options)
+    hits = detection_filter(checkpointed(matches.select(*columns, "detection_filter"))).where(not_broadcast())
+    slim = hits.withColumn("__tie", F.struct("packet_id", "rule_pos"))
+    kept = cooldown(slim, ["sid", "src_ip", "dst_ip"], seconds, strict=False, tie="__tie").drop("__tie")
+    # a rule that stands for many is dealt out in parts
+    dealt = kept.withColumn("__part", F.pmod(F.xxhash64("packet_id"), F.lit(MEMBER_PARTS)).cast("int"))
+    parts = lists.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_PARTS - 1))))
+    found = null_safe_join(dealt, parts, ["rule_pos", "sid", "__part"], "left")
+    member = F.explode(F.coalesce("members", F.array(F.struct("rule_pos", "sid", "rule"))))
+    return found.select(*[c for c in columns if c not in ("rule_pos", "sid", "rule")], member.alias("__m")).select("*", "__m.*").select(*columns)
 
 
 def rule_match_alerts(matched: DataFrame) -> DataFrame:
