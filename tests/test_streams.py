@@ -152,3 +152,26 @@ def test_progress_by_steps(spark, tmp_path):
         write(df.where(F.col("n") % 2 == batch), batch)
     got = [(r["batch"], r.total_rows, r.benign) for r in sinks.classified_progress(spark, str(tmp_path), 60).orderBy("batch").collect()]
     assert got == [(k, 10 * k + 10, len(range(0, 10 * k + 10, 3))) for k in range(6)]
+
+
+def test_states_stay_small():
+    """Spark sends a state along with every Arrow batch of its group's rows."""
+    own = random.Random(9)
+    times = sorted(own.randrange(600 * S) for _ in range(20_000))
+    wait = [[1_700_000_000_000_000 + t, i, own.choice(["a", None]), i % 2 == 0, i / 2] for i, t in enumerate(times)]
+    kept = [(("k", None), {"of": {"n": [1]}, "wait": wait, "last": 5}), (("m", 2), {"of": [], "wait": [], "last": None})]
+    packed = st.pack_state(kept)
+    assert st.unpack_state(packed) == [[list(key), whole] for key, whole in kept]
+    assert [type(v) for v in st.unpack_state(packed)[0][1]["wait"][0]] == [int, int, type(wait[0][2]), bool, float]
+    assert 4 * len(packed) < len(scan.dump_state(kept))
+
+
+def test_more_turns_land_the_same_rows(spark):
+    from checks.feeds import in_turns
+
+    df = frame(spark, rows_of(10))
+    parts = in_turns(df, files=3, jitter=5, most=50)
+    turns = [sorted(r.packet_id for r in part.collect()) for part in parts]
+    assert len(turns) == 8 and sorted(sum(turns, [])) == list(range(400)) and max(map(len, turns)) < 100
+    assert all(part.rdd.getNumPartitions() == 1 and part.columns == df.columns for part in parts)
+    assert all(max(a) < min(b) + 25 for a, b in zip(turns, turns[1:]))  # in the order of their times, but for the jitter
