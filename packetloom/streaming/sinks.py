@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -53,8 +54,10 @@ def numbered_sink(folder: str, order: list[str]) -> Write:
         earlier = 0
         if batch:
             earlier = read_batches(spark, sizes, "rows long").where(F.col("batch") < batch).agg(F.sum("rows")).first()[0] or 0
-        stored = put_batch(numbered(rows, order, "id", earlier + 1), f"{folder}/feed", batch)
+        once = rows.persist(StorageLevel.MEMORY_AND_DISK)  # numbering reads the batch several times, each time through its state machines
+        stored = put_batch(numbered(once, order, "id", earlier + 1), f"{folder}/feed", batch)
         put_batch(stored.agg(F.count("*").alias("rows")), sizes, batch)
+        once.unpersist()
 
     return write
 

@@ -175,3 +175,41 @@ def test_more_turns_land_the_same_rows(spark):
     assert len(turns) == 8 and sorted(sum(turns, [])) == list(range(400)) and max(map(len, turns)) < 100
     assert all(part.rdd.getNumPartitions() == 1 and part.columns == df.columns for part in parts)
     assert all(max(a) < min(b) + 25 for a, b in zip(turns, turns[1:]))  # in the order of their times, but for the jitter
+
+
+def test_branches_share_states(spark, tmp_path):
+    """Keys of all branches in few states give the rows that a state for each gives, ports and values beside nulls included."""
+    from packetloom.streaming import detectors
+
+    own = random.Random(11)
+    times = sorted(own.randrange(300 * S) for _ in range(400))
+    rows = [(i, t, f"10.0.0.{own.randrange(2)}", "10.1.0.1", own.choice([6, 17, 1]), own.randrange(4) if own.random() < 0.8 else None) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "packet_id long, us long, src_ip string, dst_ip string, ip_proto int, dst_port int").withColumn("ts", F.timestamp_micros("us"))
+    df = df.withColumn("tcp_flags", F.when(F.col("ip_proto") == 6, 2)).withColumn("icmp_type", F.when(F.col("ip_proto") == 1, 8)).withColumn("arp_op", F.lit(None).cast("int")).withColumn("src_port", F.lit(9))
+    for part in [df.where(F.col("packet_id").between(a, a + 99)).coalesce(1) for a in range(0, 400, 100)]:
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    limits = {"syn": (60.0, 3), "syn_port_scan": (60.0, 3), "udp": (60.0, 3), "udp_port_scan": (60.0, 3), "icmp": (60.0, 3), "port_scan": (60.0, 4)}
+    found, states = [], []
+    for buckets in (None, 2):
+        files = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream, to = detectors.stream_rates(files, buckets=buckets, **limits), str(tmp_path / f"run{buckets}")
+        queries = st.run_available(stream, to)
+        states.append(max(o.numRowsTotal for p in queries.recentProgress for o in p.stateOperators))
+        st.close(queries)
+        st.run_available(stream, to)
+        found.append(sorted(map(repr, spark.read.parquet(f"{to}/out").select("packet_id", "sid", "src", "dst", "info").collect())))
+    assert found[0] == found[1] and len(found[0]) > 100
+    assert states[0] > 10 and states[1] <= 2  # a state for each key, and two for all
+
+
+def test_numbered_batches_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = frame(spark, rows_of(12))
+    sinks.numbered_sink(str(tmp_path / "feed"), ["packet_id"])(df.mapInPandas(counted, df.schema), 0)
+    assert seen.value == 400
