@@ -21,6 +21,10 @@ from packetloom.sources import alertlog, capture, rules as rl
 # ---------------------------------------------------------------- captures
 
 
+#: Frames of one capture file, about, so that no task holds more; three files at least.
+CAPTURED = 200_000
+
+
 def _captured(batches):
     """One capture file's bytes per task, with microsecond stamps."""
     parts = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
@@ -60,7 +64,8 @@ ADDRESS = "'10.' || (event_id // 65536) || '.' || (event_id // 256 % 256) || '.'
 )
 def _(spark, d):
     folder = fresh(spark, "captures")
-    files = event_frames(spark, d).repartition(3).mapInPandas(_captured, "value binary")
+    frames = event_frames(spark, d)
+    files = frames.repartition(max(3, -(-frames.count() // CAPTURED))).mapInPandas(_captured, "value binary")
     files.select(F.col("value").cast("string").alias("value")).write.text(folder)
     rows = capture.decode_frames(capture.number_packets(capture.read_captures(spark, f"{folder}/part-*")), "packet_id")
     return rows.select("src_ip", "dst_ip", "proto", "src_port", "tcp_flags", "icmp_type", "icmp_id", "arp_op", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
