@@ -1,10 +1,11 @@
 """Steps that must not grow faster than their input: what they hand to Python, read twice, or hold at once."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from packetloom.operators import chains, fragments, scan
+from packetloom.operators import bruteforce, chains, fragments, scan
 from packetloom.operators.programs import Reassembly
 
 S = 1_000_000
@@ -51,3 +52,13 @@ def test_messages_of_fragments_are_written_for_kept_rows(spark):
     assert "info" not in fragments._detections(packets, limits).columns
     got = {r.info for r in fragments.detect_fragmentation(packets).collect()}
     assert "Fragmentation: Tiny fragment detected (8 bytes)" in got and len(got) == 2
+
+
+def test_logins_are_decoded_once(spark):
+    row = (0, "10.0.0.1", "10.0.0.2", 6, 21, 50000, bytearray(b"530 user denied"))
+    packets = spark.createDataFrame([row], "packet_id long, src_ip string, dst_ip string, ip_proto int, src_port int, dst_port int, payload binary")
+    packets = packets.withColumn("ts", F.timestamp_seconds("packet_id")).withColumn("tcp_flags", F.lit(24))
+    alerts = bruteforce.detect_brute_force(packets)
+    plan = alerts._jdf.queryExecution().withCachedData().toString()
+    kept = re.findall(r"InMemoryRelation \[([^\]]*)\]", plan)
+    assert ["packet_id", "ts", "client", "server", "service", "username"] in [[c.split("#")[0] for c in columns.split(", ")] for columns in kept]
