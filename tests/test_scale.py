@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import bruteforce, chains, fragments, scan
 from packetloom.operators.programs import Reassembly
+from packetloom.sources import capture
 
 S = 1_000_000
 
@@ -62,3 +63,16 @@ def test_logins_are_decoded_once(spark):
     plan = alerts._jdf.queryExecution().withCachedData().toString()
     kept = re.findall(r"InMemoryRelation \[([^\]]*)\]", plan)
     assert ["packet_id", "ts", "client", "server", "service", "username"] in [[c.split("#")[0] for c in columns.split(", ")] for columns in kept]
+
+
+def test_walks_stop_where_names_and_answers_end(spark):
+    """Steps are taken up to the last answer, not up to the length of the message."""
+    message = bytes.fromhex("abcd81800001000200000000" + "017800" + "00100001") + 2 * (bytes.fromhex("c00c0010000100000000") + b"\x01\x2c" + 300 * b"A")
+    df = spark.createDataFrame([(bytearray(message),), (bytearray(message[:20]),), (None,)], "m binary")
+    name = capture.walk_name(F.col("m"), F.lit(12))
+    got = df.select(name["name"].alias("name"), capture.txt_sizes(F.col("m"), name["after"] + 4).alias("sizes")).collect()
+    assert [tuple(r) for r in got] == [("x", [300, 300]), ("x", []), (None, [])]
+    taken = []
+    step = lambda s, i: (s + 1).cast("int")
+    ended = lambda s: taken.append(s) or s >= 5
+    assert df.select(capture._walk(F.col("m"), F.lit(0), step, ended).alias("n")).first().n == 5 and taken
