@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
@@ -81,22 +82,31 @@ def fit_forest(
     depth: int = 8,
     seed: int = 7,
 ) -> FlowModel:
-    means = {c: float(v or 0.0) for c, v in feature_means(df, features).first().asDict().items()}
-    rows = align(df, features, means, [label])
+    """Training reads its rows about ten times, so their numbers are parsed once and kept meanwhile."""
+    unknown = F.lit(None).cast("double")
+    parsed = df.select(label, *[coerce_number(F.col(c), unknown).alias(c) for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    means = {c: float(v or 0.0) for c, v in feature_means(parsed, features).first().asDict().items()}
+    rows = align(parsed, features, means, [label])
     last = "raw_features"
     stages = [StringIndexer(inputCol=label, outputCol="class_index", stringOrderType="alphabetAsc"),
               VectorAssembler(inputCols=features, outputCol=last)]
     if scaled:
         stages.append(StandardScaler(inputCol=last, outputCol="scaled_features", withMean=True, withStd=True))
         last = "scaled_features"
-    stages.append(
-        RandomForestClassifier(
-            labelCol="class_index", featuresCol=last, predictionCol="class_no", numTrees=trees, maxDepth=depth, seed=seed
-        )
+    forest = RandomForestClassifier(
+        labelCol="class_index", featuresCol=last, predictionCol="class_no", numTrees=trees, maxDepth=depth, seed=seed
     )
-    fitted = Pipeline(stages=stages).fit(rows)
+    prepared = None
+    try:
+        fitted = Pipeline(stages=stages).fit(rows)
+        prepared = fitted.transform(rows).select("class_index", last).persist(StorageLevel.MEMORY_AND_DISK)
+        grown = forest.fit(prepared)
+    finally:
+        parsed.unpersist()
+        if prepared is not None:
+            prepared.unpersist()
     decode = IndexToString(inputCol="class_no", outputCol="prediction", labels=fitted.stages[0].labels)
-    pipeline = PipelineModel(stages=[*fitted.stages, decode])
+    pipeline = PipelineModel(stages=[*fitted.stages, grown, decode])
     return FlowModel(name, "scaled" if scaled else "bundle", pipeline, list(features), means)
 
 

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from packetloom.operators import bruteforce, chains, fragments, scan
+from packetloom.operators import bruteforce, chains, classify, fragments, scan
 from packetloom.operators.programs import Reassembly
 from packetloom.sources import capture
 
@@ -76,3 +76,18 @@ def test_walks_stop_where_names_and_answers_end(spark):
     step = lambda s, i: (s + 1).cast("int")
     ended = lambda s: taken.append(s) or s >= 5
     assert df.select(capture._walk(F.col("m"), F.lit(0), step, ended).alias("n")).first().n == 5 and taken
+
+
+def test_training_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    flows = spark.range(200).select((F.col("id") % 7).cast("string").alias("a"), F.when(F.col("id") % 9 == 0, "n/a").otherwise((F.col("id") % 5).cast("string")).alias("b"), F.when(F.col("id") % 7 > 3, "x").otherwise("y").alias("label"))
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    fitted = classify.fit_forest(flows.mapInPandas(counted, flows.schema), ["a", "b"], "label", trees=3, depth=3)
+    assert read.value == 200 and spark.sparkContext._jsc.sc().getPersistentRDDs().size() == kept
+    assert classify.predict(fitted, flows, ["label"]).where("label = prediction").count() == 200
