@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import bruteforce, chains, classify, fragments, scan
 from packetloom.operators.programs import Reassembly
-from packetloom.sources import capture
+from packetloom.sources import alertlog, capture
 
 S = 1_000_000
 
@@ -91,3 +91,22 @@ def test_training_reads_its_input_once(spark):
     fitted = classify.fit_forest(flows.mapInPandas(counted, flows.schema), ["a", "b"], "label", trees=3, depth=3)
     assert read.value == 200 and spark.sparkContext._jsc.sc().getPersistentRDDs().size() == kept
     assert classify.predict(fitted, flows, ["label"]).where("label = prediction").count() == 200
+
+
+def test_evidence_is_one_pass_over_slices(spark):
+    """The rows of a plain search, without a row for each packet an alert might ask for and without a join."""
+    own = random.Random(7)
+    us = [-90 * S, 40 * S, 40 * S, 80 * S, *[own.choice([own.randrange(-100 * S, 100 * S), own.randrange(0, 200) * S // 2]) for _ in range(600)]]
+    rows = [(own.randrange(10**6) * 1000 + i, t, own.choice(["a", "a", "b", None]), str(i)) for i, t in enumerate(us)]
+    packets = spark.createDataFrame(rows, "packet_id long, us long, src_ip string, dst_ip string").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    asked = [(i, t, s) for i, t, s, _ in own.sample(rows, 150)] + [(1, 40 * S, "nobody"), (2, 300 * S, "a"), (3, 110 * S, "a")]
+    alerts = spark.createDataFrame(asked, "packet_id long, us long, src string").select("packet_id", F.timestamp_micros("us").alias("ts"), "src", F.lit(5).alias("sid"))
+    for per_alert, within in ((3, 10), (8, 2)):
+        want = set()
+        for a, t, s in asked:
+            found = sorted((u, p) for p, u, src, _ in rows if s is not None and src == s and t - within * S <= u <= t)
+            want |= {(a, k, p) for k, (_, p) in enumerate(found[:per_alert], 1)}
+        got = alertlog.evidence(alerts, packets, per_alert=per_alert, within_seconds=within)
+        assert {(r.alert_id, r.position, r.packet_id) for r in got.collect()} == want and len(want) > 150
+    plan = plan_of(alertlog.evidence(alerts, packets))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
