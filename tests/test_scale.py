@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from packetloom.operators import bruteforce, chains, classify, fragments, scan
+from packetloom.operators import bruteforce, chains, classify, fragments, scan, sliding
 from packetloom.operators.programs import Reassembly
 from packetloom.sources import alertlog, capture
 
@@ -110,3 +110,10 @@ def test_evidence_is_one_pass_over_slices(spark):
         assert {(r.alert_id, r.position, r.packet_id) for r in got.collect()} == want and len(want) > 150
     plan = plan_of(alertlog.evidence(alerts, packets))
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_slices_are_not_merged_into_one_task(spark):
+    """Alike packets compress well, so a size after compression says little about a task's memory."""
+    packets = spark.range(4000).select(F.col("id").alias("packet_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit("a").alias("k"), (F.col("id") % 3).alias("v"))
+    for rows in (sliding.reaches_count(packets, ["k"], 5, 3), sliding.sliding_distinct(packets, ["k"], "v", 5), sliding.sliding_count(packets, ["k"], 5)):
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
