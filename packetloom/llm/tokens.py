@@ -35,12 +35,13 @@ class WordIds(dict):
     constructor checks) drops white space and never merges across it; a word not seen before is encoded by the
     library. At about ``limit`` bytes the memory starts anew, so a long-lived worker stays bounded."""
 
-    def __init__(self, path: str, limit: int = 40 << 20):
+    def __init__(self, path: str, limit: int = 160 << 20):
         import json
 
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = self.tokenizer.model.tokenize  # every look at ``model`` makes a new object
         self.limit, self.size = limit, 0
         spec = json.loads(self.tokenizer.to_str())
         steps = (spec["normalizer"] or {}).get("normalizers", [])
@@ -61,7 +62,7 @@ class WordIds(dict):
             # Latin-1 letters only: one piece for the model, with no other normalisation than the case
             low = word.lower()
             piece = low if low.isascii() else self.as_bytes.pre_tokenize_str(low)[0][0]
-            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+            ids = array("I", [t.id for t in self.pieces(piece)]).tobytes()
         else:
             core = word.rstrip(_TAIL)
             if self.plain_letters and core != word and core.isalpha():

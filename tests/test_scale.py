@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from packetloom.llm import tokens
 from packetloom.operators import bruteforce, chains, classify, fragments, scan, sliding
 from packetloom.operators.programs import Reassembly
 from packetloom.sources import alertlog, capture
@@ -117,3 +118,12 @@ def test_slices_are_not_merged_into_one_task(spark):
     packets = spark.range(4000).select(F.col("id").alias("packet_id"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 2).alias("k"), (F.col("id") % 3).alias("v"))
     for rows in (sliding.reaches_count(packets, ["k"], 5, 3), sliding.sliding_distinct(packets, ["k"], "v", 5), sliding.sliding_count(packets, ["k"], 5)):
         assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_words_of_many_texts_stay_in_memory():
+    """A worker's memory of words holds those that its tasks meet again, and the model is asked without a new object each time."""
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghjklmnp" for b in "aeiouy" for c in ("st", "nd", "ll", "rr", "mp", "ck", "ng", "th", "sh", "qu") for d in (x + y + z for x in "aeiou" for y in "bcdfgklmnprst" for z in "aeiou")]
+    memory = tokens.WordIds(tokens.default_tokenizer())
+    memory.encode(" ".join(words))
+    assert len(set(words)) > 230_000 and len(memory) == len(set(words)) and memory.size < memory.limit
+    assert memory[words[5]] == memory.whole(words[5])
