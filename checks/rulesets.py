@@ -23,12 +23,14 @@ SIMPLE = f"""(SELECT line, text, w, CASE WHEN len(w) = 6 THEN split_part(w[1], '
 
 
 def arrivals(spark, d):
-    """Packets as they come; meeting every class of rules costs more than spreading the single split."""
-    return spread(view(spark, d, "packets_ev"))
+    """Packets as they come; meeting every class of rules costs more than dealing them out, as splits within a row group are empty."""
+    packets = view(spark, d, "packets_ev")
+    return packets.repartition(max(spark.sparkContext.defaultParallelism, packets.rdd.getNumPartitions()))
 
 
 def rule_table(spark, d):
-    return rl.parse_rules(view(spark, d, "rules_ev"))
+    """Parsed rules; parsing a line costs more than spreading the single split."""
+    return rl.parse_rules(spread(view(spark, d, "rules_ev")))
 
 
 def simple_rules(spark, d):

@@ -24,7 +24,7 @@ from packetloom.functions.net import ACK, has_flag, ipv4_to_long
 from packetloom.operators.alerts import UNKNOWN
 from packetloom.operators.chains import cooldown
 from packetloom.operators.durable import checkpointed
-from packetloom.operators.sliding import null_safe_join, sliding_count
+from packetloom.operators.sliding import sliding_count
 from packetloom.schema import ALERT_COLUMNS
 from packetloom.sources.rules import parse_rules
 
@@ -32,9 +32,9 @@ COMPILE_LIMIT = 200
 CHUNK_RULES = 20_000
 #: Smaller chunks than ``CHUNK_RULES`` grow, so that the packets are not read more often than this for them.
 PASSES = 4
-#: A class with more rules is several, so that no row of the broadcast grows with the rule file.
+#: The rules of a class that has more are met in lots of about so many.
 CLASS_RULES = 1_000
-#: The alerts of a rule that stands for others meet their lists in so many parts.
+#: The packets that meet a lot are dealt out in so many parts.
 MEMBER_PARTS = 16
 ANY_PORT = -1
 ANY_NET = -1
@@ -562,46 +562,76 @@ def first_match(
 def all_matches(
     packets: DataFrame, rules: DataFrame, *, condition: Callable[[Access], Column] = staged_match, chunk_rules: int = CHUNK_RULES
 ) -> DataFrame:
-    """One row per (packet, matching rule): ``rule_pos``, ``sid`` and the packet's columns.
+    """One row per (packet, matching rule): ``rule_pos``, ``sid``, ``rule``, ``detection_filter`` and the packet's columns.
 
     Packets meet the rules of their transport that name their destination port or no single port.
-    Rules that agree in all that ``condition`` reads are tested at once; a hit of theirs is a row for each of them.
-    The rules are broadcast in chunks of at most ``chunk_rules``.
+    Rules that agree in all that ``condition`` reads are tested at once; a packet that meets such a class becomes a row for each of its rules.
+    The classes are broadcast in chunks of at most ``chunk_rules``, without their rules.
     """
     good = rules.where(F.col("error").isNull())
     staged = condition is staged_match
     if staged:
         good = good.withColumn("kind", F.lit("snort")).where(can_fire(F.col))
+    fields = _read_by(condition)
     member = F.struct("rule_pos", "sid", F.col("label").alias("rule"), "detection_filter")
-    found = _classes_met(packets, good, condition, chunk_rules, staged, F.sort_array(F.collect_list(member)).alias("members"))
-    rows = found.withColumn("__hit", F.explode("__rule.members"))
-    return _dropped(rows).select("*", "__hit.*").drop("__rule", "__hit")
+    kept = checkpointed(good.select(F.struct(*fields).alias("__asks"), member.alias("__rule")))  # costly to parse
+    classes = checkpointed(_classes(kept.select("__asks.*", "__rule.rule_pos"), fields))
+    found = _classes_met(packets, classes, fields, condition, chunk_rules, staged)
+    met = _dropped(found).select("*", F.col("__rule.__class").alias("__key"), F.col("__rule.__lots").alias("__lots")).drop("__rule")
+    asked = classes.select(F.struct(*fields).alias("__asked"), "__class", "__lots")
+    placed = kept.join(asked, F.col("__asks") == F.col("__asked"))  # fields without a value are equal inside a struct
+    lot = F.pmod(F.xxhash64("__rule.rule_pos", "__rule.sid"), F.col("__lots")).cast("int")
+    return _each_rule(met, placed.select(F.col("__class").alias("__key"), lot.alias("__lot"), "__rule.*"))
+
 
+def _classes(rules: DataFrame, fields: list[str]) -> DataFrame:
+    """Rules that agree in ``fields`` as a row: the first's ``rule_pos``, a number and how many lots of ``CLASS_RULES`` they are."""
+    classes = rules.groupBy(*fields).agg(F.min("rule_pos").alias("rule_pos"), F.ceil(F.count("*") / F.lit(CLASS_RULES)).cast("int").alias("__lots"))
+    return classes.withColumn("__class", F.monotonically_increasing_id())
 
-def _classes_met(packets: DataFrame, rules: DataFrame, condition, chunk_rules: int, by_key: bool, members: Column) -> DataFrame:
-    """One row per (packet, class of rules that meets ``condition``), the class as ``__rule`` with ``members`` made of its rules.
+
+def _classes_met(packets: DataFrame, classes: DataFrame, fields: list[str], condition, chunk_rules: int, by_key: bool) -> DataFrame:
+    """One row per (packet, class of rules that meets ``condition``), the class as ``__rule``.
 
     Only ports and networks of option rules are keys (``by_key``); other conditions are tested on every packet.
     """
-    fields = _read_by(condition)
-    sized = _in_lots(rules, fields, CLASS_RULES)
-    classes = sized.groupBy(*fields, "__lot").agg(members, F.min("rule_pos").alias("rule_pos"), F.count("*").alias("__n")).persist()
-    total = classes.agg(F.sum("__n")).first()[0] or 0
     keyed = _keyed(classes)
     if not by_key:
         none = F.lit(None).cast("struct<bits:int,form:int,code:bigint>")
         every = F.array(*[F.lit(t) for t in ("tcp", "udp", "icmp", "other")])
         keyed = classes.withColumn("__key_port", F.lit(ANY_PORT)).withColumn("__key_net", none).withColumn("__key_transport", F.explode(every))
-    return _candidates(packets, keyed, list(dict.fromkeys([*fields, "rule_pos", "members"])), total, chunk_rules, condition)
+    columns = list(dict.fromkeys([*fields, "rule_pos", "__class", "__lots"]))
+    return _candidates(packets, keyed, columns, classes.count(), chunk_rules, condition)
 
 
-def _in_lots(rules: DataFrame, fields: list[str], size: int) -> DataFrame:
-    """``rules`` with ``__lot``, equal for at most about ``size`` rules that agree in ``fields``."""
-    counts = rules.groupBy(*fields).agg(F.count("*").alias("__of"))
-    same = F.xxhash64(*fields)
-    lots = counts.groupBy(same.alias("__same")).agg(F.ceil(F.max("__of") / F.lit(size)).alias("__lots"))
-    placed = rules.withColumn("__same", same).join(lots, "__same")
-    return placed.withColumn("__lot", F.pmod(F.xxhash64("rule_pos"), F.col("__lots"))).drop("__same", "__lots")
+def _each_rule(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """``hits`` as a row for each rule of their ``__key``, of which ``members`` holds ``__lots`` lots; one that is a rule itself and has no members stays.
+
+    Both sides are dealt out by key, lot and a part of the packets and sorted so. No list of rules is broadcast or held whole by a task, and
+    the rows of a lot follow each other: its rules come again within a page of a columnar file, which takes a fraction of the bytes.
+    """
+    shown = [c for c in members.columns if c not in ("__key", "__lot")]
+    rules_too = all(c in hits.columns for c in shown)
+    partitions = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lots = members.groupBy("__key", "__lot").agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("__list"))
+    # one array for each column, so that those nobody asks for are left out early
+    right = lots.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_PARTS - 1)))).select(
+        *[F.col(c).alias(f"__its_{c}") for c in ("__key", "__lot", "__part")], *[F.col(f"__list.{c}").alias(f"__its_{c}") for c in shown]
+    )
+    left = hits.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.col("__lots") - 1)))
+    left = left.withColumn("__part", F.pmod(F.xxhash64("packet_id"), F.lit(MEMBER_PARTS)).cast("int")).repartition(partitions, "__key", "__lot", "__part")
+    same = F.lit(True)
+    for c in ("__key", "__lot", "__part"):
+        same = same & (F.col(c) == F.col(f"__its_{c}"))
+    found = left.join(right.hint("merge"), same, "left" if rules_too else "inner")
+
+    def values(c: str) -> Column:
+        return F.coalesce(f"__its_{c}", F.array(c)) if rules_too else F.col(f"__its_{c}")
+
+    kept = [c for c in hits.columns if c not in (*shown, "__key", "__lots")]
+    listed = found.select(*kept, *[values(c).alias(f"__its_{c}") for c in shown])
+    numbered = listed.select("*", F.posexplode(f"__its_{shown[0]}").alias("__at", shown[0]))
+    return numbered.select(*kept, shown[0], *[F.get(f"__its_{c}", F.col("__at")).alias(c) for c in shown[1:]])
 
 
 def detection_filter(hits: DataFrame, *, ts: str = "ts", slice_seconds: float = 600.0) -> DataFrame:
@@ -639,19 +669,27 @@ def not_broadcast() -> Column:
     return ~F.coalesce(F.col("dst_ip").endswith(".255"), F.lit(False))
 
 
-def _stand_ins(rules: DataFrame, condition) -> tuple[DataFrame, DataFrame]:
-    """One rule for all that agree in what ``condition`` reads and in their threshold, and the lists of those it stands for.
+def stand_ins(rules: DataFrame, condition: Callable[[Access], Column] = staged_match) -> tuple[DataFrame, DataFrame]:
+    """One rule for all that agree in what ``condition`` reads and in their threshold, and the rules that each stands for.
 
     Only rules whose sid no other rule has stand together: they have the same hits, so the same thresholds and suppressions. Rules that
-    share a sid are counted and suppressed together, so each stays for itself and has no list. A list holds at most ``CLASS_RULES``.
+    share a sid are counted and suppressed together, so each stays for itself and is not among the second. ``with_members`` has the rows of all.
     """
     same = [*_read_by(condition), "detection_filter"]
-    held = rules.withColumn("__of", F.count("*").over(Window.partitionBy("sid")))
-    order = Window.partitionBy(*same).orderBy("rule_pos", "sid")
-    ranked = held.where("__of = 1").withColumn("__first", F.first(F.struct("rule_pos", "sid")).over(order)).withColumn("__at", F.row_number().over(order))
-    member = F.struct("rule_pos", "sid", F.col("label").alias("rule"))
-    lists = ranked.groupBy("__first", F.floor((F.col("__at") - 1) / CLASS_RULES)).agg(F.collect_list(member).alias("members")).select("__first.*", "members")
-    return held.where("__of > 1").drop("__of").unionByName(ranked.where("__at = 1").drop("__of", "__first", "__at")), lists
+    held = rules.where(F.col("error").isNull()).withColumn("__of", F.count("*").over(Window.partitionBy("sid")))
+    order = Window.partitionBy("__of", *same).orderBy("rule_pos", "sid")
+    first = F.first(F.struct("rule_pos", "sid")).over(order)
+    ranked = checkpointed(held.withColumn("__key", F.when(F.col("__of") == 1, first)).withColumn("__at", F.row_number().over(order)))  # costly to parse
+    lot = F.floor((F.col("__at") - 1) / CLASS_RULES).cast("int")
+    members = ranked.where("__of = 1").select("__key", lot.alias("__lot"), "rule_pos", "sid", F.col("label").alias("rule"))
+    return ranked.where("__of > 1 OR __at = 1").drop("__of", "__key", "__at"), members
+
+
+def with_members(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """``hits`` of stand-ins as rows of all rules that they stand for."""
+    many = members.groupBy(F.col("__key").alias("__of")).agg((F.max("__lot") + 1).alias("__lots")).where("__lots > 1")  # few: the rest has a lot
+    keyed = hits.withColumn("__key", F.struct("rule_pos", "sid")).join(F.broadcast(many), F.col("__key") == F.col("__of"), "left").drop("__of")
+    return _each_rule(keyed.withColumn("__lots", F.coalesce("__lots", F.lit(1))), members)
 
 
 def signature_alerts(packets: DataFrame, rules: DataFrame, *, seconds: float = 60.0, **options) -> DataFrame:
@@ -660,19 +698,13 @@ def signature_alerts(packets: DataFrame, rules: DataFrame, *, seconds: float = 6
     Rules that agree are counted and suppressed once; what is left of them becomes a row for each. Rules and hits are checkpoints, so
     that no later step plans the grammar and the tests of the rules again.
     """
-    good = checkpointed(rules.where(F.col("error").isNull()))
-    few, lists = _stand_ins(good, options.get("condition", staged_match))
+    few, members = stand_ins(rules, options.get("condition", staged_match))
     columns = ["packet_id", "ts", "sid", "rule_pos", "rule", "src_ip", "dst_ip"]
-    matches = all_matches(packets.where(net.is_ip()), checkpointed(few), **options)
+    matches = all_matches(packets.where(net.is_ip()), few, **options)
     hits = detection_filter(checkpointed(matches.select(*columns, "detection_filter"))).where(not_broadcast())
     slim = hits.withColumn("__tie", F.struct("packet_id", "rule_pos"))
     kept = cooldown(slim, ["sid", "src_ip", "dst_ip"], seconds, strict=False, tie="__tie").drop("__tie")
-    # a rule that stands for many is dealt out in parts
-    dealt = kept.withColumn("__part", F.pmod(F.xxhash64("packet_id"), F.lit(MEMBER_PARTS)).cast("int"))
-    parts = lists.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_PARTS - 1))))
-    found = null_safe_join(dealt, parts, ["rule_pos", "sid", "__part"], "left")
-    member = F.explode(F.coalesce("members", F.array(F.struct("rule_pos", "sid", "rule"))))
-    return found.select(*[c for c in columns if c not in ("rule_pos", "sid", "rule")], member.alias("__m")).select("*", "__m.*").select(*columns)
+    return with_members(kept, members).select(*columns)
 
 
 def rule_match_alerts(matched: DataFrame) -> DataFrame:
@@ -696,5 +728,10 @@ def rule_match_alerts(matched: DataFrame) -> DataFrame:
 
 def log_matches(packets: DataFrame, rules: DataFrame, *, chunk_rules: int = CHUNK_RULES) -> DataFrame:
     """First rule of the log analyser per matching packet; ``rules`` are already one-way."""
-    found = _classes_met(packets, rules.where(F.col("error").isNull()), lambda r: _true(log_match(r)), chunk_rules, False, F.min("rule_pos").alias("members"))
-    return found.groupBy("packet_id").agg(F.min("__rule.members").alias("rule_pos"))
+    def condition(r: Access) -> Column:
+        return _true(log_match(r))
+
+    fields = _read_by(condition)
+    classes = checkpointed(_classes(rules.where(F.col("error").isNull()), fields))
+    found = _classes_met(packets, classes, fields, condition, chunk_rules, False)
+    return found.groupBy("packet_id").agg(F.min("__rule.rule_pos").alias("rule_pos"))

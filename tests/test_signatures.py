@@ -37,3 +37,16 @@ def test_rules_that_agree_are_followed_once(spark, monkeypatch):
     assert got.columns == columns and sorted(map(repr, got.collect())) == want and len(want) > 200
     # of the 60 rules with an own sid on port 53 two are followed
     assert sizes == [2 * 60 + (60 + 60 + 30) + (90 + 60) + 2 * 60]
+
+
+def test_rows_of_a_lot_follow_each_other(spark, monkeypatch):
+    """Rules come again within few rows, so a page of a stored table holds the rules of a lot or two, not those of a whole class."""
+    monkeypatch.setattr(matching, "CLASS_RULES", 20)
+    traffic = packets(spark).crossJoin(spark.range(8).withColumnRenamed("id", "k")).withColumn("packet_id", F.col("packet_id") * 8 + F.col("k")).drop("k")
+    lines = [(n, f'alert udp any any -> any 53 ( msg:"m{n}"; sid:{n}; )') for n in range(1, 301)]
+    met = matching.all_matches(traffic, rl.parse_rules(spark.createDataFrame(lines, "line int, text string")))
+    parts = met.select("packet_id", "rule_pos").rdd.glom().collect()
+    rows = [tuple(r) for part in parts for r in part]
+    assert len(rows) == len(set(rows)) == 60 * 8 * 300
+    pages = [len({r for _, r in rows[i : i + 200]}) for i in range(0, len(rows), 200)]
+    assert sum(pages) / len(pages) < 60
