@@ -239,8 +239,9 @@ FILTERED = f"""(SELECT * FROM {STAGED} s WHERE kind IN (9, 10) UNION ALL
 
 @query("rule_detection_filter", f"SELECT packet_id, rule_pos, sid FROM {FILTERED} f")
 def _(spark, d):
-    hits = matching.all_matches(arrivals(spark, d), rule_table(spark, d).where("kind = 'snort'"))
-    return matching.detection_filter(hits).select("packet_id", "rule_pos", "sid")
+    few, members = matching.stand_ins(rule_table(spark, d).where("kind = 'snort'"))
+    hits = matching.all_matches(arrivals(spark, d), few)
+    return matching.with_members(matching.detection_filter(hits), members).select("packet_id", "rule_pos", "sid")
 
 
 @query(

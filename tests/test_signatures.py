@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks import load, rulesets
 from packetloom.operators import matching
 from packetloom.operators.chains import cooldown
 from packetloom.sources import rules as rl
@@ -50,3 +51,26 @@ def test_rows_of_a_lot_follow_each_other(spark, monkeypatch):
     assert len(rows) == len(set(rows)) == 60 * 8 * 300
     pages = [len({r for _, r in rows[i : i + 200]}) for i in range(0, len(rows), 200)]
     assert sum(pages) / len(pages) < 60
+
+
+def test_rules_that_agree_are_counted_once(spark, tmp_path, monkeypatch):
+    """The query's own threshold step gets the hits of stand-ins; its rows are those of every rule by itself, one without a sid included."""
+    pings = F.when(F.col("event_type") == "purchase", '{"k": 11}').otherwise(F.col("props"))
+    dense = F.expr("timestampadd(SECOND, event_id * 200, TIMESTAMP_NTZ'2024-01-01 00:00:00')")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("props", pings).withColumn("ts", dense)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(600).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    rules, traffic = rulesets.rule_table(spark, str(tmp_path)).where("kind = 'snort'"), rulesets.arrivals(spark, str(tmp_path))
+    rules = rules.withColumn("sid", F.when(F.col("line") == 12, None).otherwise(F.when(F.col("line").isin(112, 212), "9").otherwise(F.col("sid")))).localCheckpoint()
+    columns = ["packet_id", "rule_pos", "sid"]
+    each = matching.detection_filter(matching.all_matches(traffic, rules)).select(*columns)
+    want = sorted(map(repr, each.collect()))
+    assert any("sid=None" in r for r in want) and any("sid='9'" in r for r in want) and len(want) > 2000
+
+    counted, filtered = [], matching.detection_filter
+    monkeypatch.setattr(rulesets, "rule_table", lambda spark, d: rules)
+    monkeypatch.setattr(matching, "detection_filter", lambda hits: counted.append(hits.count()) or filtered(hits))
+    monkeypatch.setattr(matching, "CLASS_RULES", 4)
+    got = load()["rule_detection_filter"][0](spark, str(tmp_path))
+    assert got.columns == columns and sorted(map(repr, got.collect())) == want
+    assert counted[0] < len(want) * 2 / 3
