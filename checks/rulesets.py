@@ -8,6 +8,7 @@ from checks.registry import cooldown_sql, query
 from checks.traffic import LABELLED
 from checks.views import duck, view
 from packetloom.operators import matching
+from packetloom.operators.durable import checkpointed
 from packetloom.operators.rollups import labelled
 from packetloom.sources import rules as rl
 from packetloom.sources.capture import spread
@@ -240,8 +241,9 @@ FILTERED = f"""(SELECT * FROM {STAGED} s WHERE kind IN (9, 10) UNION ALL
 @query("rule_detection_filter", f"SELECT packet_id, rule_pos, sid FROM {FILTERED} f")
 def _(spark, d):
     few, members = matching.stand_ins(rule_table(spark, d).where("kind = 'snort'"))
-    hits = matching.all_matches(arrivals(spark, d), few)
-    return matching.with_members(matching.detection_filter(hits), members).select("packet_id", "rule_pos", "sid")
+    hits = matching.all_matches(arrivals(spark, d), few).select("packet_id", "ts", "src_ip", "dst_ip", "rule_pos", "sid", "detection_filter")
+    kept = matching.detection_filter(checkpointed(hits))  # hits with and without a threshold come from one pass
+    return matching.with_members(kept, members).select("packet_id", "rule_pos", "sid")
 
 
 @query(

@@ -610,8 +610,8 @@ def _each_rule(hits: DataFrame, members: DataFrame) -> DataFrame:
     Both sides are dealt out by key, lot and a part of the packets and sorted so. No list of rules is broadcast or held whole by a task, and
     the rows of a lot follow each other: its rules come again within a page of a columnar file, which takes a fraction of the bytes.
     """
-    shown = [c for c in members.columns if c not in ("__key", "__lot")]
-    rules_too = all(c in hits.columns for c in shown)
+    rules_too = "rule_pos" in hits.columns
+    shown = [c for c in members.columns if c not in ("__key", "__lot") and (not rules_too or c in hits.columns)]
     partitions = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lots = members.groupBy("__key", "__lot").agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("__list"))
     # one array for each column, so that those nobody asks for are left out early
